@@ -1,0 +1,19 @@
+"""Cutting lineage in a way that survives the loss of executors."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where that setting is absent, as in local tests, is a temporary folder used.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hourloom-checkpoint-"))
+    return df.checkpoint()
