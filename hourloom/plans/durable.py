@@ -3,8 +3,19 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def _shared_folder(spark: SparkSession) -> str | None:
+    return spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path for a table written and read again, in the cluster's shared folder."""
+    base = _shared_folder(spark) or tempfile.mkdtemp(prefix="hourloom-scratch-")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}/{name}"
 
 
 def durable(df: DataFrame) -> DataFrame:
@@ -12,8 +23,8 @@ def durable(df: DataFrame) -> DataFrame:
 
     Only where that setting is absent, as in local tests, is a temporary folder used.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="hourloom-checkpoint-"))
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        folder = _shared_folder(spark) or tempfile.mkdtemp(prefix="hourloom-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint()

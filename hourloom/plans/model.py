@@ -76,6 +76,9 @@ def train_gbt(
     """Random search over boosted-tree settings by RMSE on rolling-origin folds, then a
     fit of the best setting on all rows.  Returns the model and its metadata."""
     features = features or feature_names(df)
+    # Folds follow time; a frame without dates is ordered by what it has.
+    times = {"date": "date", "hour": "int", "hourly_window": "string"}
+    df = df.withColumns({c: F.lit(None).cast(t) for c, t in times.items() if c not in df.columns})
     settings = sample_space(n_trials, random_state, space or SEARCH_SPACE)
     best, best_rmse = settings[0], None
     if len(settings) > 1:
