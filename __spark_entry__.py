@@ -22,7 +22,7 @@ from hourloom.operators import series as R
 from hourloom.operators import split as X
 from hourloom.operators import timeseries as T
 from hourloom.plans import jobs, model, prepare
-from hourloom.plans.durable import scratch_path
+from hourloom.durable import scratch_path
 from hourloom.schema import ACTION_VARIANTS, COUNTERS, FACT_COLUMNS, METRICS, NOT_FEATURES, PAGE, TARGET
 from hourloom.sources import files, insights
 from hourloom.sources.testviews import campaign_events, campaign_hourly
@@ -131,14 +131,22 @@ _PAIRS = f"select campaign_name, date, hour, hourly_window, spend as actual, coa
 _D = "cast({} as double)"
 
 
-def _stats_sql(spec: dict[str, list[str]], source: str) -> str:
+def _even(expression: str, digits: int) -> str:
+    return f"round_even(round({expression}, 10), {digits})"
+
+
+def _stats_sql(spec: dict[str, list[str]], source: str, digits: int = 4) -> str:
     fn = {"mean": "avg", "std": "stddev_samp", "sum": "sum", "count": "count", "max": "max", "min": "min"}
     ints = ("impressions", "clicks")
     cols = []
     for c, fs in spec.items():
         for f in fs:
             e = f"{fn[f]}({c})"
-            cols.append(f"{f'cast({e} as bigint)' if f == 'sum' and c in ints else e} as {c}_{f}")
+            if f == "sum" and c in ints:
+                e = f"cast({e} as bigint)"
+            elif f != "count":
+                e = _even(e, digits)
+            cols.append(f"{e} as {c}_{f}")
     return f"select campaign_name, {', '.join(cols)} from ({source}) s group by campaign_name"
 
 
@@ -151,7 +159,7 @@ def _spec_doubles(spec: dict[str, list[str]]) -> str:
     )
 
 
-_PROFILE = _stats_sql(C.PROFILE, _CLEAN)
+_PROFILE = _stats_sql(C.PROFILE, _CLEAN, 6)
 _THRESHOLDS = """
 select quantile_cont(spend_mean, 1.0/3) as s1, quantile_cont(spend_mean, 2.0/3) as s2,
   quantile_cont(ctr_mean, 0.33) as c1, quantile_cont(ctr_mean, 0.67) as c2,
@@ -161,8 +169,8 @@ select quantile_cont(spend_mean, 1.0/3) as s1, quantile_cont(spend_mean, 2.0/3)
 
 def _tiers_sql(source: str) -> str:
     return f"""
-    with profile as (select campaign_name, round_even(avg(spend), 6) as spend_mean,
-        round_even(avg(ctr), 6) as ctr_mean, round_even(avg(cpc), 6) as cpc_mean
+    with profile as (select campaign_name, {_even('avg(spend)', 6)} as spend_mean,
+        {_even('avg(ctr)', 6)} as ctr_mean, {_even('avg(cpc)', 6)} as cpc_mean
       from ({source}) s group by campaign_name),
     th as ({_THRESHOLDS} from profile)
     select campaign_name,
@@ -327,7 +335,7 @@ _LABELS = H.hour_labels(AS_OF)
     "sink_forecast_wide",
     "select campaign_name as \"Campaign\", "
     + ", ".join(f'max(case when horizon = {i} then v end) as "{label}"' for i, label in enumerate(_LABELS, 1))
-    + f" from (select *, case when round(predicted_spend, 2) = 0 then 0 else round(predicted_spend, 2) end as v from ({_weights_sql()}) w) x group by 1",
+    + f" from (select *, {_even('predicted_spend', 2)} as v from ({_weights_sql()}) w) x group by 1",
 )
 def _(spark, d):
     path = scratch_path(spark, "wide.csv")
@@ -690,7 +698,7 @@ def _(spark, d):
     return M.residual_stats(_pairs(spark, d))
 
 
-@query("campaign_error_report", f"select campaign_name, avg(actual) as actual_mean, count(actual) as actual_count, avg(predicted) as predicted_mean, avg(error) as error_mean, stddev_samp(error) as error_std, avg(abs_error) as abs_error_mean, avg(abs_error) as mae, median(abs_error) as abs_error_median from ({_ERR.format(_PAIRS)}) e group by 1", "actual_mean predicted_mean error_mean error_std abs_error_mean mae abs_error_median")
+@query("campaign_error_report", f"select campaign_name, {_even('avg(actual)', 4)} as actual_mean, count(actual) as actual_count, {_even('avg(predicted)', 4)} as predicted_mean, {_even('avg(error)', 4)} as error_mean, {_even('stddev_samp(error)', 4)} as error_std, {_even('avg(abs_error)', 4)} as abs_error_mean, avg(abs_error) as mae, {_even('median(abs_error)', 4)} as abs_error_median from ({_ERR.format(_PAIRS)}) e group by 1", "actual_mean predicted_mean error_mean error_std abs_error_mean mae abs_error_median")
 def _(spark, d):
     return M.campaign_error_report(_pairs(spark, d))
 
@@ -775,7 +783,7 @@ def _(spark, d):
     return C.anti_join_members(c, C.distinct_campaigns(c).filter(_MEMBERS)).select(*_KEYS, "spend")
 
 
-@query("cross_join_thresholds", f"with profile as (select campaign_name, round_even(avg(spend), 6) as spend_mean, round_even(avg(ctr), 6) as ctr_mean, round_even(avg(cpc), 6) as cpc_mean from ({_CLEAN}) s group by 1) {_THRESHOLDS} from profile", "s1 s2 c1 c2 p1 p2")
+@query("cross_join_thresholds", f"with profile as (select campaign_name, {_even('avg(spend)', 6)} as spend_mean, {_even('avg(ctr)', 6)} as ctr_mean, {_even('avg(cpc)', 6)} as cpc_mean from ({_CLEAN}) s group by 1) {_THRESHOLDS} from profile", "s1 s2 c1 c2 p1 p2")
 def _(spark, d):
     t = C.tier_thresholds(C.campaign_profile(_clean(spark, d)))
     pick = {"s": "spend_edges", "c": "ctr_edges", "p": "cpc_edges"}
@@ -914,7 +922,7 @@ def _(spark, d):
 def _(spark, d):
     from hourloom.operators.lanes import over_series
 
-    step = lambda lane: lane.with_columns({"position": F.row_number().over(lane.ordered()).cast("bigint")})
+    step = lambda lane: lane.with_windows({"position": f"CAST(row_number() {lane.over()} AS BIGINT)"})
     return over_series(_clean(spark, d), step).select(*_KEYS, "hour", "position")
 
 

@@ -69,6 +69,11 @@ def event_ts(date: Column, hour: Column) -> Column:
     return midnight + F.make_interval(hours=hour)
 
 
+def half_even(c: Column, digits: int) -> Column:
+    """Half-even rounding that ignores the noise of the order of summation."""
+    return F.bround(F.round(c, 10), digits)
+
+
 def flag(condition: Column) -> Column:
     return condition.cast("int")
 

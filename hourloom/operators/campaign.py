@@ -5,18 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.functions.scalars import tier_code
+from hourloom.durable import durable
+from hourloom.functions.scalars import half_even, tier_code
 from hourloom.operators.lanes import Lane, Step, over_series
 from hourloom.operators.quantiles import exact_quantiles
 from hourloom.schema import KEY
 
+# --- Fixed values: suffix of a statistic and the SQL function behind it. ---
 _FUNCTIONS = {
-    "mean": F.avg,
-    "std": F.stddev_samp,
-    "sum": F.sum,
-    "count": F.count,
-    "max": F.max,
-    "min": F.min,
+    "mean": "avg",
+    "std": "stddev_samp",
+    "sum": "sum",
+    "count": "count",
+    "max": "max",
+    "min": "min",
 }
 STATS = {
     "spend": ["mean", "std", "sum", "count"],
@@ -34,19 +36,19 @@ PROFILE = {
 _TIER_INPUTS = {"spend": ["mean"], "ctr": ["mean"], "cpc": ["mean"]}
 
 
-def _raw(spec: dict[str, list[str]]) -> dict[str, Column]:
-    return {f"{c}_{f}": _FUNCTIONS[f](c) for c, fs in spec.items() for f in fs}
+def _raw(spec: dict[str, list[str]]) -> dict[str, str]:
+    return {f"{c}_{f}": f"{_FUNCTIONS[f]}(`{c}`)" for c, fs in spec.items() for f in fs}
 
 
 def _rounded(df: DataFrame, spec: dict[str, list[str]], digits: int) -> dict[str, Column]:
     """Half-even rounding of the fractional statistics."""
     types = dict(df.dtypes)
     names = [f"{c}_{f}" for c, fs in spec.items() for f in fs]
-    return {n: F.bround(n, digits) for n in names if types[n] == "double"}
+    return {n: half_even(F.col(n), digits) for n in names if types[n] == "double"}
 
 
 def _table(df: DataFrame, spec: dict[str, list[str]], digits: int) -> DataFrame:
-    out = df.groupBy(KEY).agg(*[c.alias(n) for n, c in _raw(spec).items()])
+    out = df.groupBy(KEY).agg(*[F.expr(c).alias(n) for n, c in _raw(spec).items()])
     return out.withColumns(_rounded(out, spec, digits))
 
 
@@ -134,7 +136,8 @@ def _tiers(df: DataFrame, thresholds: DataFrame, prefix: str = "") -> DataFrame:
 
 def campaign_tiers(df: DataFrame) -> DataFrame:
     """Campaign profile with its two tiers by name, one row per campaign."""
-    profile = campaign_profile(df)
+    # One row per campaign, read several times.
+    profile = durable(campaign_profile(df))
     return _tiers(profile, tier_thresholds(profile))
 
 
@@ -144,7 +147,7 @@ def clusters_step(thresholds: DataFrame) -> Step:
     def step(lane: Lane) -> Lane:
         lane = lane.per_campaign({f"_{n}": c for n, c in _raw(_TIER_INPUTS).items()})
         names = [f"_{m}_mean" for m in ("spend", "ctr", "cpc")]
-        lane = lane.with_columns({n: F.bround(n, 6) for n in names})
+        lane = lane.with_columns({n: half_even(F.col(n), 6) for n in names})
         lane = lane.map(lambda d: _tiers(d, thresholds, "_").drop(*names))
         return lane.with_columns({c: tier_code(F.col(c)) for c in ("spend_level", "performance_tier")})
 
@@ -152,7 +155,7 @@ def clusters_step(thresholds: DataFrame) -> Step:
 
 
 def add_campaign_clusters(df: DataFrame, **lanes) -> DataFrame:
-    return over_series(df, clusters_step(tier_thresholds(campaign_profile(df))), **lanes)
+    return over_series(df, clusters_step(tier_thresholds(durable(campaign_profile(df)))), **lanes)
 
 
 def encode_tiers(df: DataFrame) -> DataFrame:
@@ -161,18 +164,19 @@ def encode_tiers(df: DataFrame) -> DataFrame:
 
 
 def volatility_step(lane: Lane) -> Lane:
-    lane = lane.per_campaign({"campaign_spend_volatility": F.stddev_samp("spend")})
-    return lane.per_day({}, {"campaign_hourly_frequency": "hour"})
+    return lane.per_campaign({"campaign_spend_volatility": "stddev_samp(spend)"})
+
+
+def frequency_step(lane: Lane) -> Lane:
+    return lane.distinct_per_day({"campaign_hourly_frequency": "hour"})
 
 
 def add_spend_volatility(df: DataFrame, **lanes) -> DataFrame:
-    return over_series(
-        df, lambda lane: lane.per_campaign({"campaign_spend_volatility": F.stddev_samp("spend")}), **lanes
-    )
+    return over_series(df, volatility_step, **lanes)
 
 
 def add_hourly_frequency(df: DataFrame, **lanes) -> DataFrame:
-    return over_series(df, lambda lane: lane.per_day({}, {"campaign_hourly_frequency": "hour"}), **lanes)
+    return over_series(df, frequency_step, **lanes)
 
 
 def distinct_campaigns(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.functions.scalars import event_ts, flag, hour_weight
+from hourloom.functions.scalars import event_ts, flag, half_even, hour_weight
 from hourloom.operators.projections import (
     add_cyclical,
     add_interaction_features,
@@ -104,7 +104,7 @@ def forecast_wide(hourly: DataFrame, start: datetime, horizons: int = HORIZON) -
         .agg(F.first("predicted_spend"))
     )
     values = [
-        F.coalesce(F.bround(F.col(f"`{i}`"), 2), F.lit(0.0)).alias(label)
+        F.coalesce(half_even(F.col(f"`{i}`"), 2), F.lit(0.0)).alias(label)
         for i, label in enumerate(labels, start=1)
     ]
     return wide.select("Campaign", *values)

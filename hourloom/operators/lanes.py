@@ -19,12 +19,12 @@ behind that count: it has at most rows / ``hot_rows`` names.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourloom.durable import durable
 from hourloom.schema import KEY
 
 HOT_ROWS = 2_000_000
@@ -33,81 +33,86 @@ MAX_BROADCAST_NAMES = 1_000_000
 ORDER = ["date", "hour", "hourly_window"]
 
 
-@dataclass(frozen=True)
 class Lane:
-    """Rows plus how they are laid out: ``parts`` is what one task owns."""
+    """Rows plus how they are laid out: ``parts`` is what one task owns.
 
-    df: DataFrame
-    parts: tuple[str, ...]
-    order: tuple[str, ...]
-    hot: bool
-    inputs: tuple[str, ...]
+    Window columns added one after the other wait until one of them is needed and then
+    enter one select, so that windows with the same layout share one pass over the rows.
+    """
+
+    def __init__(self, df: DataFrame, parts: tuple[str, ...], order: tuple[str, ...], hot: bool):
+        self._df, self.parts, self.order, self.hot = df, parts, order, hot
+        self._waiting: dict[str, str] = {}
+        self._kind = ""
+
+    @property
+    def df(self) -> DataFrame:
+        if self._waiting:
+            waiting, self._waiting = self._waiting, {}
+            self._df = _select(self._df, waiting)
+        return self._df
+
+    def _next(self, df: DataFrame) -> Lane:
+        return Lane(df, self.parts, self.order, self.hot)
 
     def map(self, fn: Callable[[DataFrame], DataFrame]) -> Lane:
-        return replace(self, df=fn(self.df))
+        return self._next(fn(self.df))
 
     def with_columns(self, columns: dict[str, Column]) -> Lane:
-        return replace(self, df=self.df.withColumns(columns)) if columns else self
-
-    def with_sql(self, columns: dict[str, str]) -> Lane:
-        """Like ``with_columns`` for SQL text: one parse for all, however many columns."""
-        kept = [f"`{c}`" for c in self.df.columns if c not in columns]
-        new = [f"{text} AS `{name}`" for name, text in columns.items()]
-        return replace(self, df=self.df.selectExpr(*kept, *new))
+        return self._next(self.df.withColumns(columns)) if columns else self
+
+    def with_sql(self, columns: dict[str, str], drop: list[str] | None = None) -> Lane:
+        """Like ``with_columns`` for SQL text: one statement, however many columns."""
+        return self._next(_select(self.df, columns, drop or []))
+
+    def with_windows(self, columns: dict[str, str], kind: str = "series") -> Lane:
+        """SQL text of window columns; the columns they read must be in ``df`` already."""
+        out = self._next(self._df)
+        if self._waiting and self._kind != kind:
+            out = self._next(self.df)
+        else:
+            out._waiting = dict(self._waiting)
+        out._waiting.update(columns)
+        out._kind = kind
+        return out
 
     def over(self, frame: str = "") -> str:
         """SQL text of the series window."""
         parts, order = ", ".join(self.parts), ", ".join(self.order)
         return f"OVER (PARTITION BY {parts} ORDER BY {order} {frame})"
 
-    def ordered(self) -> WindowSpec:
-        """Rows of a series in time order."""
-        return Window.partitionBy(*self.parts).orderBy(*self.order)
-
-    def own(self, c: Column) -> Column:
-        """``c`` on the rows a block owns, NULL on rows borrowed from its neighbours."""
-        return F.when(F.col("_own"), c) if self.hot else c
-
-    def per_campaign(self, aggregates: dict[str, Column]) -> Lane:
-        """Attach whole-series aggregates to each row."""
+    def per_campaign(self, aggregates: dict[str, str]) -> Lane:
+        """Attach whole-series aggregates (SQL text) to each row."""
         if not self.hot:
-            whole = Window.partitionBy(KEY)
-            return self.with_columns({n: a.over(whole) for n, a in aggregates.items()})
+            whole = f"OVER (PARTITION BY {KEY})"
+            return self.with_windows({n: f"{a} {whole}" for n, a in aggregates.items()}, "whole")
         # One row per hot campaign: bounded like the list of hot campaigns.
         stats = (
             self.df.filter("_own")
             .groupBy(F.col(KEY).alias("_k"))
-            .agg(*[a.alias(n) for n, a in aggregates.items()])
+            .agg(*[F.expr(a).alias(n) for n, a in aggregates.items()])
         )
         joined = self.df.join(F.broadcast(stats), F.col(KEY).eqNullSafe(F.col("_k")), "left")
-        return replace(self, df=joined.drop("_k"))
+        return self._next(joined.drop("_k"))
 
-    def per_day(self, aggregates: dict[str, Column], distinct: dict[str, str]) -> Lane:
-        """Attach aggregates and distinct counts of each (campaign, date) to its rows."""
+    def distinct_per_day(self, columns: dict[str, str]) -> Lane:
+        """Attach the number of distinct values of a column within each (campaign, date)."""
         if not self.hot:
-            day = Window.partitionBy(KEY, "date")
-            return self.with_columns(
-                {
-                    **{n: a.over(day) for n, a in aggregates.items()},
-                    **{n: F.size(F.collect_set(c).over(day)) for n, c in distinct.items()},
-                }
-            )
+            day = f"OVER (PARTITION BY {KEY}, date)"
+            return self.with_windows({n: f"size(collect_set({c}) {day})" for n, c in columns.items()}, "day")
         days = (
             self.df.filter("_own")
             .groupBy(F.col(KEY).alias("_k"), F.col("date").alias("_d"))
-            .agg(
-                *[a.alias(n) for n, a in aggregates.items()],
-                *[F.count_distinct(F.col(c)).cast("int").alias(n) for n, c in distinct.items()],
-            )
+            .agg(*[F.count_distinct(F.col(c)).cast("int").alias(n) for n, c in columns.items()])
         )
         same = F.col(KEY).eqNullSafe(F.col("_k")) & F.col("date").eqNullSafe(F.col("_d"))
-        return replace(self, df=self.df.join(days, same, "left").drop("_k", "_d"))
+        return self._next(self.df.join(days, same, "left").drop("_k", "_d"))
 
-    def running_sum(self, columns: dict[str, Column]) -> Lane:
-        """Attach running totals from the start of the series to the current row."""
-        upto = self.ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    def running_sum(self, columns: dict[str, str]) -> Lane:
+        """Attach running totals (SQL text) from the start of the series to the current row."""
+        upto = self.over("ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW")
         if not self.hot:
-            return self.with_columns({n: F.sum(c).over(upto) for n, c in columns.items()})
+            return self.with_windows({n: f"sum({c}) {upto}" for n, c in columns.items()})
         # Totals of the blocks before this one are added to the total inside the block.
         earlier = (
             Window.partitionBy("_k").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -115,25 +120,25 @@ class Lane:
         carry = (
             self.df.filter("_own")
             .groupBy(F.col(KEY).alias("_k"), F.col("_block").alias("_b"))
-            .agg(*[F.sum(c).alias(f"_carry_{n}") for n, c in columns.items()])
+            .agg(*[F.expr(f"sum({c})").alias(f"_carry_{n}") for n, c in columns.items()])
             .select(
                 "_k", "_b", *[F.sum(f"_carry_{n}").over(earlier).alias(f"_carry_{n}") for n in columns]
             )
         )
         same = F.col(KEY).eqNullSafe(F.col("_k")) & (F.col("_block") == F.col("_b"))
-        inside = self.with_columns({n: F.sum(self.own(c)).over(upto) for n, c in columns.items()})
-        joined = inside.df.join(carry, same, "left")
+        inside = self.with_sql({n: f"sum(IF(_own, {c}, NULL)) {upto}" for n, c in columns.items()})
+        total = {
+            n: f"coalesce(_carry_{n} + {n}, _carry_{n}, {n})" for n in columns
+        }
+        joined = self._next(inside.df.join(carry, same, "left"))
+        return joined.with_sql(total, drop=["_k", "_b", *[f"_carry_{n}" for n in columns]])
 
-        def plus_carry(n: str) -> Column:
-            before, here = F.col(f"_carry_{n}"), F.col(n)
-            return F.coalesce(before + here, before, here)
 
-        return replace(
-            self,
-            df=joined.withColumns({n: plus_carry(n) for n in columns}).drop(
-                "_k", "_b", *[f"_carry_{n}" for n in columns]
-            ),
-        )
+def _select(df: DataFrame, columns: dict[str, str], drop: list[str] | tuple = ()) -> DataFrame:
+    replaced = [c for c in df.columns if c in columns or c in drop]
+    kept = f"* EXCEPT ({', '.join(f'`{c}`' for c in replaced)})" if replaced else "*"
+    new = "".join(f", {text} AS `{name}`" for name, text in columns.items())
+    return df.sparkSession.sql(f"SELECT {kept}{new} FROM {{rows}}", rows=df)
 
 
 Step = Callable[[Lane], Lane]
@@ -152,9 +157,9 @@ def _hot_names(df: DataFrame, hot_rows: int) -> DataFrame:
     )
 
 
-def _cold_lane(df: DataFrame, inputs: tuple[str, ...]) -> Lane:
+def _cold_lane(df: DataFrame) -> Lane:
     rows = df.withColumn("_tie", _row_hash(df.columns))
-    return Lane(rows, (KEY,), (*ORDER, "_tie"), False, inputs)
+    return Lane(rows, (KEY,), (*ORDER, "_tie"), False)
 
 
 def series_positions(df: DataFrame) -> DataFrame:
@@ -209,9 +214,7 @@ def series_positions(df: DataFrame) -> DataFrame:
     )
 
 
-def _hot_lane(
-    df: DataFrame, back: int, ahead: int, block_rows: int, inputs: tuple[str, ...]
-) -> Lane:
+def _hot_lane(df: DataFrame, back: int, ahead: int, block_rows: int) -> Lane:
     size, first, last = (
         F.lit(block_rows),
         F.col("_first"),
@@ -243,7 +246,8 @@ def _hot_lane(
         .withColumn("_own", F.floor(F.col("_pos") / size) == F.col("_block"))
         .drop("_first", "_copies")
     )
-    return Lane(rows, (KEY, "_block"), ("_pos",), True, inputs)
+    # Laid out once: the steps and each of their aggregates read this table.
+    return Lane(durable(rows), (KEY, "_block"), ("_pos",), True)
 
 
 def over_series(
@@ -259,17 +263,16 @@ def over_series(
     ``back`` and ``ahead`` are the numbers of rows before and after the current row
     that the steps' frames reach (running totals and whole-series aggregates excluded).
     """
-    inputs = tuple(df.columns)
     names = _hot_names(df, hot_rows)
     n_hot = names.count()
     if n_hot == 0:
-        cold = reduce(lambda lane, step: step(lane), steps, _cold_lane(df, inputs))
+        cold = reduce(lambda lane, step: step(lane), steps, _cold_lane(df))
         return cold.df.drop("_tie")
     if n_hot <= MAX_BROADCAST_NAMES:
         names = F.broadcast(names)
     is_hot = F.col(KEY).eqNullSafe(F.col("_hot_key"))
-    cold = _cold_lane(df.join(names, is_hot, "left_anti"), inputs)
-    hot = _hot_lane(df.join(names, is_hot, "left_semi"), back, ahead, block_rows, inputs)
+    cold = _cold_lane(df.join(names, is_hot, "left_anti"))
+    hot = _hot_lane(df.join(names, is_hot, "left_semi"), back, ahead, block_rows)
     for step in steps:
         cold, hot = step(cold), step(hot)
     out = cold.df.drop("_tie")

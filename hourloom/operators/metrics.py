@@ -10,7 +10,7 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.functions.scalars import EPS, smape_term
+from hourloom.functions.scalars import EPS, half_even, smape_term
 from hourloom.operators.projections import add_error_columns
 from hourloom.operators.quantiles import exact_quantiles
 from hourloom.schema import KEY
@@ -161,7 +161,7 @@ def campaign_error_report(df: DataFrame) -> DataFrame:
     )
     out = means.join(medians, F.col(KEY).eqNullSafe(F.col("_k")), "left").drop("_k")
     rounded = [c for c, t in out.dtypes if t == "double" and c != "mae"]
-    return out.withColumns({c: F.bround(c, 4) for c in rounded})
+    return out.withColumns({c: half_even(F.col(c), 4) for c in rounded})
 
 
 def residual_histogram(df: DataFrame, bins: int = 50) -> DataFrame:

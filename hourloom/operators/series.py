@@ -26,7 +26,7 @@ DAY = 24
 def lag_step(lags: tuple[int, ...] = LAGS, metrics: tuple[str, ...] = LAG_METRICS) -> Step:
     def step(lane: Lane) -> Lane:
         w, types = lane.over(), dict(lane.df.dtypes)
-        return lane.with_sql(
+        return lane.with_windows(
             {
                 f"{c}_lag_{k}h": f"coalesce(lag(`{c}`, {k}) {w}, CAST(0 AS {types[c]}))"
                 for k in lags
@@ -43,17 +43,20 @@ def target_step(rows_ahead: int = HORIZON, how: str = "row", keep_unlabelled: bo
         raise ValueError("how must be 'row' or 'sum'")
 
     def step(lane: Lane) -> Lane:
-        w = lane.ordered()
-        target = F.lead("spend", rows_ahead).over(w)
+        target = f"lead(spend, {rows_ahead}) {lane.over()}"
         if how == "sum":
-            total = F.sum("spend").over(w.rowsBetween(1, rows_ahead))
-            target = F.when(target.isNotNull(), total)
-        lane = lane.with_columns({TARGET: target})
-        return lane if keep_unlabelled else lane.map(lambda d: d.filter(F.col(TARGET).isNotNull()))
+            total = lane.over(f"ROWS BETWEEN 1 FOLLOWING AND {rows_ahead} FOLLOWING")
+            target = f"IF({target} IS NULL, NULL, sum(spend) {total})"
+        lane = lane.with_windows({TARGET: target})
+        return lane if keep_unlabelled else drop_unlabelled_step(lane)
 
     return step
 
 
+def drop_unlabelled_step(lane: Lane) -> Lane:
+    return lane.map(lambda d: d.filter(F.col(TARGET).isNotNull()))
+
+
 def rolling_step(
     days: tuple[int, ...] = ROLLING_DAYS, metrics: tuple[str, ...] = ROLLING_METRICS
 ) -> Step:
@@ -90,12 +93,12 @@ def rolling_step(
                 squares[f"{name}_m2_{c}"] = " + ".join(
                     f"{q} + {a} * pow({b} - {name}_mean_{c}, 2)" for a, b, q in zip(n, mean, m2)
                 )
-        for columns in (moved, counts, means, squares):
+        lane = lane.with_windows(moved)
+        for columns in (counts, means):
             lane = lane.with_sql(columns)
-        return lane.map(lambda d: d.drop(*moved))
+        return lane.with_sql(squares, drop=list(moved))
 
     def step(lane: Lane) -> Lane:
-        before = lane.df.columns
         base = lane.over(f"ROWS BETWEEN {DAY - 1} PRECEDING AND CURRENT ROW")
         first = {}
         for c in metrics:
@@ -103,7 +106,8 @@ def rolling_step(
             first[f"_r0_n_{c}"] = f"CAST(count({v}) {base} AS DOUBLE)"
             first[f"_r0_mean_{c}"] = f"coalesce(avg({v}) {base}, 0D)"
             first[f"_r0_m2_{c}"] = f"coalesce(var_pop({v}) {base} * count({v}) {base}, 0D)"
-        lane = lane.with_sql(first)
+        lane = lane.with_windows(first)
+        before = [c for c in lane.df.columns if c not in first]
         bits = max(days).bit_length()
         for i in range(1, bits):
             half = f"_r{i - 1}"
@@ -122,25 +126,25 @@ def rolling_step(
                 n, mean, m2 = (f"_w{d}_{part}_{c}" for part in parts)
                 out[f"{c}_rolling_mean_{d}d"] = f"IF({n} > 0, {mean}, NULL)"
                 out[f"{c}_rolling_std_{d}d"] = f"IF({n} > 1, sqrt({m2} / ({n} - 1)), NULL)"
-        keep = [c for c in before if c not in out]
-        return lane.with_sql(out).map(lambda x: x.select(*keep, *out))
+        return lane.with_sql(out, drop=[c for c in lane.df.columns if c not in before])
 
     return step
 
 
-def expanding_step(metrics: tuple[str, ...] = EXPANDING_METRICS) -> Step:
-    def step(lane: Lane) -> Lane:
-        totals = {f"{c}_expanding_sum": F.col(c).cast("double") for c in metrics}
-        counts = {f"_n_{c}": F.when(F.col(c).isNotNull(), 1).otherwise(0) for c in metrics}
-        lane = lane.running_sum({**totals, **counts})
-        means = {f"{c}_expanding_mean": f"try_divide({c}_expanding_sum, _n_{c})" for c in metrics}
-        return lane.with_sql(means).map(lambda d: d.drop(*counts))
+def expanding_sum_step(metrics: tuple[str, ...] = EXPANDING_METRICS) -> Step:
+    totals = {f"{c}_expanding_sum": f"CAST(`{c}` AS DOUBLE)" for c in metrics}
+    counts = {f"_n_{c}": f"IF(`{c}` IS NULL, 0, 1)" for c in metrics}
+    return lambda lane: lane.running_sum({**totals, **counts})
 
-    return step
+
+def expanding_mean_step(metrics: tuple[str, ...] = EXPANDING_METRICS) -> Step:
+    """Means from the totals and counts of ``expanding_sum_step``."""
+    means = {f"{c}_expanding_mean": f"try_divide({c}_expanding_sum, _n_{c})" for c in metrics}
+    return lambda lane: lane.with_sql(means, drop=[f"_n_{c}" for c in metrics])
 
 
 def spend_changed_step(lane: Lane) -> Lane:
-    return lane.with_sql(
+    return lane.with_windows(
         {"hours_since_last_spend": f"IF(coalesce(spend = lag(spend) {lane.over()}, false), 0, 1)"}
     )
 
@@ -176,7 +180,8 @@ def add_rolling_features(
 def add_expanding_features(
     df: DataFrame, metrics: tuple[str, ...] = EXPANDING_METRICS, **lanes
 ) -> DataFrame:
-    return over_series(df, expanding_step(tuple(metrics)), **lanes)
+    metrics = tuple(metrics)
+    return over_series(df, expanding_sum_step(metrics), expanding_mean_step(metrics), **lanes)
 
 
 def add_spend_changed(df: DataFrame, **lanes) -> DataFrame:

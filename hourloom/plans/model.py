@@ -18,7 +18,7 @@ from hourloom.operators.metrics import rmse, train_test_metrics
 from hourloom.operators.projections import clamp_nonnegative, feature_names
 from hourloom.operators.series import current_rows, latest_row
 from hourloom.operators.split import rolling_origin_folds, split_data
-from hourloom.plans.durable import durable
+from hourloom.durable import durable
 from hourloom.schema import KEY, TARGET
 from hourloom.sources.files import model_load, model_save, scan_any
 

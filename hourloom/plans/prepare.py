@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hourloom.durable import durable
+from hourloom.functions.scalars import half_even
 from hourloom.operators.campaign import (
     attach_step,
     campaign_profile,
     clusters_step,
+    frequency_step,
     tier_thresholds,
     volatility_step,
 )
@@ -26,11 +29,13 @@ from hourloom.operators.series import (
     DAY,
     LAGS,
     ROLLING_DAYS,
-    add_target,
-    expanding_step,
+    drop_unlabelled_step,
+    expanding_mean_step,
+    expanding_sum_step,
     lag_step,
     rolling_step,
     spend_changed_step,
+    tail_rows,
     target_step,
 )
 from hourloom.schema import FACT, HORIZON, TARGET
@@ -41,6 +46,37 @@ def _clean(df: DataFrame) -> DataFrame:
     return df.transform(validate).transform(add_temporal_features)
 
 
+def _prepare_steps(keep_unlabelled: bool) -> list:
+    """Lags and target first: the sort in time order then serves the whole-campaign
+    windows too.  Statistics see all rows, so unlabelled rows are dropped last."""
+    steps = [lag_step(), target_step(keep_unlabelled=True), attach_step()]
+    return steps if keep_unlabelled else [*steps, drop_unlabelled_step]
+
+
+def _labelled_means(clean: DataFrame) -> DataFrame:
+    """Campaign means over rows that have a target, without a window over the table.
+
+    Cleaned rows lack a target only at the end of a series, so the newest rows of each
+    campaign are taken off its totals.
+    """
+    narrow = clean.select("campaign_name", "date", "hour", "hourly_window", "spend", "ctr", "cpc")
+    signed = narrow.withColumn("_w", F.lit(1)).unionByName(
+        tail_rows(narrow, HORIZON).withColumn("_w", F.lit(-1))
+    )
+    n = F.sum("_w")
+    return (
+        signed.groupBy("campaign_name")
+        .agg(
+            n.alias("_n"),
+            *[
+                half_even(F.sum(F.col(m) * F.col("_w")) / F.when(n > 0, n), 6).alias(f"{m}_mean")
+                for m in ("spend", "ctr", "cpc")
+            ],
+        )
+        .filter("_n > 0")
+    )
+
+
 def prepare_features(df: DataFrame, keep_unlabelled: bool = False, **lanes) -> DataFrame:
     """Validate, then calendar columns, campaign statistics, lags and target.
 
@@ -48,9 +84,7 @@ def prepare_features(df: DataFrame, keep_unlabelled: bool = False, **lanes) -> D
     """
     return over_series(
         _clean(df),
-        attach_step(),
-        lag_step(),
-        target_step(keep_unlabelled=keep_unlabelled),
+        *_prepare_steps(keep_unlabelled),
         back=max(LAGS),
         ahead=HORIZON,
         **lanes,
@@ -69,7 +103,7 @@ def _projected(df: DataFrame) -> DataFrame:
 
 
 def gap_features(df: DataFrame, **lanes) -> DataFrame:
-    out = over_series(df, spend_changed_step, volatility_step, back=1, **lanes)
+    out = over_series(df, spend_changed_step, volatility_step, frequency_step, back=1, **lanes)
     return out.withColumn("is_missing_hour", F.lit(0))
 
 
@@ -78,18 +112,22 @@ def seasonal_features(df: DataFrame, **lanes) -> DataFrame:
 
 
 def _engineer_steps(thresholds: DataFrame) -> list:
+    """Steps that can share a pass over the rows stand next to each other."""
     return [
-        rolling_step(),
-        expanding_step(),
+        expanding_sum_step(),
         spend_changed_step,
+        rolling_step(),
+        expanding_mean_step(),
         volatility_step,
         clusters_step(thresholds),
+        frequency_step,
     ]
 
 
 def engineer_features(df: DataFrame, **lanes) -> DataFrame:
     """Windows, ratios, interactions, powers, seasonal columns and tiers of prepared rows."""
-    thresholds = tier_thresholds(campaign_profile(df))
+    # One row per campaign, read several times.
+    thresholds = tier_thresholds(durable(campaign_profile(df)))
     rows = over_series(df, *_engineer_steps(thresholds), back=DAY * max(ROLLING_DAYS), **lanes)
     return _projected(rows)
 
@@ -98,20 +136,15 @@ def feature_table(df: DataFrame, keep_unlabelled: bool = False, **lanes) -> Data
     """``prepare_features`` and ``engineer_features`` in one pass over each series.
 
     The tier thresholds need the campaign means of labelled rows before any row can be
-    compared; that branch reads four columns and ends in one broadcast row.
+    compared; they come from a table of one row per campaign.
     """
     clean = _clean(df)
-    narrow = clean.select(
-        "campaign_name", "date", "hour", "hourly_window", "spend", "ctr", "cpc", "impressions"
-    )
-    labelled = narrow if keep_unlabelled else add_target(narrow, **lanes)
-    thresholds = tier_thresholds(campaign_profile(labelled))
+    means = campaign_profile(clean) if keep_unlabelled else _labelled_means(clean)
+    thresholds = tier_thresholds(durable(means))
     # Frames of the second part start 720 rows back.
     rows = over_series(
         clean,
-        attach_step(),
-        lag_step(),
-        target_step(keep_unlabelled=keep_unlabelled),
+        *_prepare_steps(keep_unlabelled),
         *_engineer_steps(thresholds),
         back=DAY * max(ROLLING_DAYS),
         ahead=HORIZON,
