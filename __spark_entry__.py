@@ -132,7 +132,9 @@ _D = "cast({} as double)"
 
 
 def _even(expression: str, digits: int) -> str:
-    return f"round_even(round({expression}, 10), {digits})"
+    """Half-even rounding of the decimal value, ten digits being kept before."""
+    v = f"(cast({expression} as decimal(28,10)) * {10**digits})"
+    return f"(case when {v} - floor({v}) = 0.5 then 2 * round({v} / 2) else round({v}) end / {10**digits})"
 
 
 def _stats_sql(spec: dict[str, list[str]], source: str, digits: int = 4) -> str:
