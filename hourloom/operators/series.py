@@ -207,9 +207,12 @@ def latest_row(df: DataFrame) -> DataFrame:
 
 
 def latest_day_filter(df: DataFrame) -> DataFrame:
-    """Rows of the newest date; the one-row maximum is broadcast."""
-    newest = df.agg(F.max("date").alias("_newest"))
-    return df.join(F.broadcast(newest), F.col("date") == F.col("_newest"), "left_semi")
+    """Rows of the newest date.
+
+    The maximum is a scalar subquery, so on a table partitioned by date the scan reads one
+    partition.
+    """
+    return df.filter(F.col("date") == df.agg(F.max("date")).scalar())
 
 
 def recent_fallback(df: DataFrame, as_of, days: int = 7, n: int = 24) -> DataFrame:

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import random
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -72,9 +74,13 @@ def train_gbt(
     cv_folds: int = 5,
     random_state: int = 42,
     space: dict[str, list] | None = None,
+    parallelism: int = 4,
 ) -> tuple[PipelineModel, dict]:
     """Random search over boosted-tree settings by RMSE on rolling-origin folds, then a
-    fit of the best setting on all rows.  Returns the model and its metadata."""
+    fit of the best setting on all rows.  Returns the model and its metadata.
+
+    ``parallelism`` settings are fitted at a time, each as its own Spark jobs.
+    """
     features = features or feature_names(df)
     # Folds follow time; a frame without dates is ordered by what it has.
     times = {"date": "date", "hour": "int", "hourly_window": "string"}
@@ -84,16 +90,21 @@ def train_gbt(
     if len(settings) > 1:
         # Every trial reads the folds again, so they are cut from their lineage once.
         rows = durable(as_inputs(rolling_origin_folds(df, cv_folds), features))
-        for params in settings:
+
+        def mean_rmse(params: dict) -> float:
             scores = []
             for fold in range(1, cv_folds + 1):
                 model = _pipeline(features, params, random_state).fit(rows.filter(F.col("fold") < fold))
                 scored = model.transform(rows.filter(F.col("fold") == fold))
                 pairs = scored.select(F.col(TARGET).alias("actual"), F.col("prediction").alias("predicted"))
                 scores.append(pairs.agg(rmse().alias("rmse")).first()["rmse"])
-            mean = sum(scores) / len(scores)
-            if best_rmse is None or mean < best_rmse:
-                best, best_rmse = params, mean
+            return sum(scores) / len(scores)
+
+        task = inheritable_thread_target(df.sparkSession)(mean_rmse)
+        with ThreadPool(min(parallelism, len(settings))) as pool:
+            means = pool.map(task, settings)
+        best_rmse = min(means)
+        best = settings[means.index(best_rmse)]
     model = _pipeline(features, best, random_state).fit(as_inputs(df, features))
     return model, {
         "best_params": best,
@@ -217,9 +228,9 @@ def _shuffled_pairs(rows: DataFrame, repeats: int, seed: int) -> DataFrame:
         h = F.xxhash64("_id", F.col("repeat"), F.lit(order_seed))
         keyed = rows.withColumn("repeat", F.explode(F.sequence(F.lit(1), F.lit(repeats)))).withColumn(
             "_h", h
-        ).withColumn("_g", F.shiftright("_h", 52))
+        ).withColumn("_g", F.shiftright("_h", 48))
         prior = Window.partitionBy("_rep").orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
-        # At most 4,096 groups per repeat.
+        # At most 65,536 groups per repeat.
         sizes = (
             keyed.groupBy(F.col("repeat").alias("_rep"), F.col("_g").alias("_grp"))
             .agg(F.count(F.lit(1)).alias("_n"))
