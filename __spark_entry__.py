@@ -117,7 +117,7 @@ from ({_FACTS}) facts where coalesce(spend, 0) >= 0
 _CLEAN = f"""
 select *, cast(hour between 9 and 17 as int) as is_business_hours from (
   select *, cast(split_part(hourly_window, ':', 1) as int) as hour,
-    cast(isodow(date) - 1 as int) as day_of_week, month(date) as month, day(date) as day_of_month,
+    cast(isodow(date) - 1 as int) as day_of_week, cast(month(date) as int) as month, cast(day(date) as int) as day_of_month,
     cast(isodow(date) >= 6 as int) as is_weekend
   from ({_VALID}) valid) t
 """
@@ -498,7 +498,7 @@ _CYC_SQL = ", ".join(
 
 @query(
     "calendar_features",
-    f"select *, {_CYC_SQL}, cast(day_of_week >= 5 as int) as is_weekend, cast(hour between 9 and 17 as int) as is_business_hours, cast(hour between 11 and 14 as int) as is_lunch_hour, cast(hour between 18 and 22 as int) as is_prime_time, cast(month in (11, 12) as int) as is_holiday_season from (select event_id, ts as date, year(ts) as year, month(ts) as month, day(ts) as day, hour(ts) as hour, isodow(ts) - 1 as day_of_week, dayofyear(ts) as day_of_year, weekofyear(ts) as week_of_year, quarter(ts) as quarter from events) e",
+    f"select *, {_CYC_SQL}, cast(day_of_week >= 5 as int) as is_weekend, cast(hour between 9 and 17 as int) as is_business_hours, cast(hour between 11 and 14 as int) as is_lunch_hour, cast(hour between 18 and 22 as int) as is_prime_time, cast(month in (11, 12) as int) as is_holiday_season from (select event_id, ts as date, cast(year(ts) as int) as year, cast(month(ts) as int) as month, cast(day(ts) as int) as day, cast(hour(ts) as int) as hour, cast(isodow(ts) - 1 as int) as day_of_week, cast(dayofyear(ts) as int) as day_of_year, cast(weekofyear(ts) as int) as week_of_year, cast(quarter(ts) as int) as quarter from events) e",
     _CYC_D,
 )
 def _(spark, d):
@@ -585,7 +585,8 @@ def _(spark, d):
     rows, names = model.select_features(R.add_target(_clean(spark, d)))
     kept = [c for c in ("hour", "impressions", "clicks", "ctr") if c in names]
     out = rows.select("campaign_name", "date", *kept, TARGET)
-    return out.withColumns({c: F.col(c).cast("bigint") for c in ("hour", "impressions", "clicks")})
+    types = {"hour": "int", "impressions": "bigint", "clicks": "bigint"}
+    return out.withColumns({c: F.col(c).cast(t) for c, t in types.items()})
 
 
 _ERR = "select *, actual - predicted as error, abs(actual - predicted) as abs_error, (actual - predicted) / (actual + 1e-6) * 100 as pct_error from ({}) p"
@@ -1029,7 +1030,7 @@ def _(spark, d):
 _FUT = "cast(date as timestamp) + to_hours(hour + h)"
 
 
-@query("build_horizon_frame", f"select campaign_name, cast(h as int) as horizon, cast(f as date) as date, cast(hour(f) as int) as hour, cast(isodow(f) - 1 as int) as day_of_week, day(f) as day_of_month, month(f) as month, cast(isodow(f) >= 6 as int) as is_weekend, cast(hour(f) between 9 and 17 as int) as is_business_hours, spend, hour(f) * spend as hour_spend from (select *, cast({_FUT} as timestamp) as f from (select *, {_NEWEST} as rn from ({_CLEAN}) c) x, range(1, 13) r(h) where rn = 1) y", "spend hour_spend")
+@query("build_horizon_frame", f"select campaign_name, cast(h as int) as horizon, cast(f as date) as date, cast(hour(f) as int) as hour, cast(isodow(f) - 1 as int) as day_of_week, cast(day(f) as int) as day_of_month, cast(month(f) as int) as month, cast(isodow(f) >= 6 as int) as is_weekend, cast(hour(f) between 9 and 17 as int) as is_business_hours, spend, hour(f) * spend as hour_spend from (select *, cast({_FUT} as timestamp) as f from (select *, {_NEWEST} as rn from ({_CLEAN}) c) x, range(1, 13) r(h) where rn = 1) y", "spend hour_spend")
 def _(spark, d):
     latest = R.latest_row(P.add_interaction_features(_clean(spark, d)))
     return H.build_horizon_frame(latest).select("campaign_name", "horizon", "date", "hour", "day_of_week", "day_of_month", "month", "is_weekend", "is_business_hours", "spend", "hour_spend")
@@ -1161,6 +1162,18 @@ def _(spark, d):
     return prepare.feature_table(_facts(spark, d))
 
 
+_SCORING_COLS = ["spend_lag_24h", "spend_rolling_mean_7d", "spend_expanding_sum", "hours_since_last_spend"]
+
+
+@query(
+    "scoring_rows",
+    f"select {_K}, {', '.join(_SCORING_COLS)} from (select {_K}, coalesce(lag(spend, 24) {_W}, 0) as spend_lag_24h, avg(spend) {_WR.format(167)} as spend_rolling_mean_7d, sum(spend) {_W.replace('hourly_window)', 'hourly_window rows unbounded preceding)')} as spend_expanding_sum, case when spend = lag(spend) {_W} then 0 else 1 end as hours_since_last_spend, {_NEWEST} as rn, max(date) over () as newest from ({_CLEAN}) c) x where rn = 1 and date = newest",
+    "spend_lag_24h spend_rolling_mean_7d spend_expanding_sum",
+)
+def _(spark, d):
+    return prepare.scoring_rows(_facts(spark, d)).select(*_KEYS, *_SCORING_COLS)
+
+
 @query("feature_table_hot_campaigns", _FEATURES, _FEATURES_D)
 def _(spark, d):
     return prepare.feature_table(_facts(spark, d), hot_rows=10, block_rows=300)
@@ -1180,6 +1193,7 @@ def _(spark, d):
         raw_path=scratch_path(spark, "raw.csv"),
         processed_path=scratch_path(spark, "processed.parquet"),
         model_path=scratch_path(spark, "model"),
+        scoring_path=scratch_path(spark, "scoring.parquet"),
         predictions_path=scratch_path(spark, "forecast"),
         report_path=scratch_path(spark, "report"),
         start=AS_OF,

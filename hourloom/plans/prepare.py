@@ -31,8 +31,10 @@ from hourloom.operators.series import (
     ROLLING_DAYS,
     drop_unlabelled_step,
     expanding_mean_step,
+    current_rows,
     expanding_sum_step,
     lag_step,
+    latest_row,
     rolling_step,
     spend_changed_step,
     tail_rows,
@@ -153,15 +155,24 @@ def feature_table(df: DataFrame, keep_unlabelled: bool = False, **lanes) -> Data
     return _projected(rows)
 
 
+def read_facts(spark: SparkSession, path: str) -> DataFrame:
+    """Raw fact file; CSV is read with the declared types."""
+    return scan_any(spark, path, schema=FACT if path.endswith(".csv") else None)
+
+
 def prepare_dataset(
     spark: SparkSession, input_path: str, output_path: str, file_format: str = "parquet", **lanes
 ) -> DataFrame:
     """Raw fact file to the processed table on disk; returns the table read back."""
-    raw = scan_any(spark, input_path, schema=FACT if input_path.endswith(".csv") else None)
-    sink_processed(feature_table(raw, **lanes), output_path, file_format)
+    sink_processed(feature_table(read_facts(spark, input_path), **lanes), output_path, file_format)
     return scan_any(spark, output_path, file_format)
 
 
 def scoring_table(df: DataFrame, **lanes) -> DataFrame:
     """Feature rows up to the newest hour, without a target."""
     return feature_table(df, keep_unlabelled=True, **lanes).drop(TARGET)
+
+
+def scoring_rows(df: DataFrame, as_of=None, **lanes) -> DataFrame:
+    """The rows a forecast starts from: one per campaign active on the newest day."""
+    return latest_row(current_rows(scoring_table(df, **lanes), as_of))

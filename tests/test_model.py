@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from hourloom.operators.split import split_data
 from hourloom.plans import jobs, model
 from hourloom.plans.model import sample_space, SEARCH_SPACE
@@ -33,6 +35,7 @@ def test_pipeline(spark, tmp_path):
     raw = str(tmp_path / "raw.parquet")
     files.sink_any(frame(spark, random_facts(campaigns=5, hours=72)), raw, "parquet")
     paths = {n: str(tmp_path / n) for n in ("model_path", "predictions_path", "report_path")}
+    paths["scoring_path"] = str(tmp_path / "scoring.parquet")
     data = str(tmp_path / "processed.parquet")
     results = jobs.run_pipeline(
         spark, raw_path=raw, processed_path=data, start=dt.datetime(2025, 1, 4, 20), fetch_data=False,
@@ -53,6 +56,14 @@ def test_pipeline(spark, tmp_path):
     long = files.scan_any(spark, f"{paths['predictions_path']}/long", "csv")
     assert long.columns == ["campaign_name", "predicted_spend_12h", "timestamp"]
 
+    newest = spark.read.parquet(paths["scoring_path"])
+    assert {r["campaign_name"] for r in newest.collect()} == set(per_campaign)
+    assert newest.agg(F.max("hour")).first()[0] >= 20  # the last rows of the day are kept
+
+    report = jobs.evaluation_job(spark, data, paths["model_path"], paths["report_path"], n_repeats=1)
+    text = "\n".join(r[0] for r in spark.read.text(f"{paths['report_path']}/report").collect())
+    assert "MAE" in text and "n_samples" in text and report["top_features"].count() == 10
+
     fitted, names = model.load_for_scoring(spark, paths["model_path"])
     assert TARGET not in names and "campaign_name" not in names and "spend" not in names and len(names) == 101
     rows = files.scan_any(spark, data)
