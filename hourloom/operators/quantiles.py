@@ -37,13 +37,19 @@ def exact_quantiles(
             F.sum("_n").over(group).alias("_total"),
         )
     )
-    # Each wanted rank lies between two neighbouring values, weighted by its fraction.
+    # Each wanted rank lies between two neighbouring values, weighted by its fraction.  A
+    # bucket keeps only the ranks that touch it.
+    ranks_of = F.array(
+        *[
+            F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"))
+            for i, p in enumerate(probabilities)
+        ]
+    )
     wanted = F.explode(
-        F.array(
-            *[
-                F.struct(F.lit(i).alias("i"), (F.lit(float(p)) * (F.col("_total") - 1)).alias("rank"))
-                for i, p in enumerate(probabilities)
-            ]
+        F.filter(
+            ranks_of,
+            lambda w: (F.ceil(w["rank"]) >= F.col("_before"))
+            & (F.floor(w["rank"]) < F.col("_before") + F.col("_n")),
         )
     )
     low, high = F.floor("_want.rank"), F.ceil("_want.rank")

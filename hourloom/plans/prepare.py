@@ -29,9 +29,9 @@ from hourloom.operators.series import (
     DAY,
     LAGS,
     ROLLING_DAYS,
+    current_rows,
     drop_unlabelled_step,
     expanding_mean_step,
-    current_rows,
     expanding_sum_step,
     lag_step,
     latest_row,
