@@ -1212,6 +1212,23 @@ def entry(spark: SparkSession) -> DataFrame:
     return prepare.feature_table(campaign_hourly(spark, "/root/testdata/sf0.001"))
 
 
+try:
+    from corpus_pipeline import ORACLE_SQL as _PIPELINE_SQL
+    from corpus_pipeline import run as _pipeline
+    from hourloom.llm.queries import ORACLES as _LLM_ORACLES
+    from hourloom.llm.queries import QUERIES as _LLM_QUERIES
+except ImportError as error:
+    # The training-data operators can be left out; anything else that is missing is a fault.
+    if error.name not in ("corpus_pipeline", "hourloom.llm", "hourloom.llm.queries"):
+        raise
+else:
+    _QUERIES.update(_LLM_QUERIES)
+    _ORACLES.update(_LLM_ORACLES)
+    _QUERIES["pipeline"] = _pipeline
+    if _PIPELINE_SQL is not None:
+        _ORACLES["pipeline"] = _PIPELINE_SQL
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
