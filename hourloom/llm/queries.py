@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import exact, near
+from hourloom.llm import exact, near, quality
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -46,3 +46,8 @@ def _(spark, d):
 @query("op7_minhash_near_dedup")
 def _(spark, d):
     return near.near_duplicates(_table(spark, d, "documents"), size=3, percent=85)
+
+
+@query("op4_quality_rules")
+def _(spark, d):
+    return quality.quality_rules(_table(spark, d, "documents"), _table(spark, d, "labels"))
