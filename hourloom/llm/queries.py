@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import exact, near, quality
+from hourloom.llm import exact, near, quality, sentence_spans, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -51,3 +51,13 @@ def _(spark, d):
 @query("op4_quality_rules")
 def _(spark, d):
     return quality.quality_rules(_table(spark, d, "documents"), _table(spark, d, "labels"))
+
+
+@query("op8_template_line_dedup")
+def _(spark, d):
+    return templates.drop_template_lines(_table(spark, d, "documents"))
+
+
+@query("op1_sentence_span_dedup")
+def _(spark, d):
+    return sentence_spans.remove_repeated_spans(_table(spark, d, "documents"))
