@@ -8,9 +8,10 @@ ones; texts of a few hundred shingles stop after two or three.
 *Candidates.*  128 registers make 32 bands of four.  At a similarity of 0.85 a pair shares no band
 with probability 5e-11, at 0.8 with 5e-8.  Texts with equal shingle sets are one node from the
 start.  In a bucket, every member is compared with the smallest one.  Buckets whose
-members then lie in several components get a second round, which compares members of
-different components by set size and by one-bit sketches first.  No pair inside a component is
-ever made, and no bucket is cut.
+members then lie in several components go on: members that can't be similar to any other, by
+the number of shingles that only they have, leave; the others are compared with the member
+nearest to the common core; then those members of different components are compared that
+exact bounds on their common shingles don't tell apart.  No pair inside a component is made, and no bucket is cut.
 
 *Verification* compares the full shingle sets.  *Grouping* contracts links by union-find inside
 partitions and spreads the smallest node over what is left.
@@ -30,9 +31,6 @@ from hourloom.durable import stored
 from hourloom.llm import spans
 
 REGISTERS, BANDS = 128, 32
-#: One-bit sketches of linked texts differ in at most this many of 128 places, but for one pair in 10**7
-#: (similarity 0.8: 12.8 expected, standard deviation 3.4).
-SKETCH_LIMIT = 34
 STEPS = np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -181,16 +179,32 @@ def components(links: DataFrame) -> DataFrame:
             return roots
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
+def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """The full shingle sets of the wanted nodes, from the whole texts."""
+    low = wanted.join(nodes.select("node", "low"), "node").select(F.col("low").alias("doc_id")).distinct()
+    texts = docs.join(low, "doc_id", "left_semi").select("text")
+    sets = texts.mapInArrow(_sets(size), "node binary, shingles array<bigint>").where("node is not null")
+    return stored(sets.dropDuplicates(["node"]), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Those (a, b) of the pairs whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "low"), "node")
-    texts = docs.join(wanted.select(F.col("low").alias("doc_id")).distinct(), "doc_id", "left_semi").select("text")
-    sets = stored(texts.mapInArrow(_sets(size), "node binary, shingles array<bigint>").where("node is not null").dropDuplicates(["node"]), "sets")
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y")).cast("long")
     linked = 100 * both >= percent * (F.size("x") + F.size("y") - both)
-    return pairs.join(left, "a").join(right, "b").where(linked).select("a", "b")
+    return stored(pairs.join(left, "a").join(right, "b").where(linked).select("a", "b"), "links")
+
+
+def _open(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members, with their roots, of those buckets that hold more than one component."""
+    rooted = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
+    return rooted.join(mixed, "key")
+
+
+def _sides(fields: list[str], *sides: str) -> list[list]:
+    return [[F.col(f).alias(f"{f}_{side}") for f in fields] + [F.col("node").alias(side)] for side in sides]
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -217,27 +231,76 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     members = stored(banded.join(shared.select("key", "pivot"), "key"), "members")
     facts = nodes.select("node", "n_shingles", "s1", "s2")
 
-    # Sets whose sizes differ too much can't be similar; sketches that differ too much aren't, but for one in 10**7.
+    # Sets whose sizes differ too much can't be similar; sketches that differ too much aren't, but for one in 10**9.
+    q = (100 - percent) / 200
+    differing = int(128 * q + 6.5 * (128 * q * (1 - q)) ** 0.5)
     fits = (
-        (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & (F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= SKETCH_LIMIT)
+        (100 * F.least("n_shingles_a", "n_shingles_b") >= percent * F.greatest("n_shingles_a", "n_shingles_b"))
+        & (F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b"))) <= differing)
     )
-    side = lambda c: facts.select(F.col("node").alias(c), *[F.col(x).alias(f"{y}_{c}") for x, y in (("n_shingles", "n"), ("s1", "s1"), ("s2", "s2"))])
+    left, right = _sides(["n_shingles", "s1", "s2"], "a", "b")
     first = members.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = stored(first.join(side("a"), "a").join(side("b"), "b").where(fits).select("a", "b"), "pairs")
-    links = stored(_verified(first, nodes, docs, size, percent), "links")
+    first = stored(first.join(facts.select(*left), "a").join(facts.select(*right), "b").where(fits).select("a", "b"), "pairs")
+    in_pairs = first.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    links = _verified(first, _sets_of(in_pairs, nodes, docs, size), percent)
     roots = components(links)
 
-    # Buckets that still hold several components: compare across components.
-    rooted = members.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    open_keys = rooted.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    open_members = stored(rooted.join(open_keys, "key").join(facts, "node"), "open")
-    one = open_members.select("key", *[F.col(x).alias(y) for x, y in (("node", "a"), ("root", "root_a"), ("n_shingles", "n_a"), ("s1", "s1_a"), ("s2", "s2_a"))])
-    two = open_members.select("key", *[F.col(x).alias(y) for x, y in (("node", "b"), ("root", "root_b"), ("n_shingles", "n_b"), ("s1", "s1_b"), ("s2", "s2_b"))])
-    across = one.join(two, "key").where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits).select("a", "b").distinct()
-    across = stored(across.join(first, ["a", "b"], "left_anti"), "pairs")
-    if across.limit(1).count():
-        roots = components(links.union(_verified(across, nodes, docs, size, percent)))
+    # Buckets that still hold several components.  Two of their members can share only shingles that
+    # several of them have, so each member's own shingles bound its similarity to all others.
+    left_open = stored(_open(members.select("key", "node"), roots).select("key", "node"), "open")
+    if left_open.limit(1).count():
+        sets = _sets_of(left_open.select("node").distinct(), nodes, docs, size)
+        each = sets.select("node", F.explode("shingles").alias("shingle"))
+        own = each.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")).where("n = 1")
+        facts = stored(
+            facts.join(nodes.select("node", "bands"), "node").join(own.groupBy("node").agg(F.count(F.lit(1)).alias("own")), "node", "left")
+            .join(left_open.select("node").distinct(), "node", "left_semi")
+            .withColumn("common", F.col("n_shingles") - F.coalesce("own", F.lit(0))),
+            "facts",
+        )
+        known = left_open.join(facts, "node")
+        least = known.groupBy("key").agg(F.min("n_shingles").alias("least"))
+        most = F.col("common")
+        possible = 100 * most >= percent * (F.col("n_shingles") + F.greatest("least", "common") - most)
+        able = stored(known.join(least, "key").where(possible).drop("least", "own"), "able")
+        fields = ["n_shingles", "s1", "s2", "common", "root", "bands"]
+        left, right = _sides(fields, "a", "b")
+        shared = F.least("common_a", "common_b")
+        fits = fits & (100 * shared >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - shared))
+        # The member with the fewest shingles of its own is the nearest to all others.
+        order = F.struct(F.col("n_shingles") - F.col("common"), F.col("node"))
+        rooted = stored(_open(able, roots), "rooted")
+        pivots = stored(rooted.groupBy("key").agg(F.min_by(F.struct("node", *fields), order).alias("p")).select("key", "p.*"), "pivots")
+        pairs = pivots.select("key", *left).join(rooted.select("key", *right), "key").where((F.col("root_a") != F.col("root_b")) & fits)
+        links = links.union(_verified(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), sets, percent))
+        roots = components(links)
+
+        # What that leaves open: two members share at most what neither lacks of the pivot's set, and what
+        # both have besides.  Bitmaps of the lacking shingles bound the first part for a pair.
+        rest = _open(able.drop("root"), roots).join(pivots.select("key", F.col("node").alias("pivot")), "key")
+        lacks = F.array_except("core", "shingles")
+
+        def bitmap(half: int):
+            bit = F.expr(f"aggregate(lacking, 0L, (m, v) -> m | if(pmod(v, 128) div 64 = {half}, shiftleft(1L, cast(pmod(v, 64) as int)), 0L))")
+            return bit.alias(f"lacks{half}")
+
+        marked = (
+            rest.join(sets, "node").join(sets.select(F.col("node").alias("pivot"), F.col("shingles").alias("core")), "pivot")
+            .withColumn("lacking", lacks)
+            .select("key", "node", *fields, F.size("core").alias("core"), bitmap(0), bitmap(1), (F.col("common") - F.size("core") + F.size("lacking")).alias("besides"))
+        )
+        marked = stored(marked, "marked")
+        left, right = _sides([*fields, "lacks0", "lacks1", "besides"], "a", "b")
+        either = sum(F.bit_count(F.col(f"lacks{h}_a").bitwiseOR(F.col(f"lacks{h}_b"))) for h in (0, 1))
+        shared = F.least("common_a", "common_b", F.col("core") - either + F.least("besides_a", "besides_b"))
+        bound = 100 * shared >= percent * (F.col("n_shingles_a") + F.col("n_shingles_b") - shared)
+        # A pair that shares several buckets is made in one of them.
+        once = F.col("key") == F.array_min(F.array_intersect("bands_a", "bands_b"))
+        across = marked.select("key", "core", *left).join(marked.select("key", *right), "key")
+        across = across.where((F.col("a") < F.col("b")) & (F.col("root_a") != F.col("root_b")) & fits & bound & once).select("a", "b")
+        found = _verified(across, sets, percent)
+        if found.limit(1).count():
+            roots = components(links.union(found))
 
     rooted = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
