@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import exact, near, quality, sentence_spans, templates
+from hourloom.llm import exact, mixing, near, quality, sentence_spans, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -61,3 +61,13 @@ def _(spark, d):
 @query("op1_sentence_span_dedup")
 def _(spark, d):
     return sentence_spans.remove_repeated_spans(_table(spark, d, "documents"))
+
+
+#: Blocks a source gets for each block of a source not named here.
+MIX_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
+
+
+@query("op10_pfair_mixing")
+def _(spark, d):
+    docs = _table(spark, d, "documents").select("doc_id", "source")
+    return mixing.mix(docs, MIX_WEIGHTS).select("row.doc_id", "source", "block", "slot", "place")
