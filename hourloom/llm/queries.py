@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import exact, mixing, near, quality, sentence_spans, templates
+from hourloom.llm import exact, mixing, near, pieces, quality, sentence_spans, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -71,3 +71,8 @@ MIX_WEIGHTS = {"src0": 4, "src1": 2, "src2": 2}
 def _(spark, d):
     docs = _table(spark, d, "documents").select("doc_id", "source")
     return mixing.mix(docs, MIX_WEIGHTS).select("row.doc_id", "source", "block", "slot", "place")
+
+
+@query("op2_sampled_pieces")
+def _(spark, d):
+    return pieces.sample_pieces(_table(spark, d, "documents"))
