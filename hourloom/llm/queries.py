@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.llm import exact, mixing, near, pieces, quality, sentence_spans, templates
+from hourloom.durable import discard, scratch_path
+from hourloom.llm import archives, exact, extraction, mixing, near, pieces, quality, sentence_spans, templates
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,3 +77,29 @@ def _(spark, d):
 @query("op2_sampled_pieces")
 def _(spark, d):
     return pieces.sample_pieces(_table(spark, d, "documents"))
+
+
+@query("op3_page_differencing")
+def _(spark, d):
+    return extraction.extract_text(_table(spark, d, "pages"))
+
+
+@query(
+    "op6_arc_to_warc",
+    """
+    select page_id, strlen(body) as payload_bytes, sha1(body) as payload_digest,
+      case when strlen(body) >= 1000 and page_id <> newest then 'revisit' else 'response' end as record_type,
+      case when strlen(body) >= 1000 and page_id <> newest then newest end as refers_to
+    from (select page_id, coalesce(html, '') as body, max(page_id) over (partition by coalesce(html, '')) as newest from pages) t
+    """,
+)
+def _(spark, d):
+    pages = _table(spark, d, "pages").select("page_id", "url", "html")
+    second = F.pmod("page_id", F.lit(2)) == 1
+    arcs = [scratch_path(spark, "arc1"), scratch_path(spark, "arc2")]
+    archives.write_arc(pages.where(~F.coalesce(second, F.lit(False))), arcs[0], version=1)
+    archives.write_arc(pages.where(second), arcs[1], version=2)
+    warc = scratch_path(spark, "warc")
+    archives.convert(archives.read_arc(spark, *arcs), warc)
+    discard(spark, *arcs)
+    return archives.read_warc(spark, warc).drop("url")
