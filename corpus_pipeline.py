@@ -1,22 +1,61 @@
-"""The corpus pipeline: documents in, a cleaned, deduplicated, mixed and tokenised corpus out."""
+"""The corpus pipeline: documents in, a cleaned, deduplicated, mixed and tokenised corpus out.
+
+Every stage works on all rows its predecessor kept, and all but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from hourloom.durable import scratch_path
-from hourloom.llm import near
+from hourloom.llm import mixing, near, pieces, quality, templates
+from hourloom.llm.queries import MIX_WEIGHTS
+from hourloom.llm.removal import NO_ID, with_id
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go; the model is fitted on the labelled rows."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.keep_good(docs.select(*COLUMNS), model)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates stay in the first document only; every document stays, with n_chars of its new text."""
+    gone = templates.dropped_lines(with_id(docs, "doc_id", "text")).withColumnRenamed("doc_id", "marked_id")
+    marked = docs.join(gone, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("marked_id"), "left")
+    shorter = F.expr(r"array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(marks, i)), '\n')")
+    text = F.when(F.col("marks").isNull(), F.col("text")).otherwise(shorter)
+    n_chars = F.when(F.col("marks").isNull(), F.col("n_chars")).otherwise(F.length(shorter).cast("long"))
+    return marked.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: that with the smallest doc_id."""
     gone = near.near_duplicates(docs).where("not kept").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
-STAGES = [("near-dedup", near_stage)]
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, written in mixed order."""
+    return mixing.in_order(mixing.mix(docs.select(*COLUMNS), MIX_WEIGHTS)).select(*COLUMNS)
+
+
+def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled piece ids of every document."""
+    return pieces.sample_pieces(docs)
+
+
+STAGES = [
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("mixing", mixing_stage),
+    ("piece encoding", pieces_stage),
+]
+# Classifier, signatures and sampling have no SQL form; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -185,7 +185,8 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
         F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.substring_index(bare, "/", 1).alias("host"),
         F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"(\.html?)?/*$", "").alias("path"), F.col(html_column).alias("html"),
     )
-    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Ranges of a thousand pages at least: few pages stand at an edge.
+    parts = max(1, min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.count() // 1000))
     lined = rows.mapInArrow(_read, _PAGE)
     # The identifier is part of the order, so that one host or path may fill many ranges.
     dealt = lined.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")

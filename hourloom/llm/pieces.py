@@ -92,7 +92,7 @@ def _lattice(p: Pieces, points: np.ndarray, lengths: np.ndarray):
         at = at[left[at] >= size]
         if not len(at):
             break
-        h = spans.mix((sums[at + size] - sums[at]) * down[at] + np.uint64(size) * _GOLDEN)
+        h = spans.mix((sums[at + size] - sums[at]) * down[at] + np.full(1, size, dtype=np.uint64) * _GOLDEN)
         likely = p.maybe[(h >> np.uint64(42)).astype(np.int64)]
         some, h = at[likely], h[likely]
         place = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
@@ -212,7 +212,7 @@ def sample_pieces(docs: DataFrame, model_path: str = MODEL, seed: int = SEED, te
         for b in batches:
             known = b.column(0).fill_null(-(1 << 63)).to_numpy().view(np.uint64)
             for c in spans.chunks(b.column(1), SLICE_POINTS):
-                keys = spans.mix(known[c.first : c.first + c.rows] + np.uint64(seed) * _GOLDEN)
+                keys = spans.mix(known[c.first : c.first + c.rows] + np.full(1, seed, dtype=np.uint64) * _GOLDEN)
                 ids, counts = encode(p, c, keys)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
                 yield spans.batch(

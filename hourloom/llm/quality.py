@@ -245,3 +245,21 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_column
 def quality_rules(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """Trains on the labelled rows and judges every document."""
     return score(docs, train(docs, labels, max_labelled), threshold)
+
+
+def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text_column: str = "text") -> DataFrame:
+    """The rows, with all their columns, that pass the counting rules and the model."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.to_bytes())
+    at = docs.columns.index(text_column)
+
+    def passing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Model.from_bytes(shared.value)
+        for b in batches:
+            for c in spans.chunks(b.column(at)):
+                words = spans.Words(c)
+                counts = base_counts(c, words, spans.span_hashes(c.data, words.starts, words.ends))
+                good = (counts["n_words"] >= MIN_WORDS) & (100 * counts["n_repeat_words"] <= MAX_REPEATED_PERCENT * counts["n_words"])
+                good &= own.probability(scores(own, ngrams(c, words))) >= threshold
+                yield b.slice(c.first, c.rows).filter(pa.array(good))
+
+    return docs.mapInArrow(passing, docs.schema)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.durable import discard, scratch_path
-from hourloom.llm import archives, exact, extraction, mixing, near, pieces, quality, sentence_spans, templates
+from hourloom.llm import archives, exact, extraction, mixing, near, pieces, quality, sentence_spans, templates, training_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -76,7 +76,7 @@ def _(spark, d):
 
 @query("op2_sampled_pieces")
 def _(spark, d):
-    return pieces.sample_pieces(_table(spark, d, "documents"))
+    return pieces.sample_pieces(_table(spark, d, "documents")).withColumn("ids_sha256", pieces.ids_digest()).drop("ids")
 
 
 @query("op3_page_differencing")
@@ -103,3 +103,12 @@ def _(spark, d):
     archives.convert(archives.read_arc(spark, *arcs), warc)
     discard(spark, *arcs)
     return archives.read_warc(spark, warc).drop("url")
+
+
+@query("op9_training_order")
+def _(spark, d):
+    shards = scratch_path(spark, "shards")
+    n = training_order.materialise(_table(spark, d, "documents"), shards)
+    if not n:
+        return spark.createDataFrame([], "slot bigint, shard bigint, position bigint, first_id bigint, last_id bigint, n_tokens int, tokens_sha256 string")
+    return training_order.read_shards(spark, shards).withColumn("tokens_sha256", F.sha2("tokens", 256)).drop("tokens")
