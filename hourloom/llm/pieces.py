@@ -11,6 +11,7 @@ go to byte pieces, so decoding gives the text back byte by byte.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -198,14 +199,14 @@ def encode(p: Pieces, chunk: spans.Chunk, keys: np.ndarray) -> tuple[np.ndarray,
 
 
 def sample_pieces(docs: DataFrame, model_path: str = MODEL, seed: int = SEED, temperature: float = TEMPERATURE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_pieces, ids, and ``lossless`` (decoding gives the text back).
+    """One row per document: doc_id, n_pieces, ids, their SHA-256, and ``lossless`` (decoding gives the text back).
 
     The row key is the doc_id (null: a key of its own), so rows with equal doc_id and text are segmented alike.  Null
     and empty texts have no pieces.  White space, case and characters outside the vocabulary are all kept.  Other columns
     are not looked at.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("lossless", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("lossless", pa.bool_())])
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces(model.value, temperature)
@@ -220,16 +221,13 @@ def sample_pieces(docs: DataFrame, model_path: str = MODEL, seed: int = SEED, te
                         "doc_id": b.column(0).slice(c.first, c.rows),
                         "n_pieces": counts,
                         "ids": spans.list_column(ids, counts, pa.int32()),
+                        "ids_sha256": [hashlib.sha256(ids[x:y].astype("<i4").tobytes()).hexdigest() for x, y in zip(bounds[:-1], bounds[1:])],
                         "lossless": [p.decode(ids[x:y]) == c.text(i) for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:]))],
                     },
                     schema,
                 )
 
     return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        segment, "doc_id bigint, n_pieces bigint, ids array<int>, lossless boolean"
+        segment, "doc_id bigint, n_pieces bigint, ids array<int>, ids_sha256 string, lossless boolean"
     )
 
-
-def ids_digest(name: str = "ids"):
-    """SHA-256 over the comma-separated ids."""
-    return F.sha2(F.array_join(name, ","), 256)

@@ -76,7 +76,7 @@ def _(spark, d):
 
 @query("op2_sampled_pieces")
 def _(spark, d):
-    return pieces.sample_pieces(_table(spark, d, "documents")).withColumn("ids_sha256", pieces.ids_digest()).drop("ids")
+    return pieces.sample_pieces(_table(spark, d, "documents")).drop("ids")
 
 
 @query("op3_page_differencing")
