@@ -158,7 +158,8 @@ def materialise(
     per_task = sequences.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
     offsets = per_task.withColumn("before", F.sum("n").over(Window.orderBy("task")) - F.col("n"))
     n = per_task.agg(F.sum("n")).first()[0] or 0
-    indexed = sequences.join(offsets.select("task", "before"), "task").select((F.col("before") + F.col("place")).alias("index"), "n_tokens", "first_id", "last_id", "packed")
+    # That table has a row for each task, so its size is known to be small.
+    indexed = sequences.join(F.broadcast(offsets.select("task", "before")), "task").select((F.col("before") + F.col("place")).alias("index"), "n_tokens", "first_id", "last_id", "packed")
     placed = indexed.mapInArrow(_place(max(n, 1), key, shard_slots), "shard bigint, slot bigint, n_tokens int, first_id bigint, last_id bigint, packed binary")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = placed.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
