@@ -296,16 +296,6 @@ def _(spark, d):
     return spark.read.parquet(out)
 
 
-@query("list_files")
-def _(spark, d):
-    return files.list_files(spark, d, "*.parquet")
-
-
-@query("latest_file")
-def _(spark, d):
-    return files.latest_file(spark, d, "*.parquet")
-
-
 _TOTALS = f"select campaign_name, sum(spend) as predicted_spend_12h from ({_CLEAN}) c group by 1"
 
 

@@ -18,11 +18,11 @@ def exact_quantiles(
     df: DataFrame, value: str, probabilities: list[float], keys: list[str] | None = None
 ) -> DataFrame:
     """One row per group of ``keys``: the columns ``keys`` and ``q``, an array with one
-    quantile of ``value`` per probability.  NULLs are left out."""
+    quantile of ``value`` per probability.  NULL and NaN are left out."""
     keys = keys or []
     k = [f"_k{i}" for i in range(len(keys))]
     x = F.col(value).cast("double")
-    rows = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], x.alias("_x")).filter("_x IS NOT NULL")
+    rows = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], x.alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
     bucket = F.signum("_x") * F.floor(F.log1p(F.abs("_x")) * BUCKETS_PER_LOG_UNIT)
     rows = rows.withColumn("_bucket", bucket.cast("int"))
 

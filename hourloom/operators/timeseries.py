@@ -85,7 +85,10 @@ def resample_series(
     fill = {
         c: F.coalesce(F.col(c), F.lit(0)) for c, f in aggregation.items() if f in ("sum", "count")
     }
-    out = spine.join(cells, [KEY, "bucket_ts"], "left")
+    # A null key is a series like any other.
+    seen = cells.withColumnsRenamed({KEY: "_key", "bucket_ts": "_bucket"})
+    same = F.col(KEY).eqNullSafe(F.col("_key")) & (F.col("bucket_ts") == F.col("_bucket"))
+    out = spine.join(seen, same, "left").drop("_key", "_bucket")
     return out.withColumns(
         {**fill, "is_missing_hour": F.when(F.col("_seen"), 0).otherwise(1)}
     ).drop("_seen")

@@ -191,3 +191,30 @@ def test_files(spark, tmp_path):
     assert files.list_files(spark, str(tmp_path / "absent")).count() == 0
     assert files.latest_file(spark, str(tmp_path / "absent")).first()["path"] is None
     assert files.list_files(spark, str(tmp_path / "x.json"), "*.json").count() >= 1
+
+
+def test_resample_keeps_null_campaign(spark):
+    rows = [fact(None, 0, h, 5.0) for h in (1, 2, 4)]
+    df = frame(spark, rows).selectExpr("campaign_name", "spend", "cast(date as timestamp_ntz) + make_dt_interval(0, cast(split(hourly_window, ':')[0] as int)) as event_ts")
+    got = sorted((r.bucket_ts.hour, r.spend, r.is_missing_hour) for r in T.resample_series(df, "hour", {"spend": "sum"}).collect())
+    assert got == [(1, 5.0, 0), (2, 5.0, 0), (3, 0.0, 1), (4, 5.0, 0)]
+
+
+def test_quantiles_leave_out_nan(spark):
+    df = spark.createDataFrame([(1.0,), (3.0,), (float("nan"),), (None,)], "x double")
+    assert exact_quantiles(df, "x", [0.5]).first().q == [2.0]
+
+
+def test_scratch_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from hourloom import durable
+
+    def session(master, folder=None):
+        context = SimpleNamespace(master=master, getCheckpointDir=lambda: None)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: folder or d), sparkContext=context)
+
+    with pytest.raises(ValueError):
+        durable.scratch_path(session("spark://host:7077"), "x")
+    assert durable.scratch_path(session("spark://host:7077", "/shared"), "x").startswith("/shared/")
+    assert durable.scratch_path(session("local[2]"), "x").endswith("/x")
