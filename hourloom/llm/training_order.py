@@ -31,7 +31,10 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 END = 50256
 LENGTH, SHARD_SLOTS, KEY, ROUNDS = 1024, 2048, 20240131, 6
 MAX_CACHED = 200_000
-_HEAD = "<qqqi"  # slot, first and last doc_id, number of tokens
+BLOCK = 64  # sequences compressed together
+MAX_HELD = 64 << 20  # bytes of sequences that a task holds while it fills blocks
+_LEVEL = 6
+_HEAD = np.dtype([("slot", "<i8"), ("first", "<i8"), ("last", "<i8"), ("n", "<i4")])  # first and last doc_id, number of tokens
 _NO_ID = -(1 << 63)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -81,16 +84,25 @@ class Tokens:
         return self._ids(first) + b"".join([get(w) or self._word(w) for w in [" " + w for w in words]])
 
 
+def _block(heads: np.ndarray, tokens: bytes) -> tuple[int, bytes, bytes]:
+    """Sequences as one row: their number, their heads and their tokens, compressed together."""
+    return len(heads), heads.tobytes(), zstandard.compress(tokens, _LEVEL)
+
+
 def _pack(vocabulary, length: int):
-    names = ["task", "place", "n_tokens", "first_id", "last_id", "packed"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["task", "place", "n", "heads", "packed"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
     width = 2 * length
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, task, place = Tokens(vocabulary.value), TaskContext.get().partitionId(), 0
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        rest, owner = bytearray(), None  # tokens not yet in a sequence, and the document they begin with
-        rows: list[tuple] = []
+        rest, owner = bytearray(), None  # tokens not yet in a block, and the document they begin with
+        heads: list[tuple] = []  # of the full sequences at the beginning of rest
+
+        def row() -> pa.RecordBatch:
+            block = _block(np.array(heads, dtype=_HEAD), bytes(rest[: len(heads) * width]))
+            return pa.record_batch([pa.array([v], t) for v, t in zip((task, place, *block), kinds)], names=names)
+
         doc = None
         for b in batches:
             for doc, text in zip(b.column(0).fill_null(_NO_ID).to_pylist(), b.column(1)):
@@ -98,44 +110,80 @@ def _pack(vocabulary, length: int):
                     owner = doc
                 rest += tokens.encode(text.as_py() or "")
                 rest += struct.pack("<H", END)
-                at = 0
-                while len(rest) - at >= width:
-                    rows.append((task, place, length, owner, doc, squeeze(bytes(rest[at : at + width]))))
-                    place, at, owner = place + 1, at + width, doc
-                del rest[:at]
-                if not rest:
-                    owner = None
-                if len(rows) >= 1000:
-                    yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
-                    rows = []
-        if rest:
-            rows.append((task, place, len(rest) // 2, owner, doc, squeeze(bytes(rest).ljust(width, b"\xff"))))
-        if rows:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
+                while len(rest) >= (len(heads) + 1) * width:
+                    heads.append((-1, owner, doc, length))
+                    owner = doc if len(rest) > len(heads) * width else None
+                    if len(heads) == BLOCK:
+                        yield row()
+                        del rest[: BLOCK * width]
+                        place, heads = place + BLOCK, []
+        left = len(rest) - len(heads) * width
+        if left:
+            heads.append((-1, owner, doc, left // 2))
+            rest += b"\xff" * (width - left)
+        if heads:
+            yield row()
 
     return pack
 
 
-def _place(n: int, key: int, shard_slots: int):
+def _place(n: int, key: int, shard_slots: int, parts: int, length: int):
+    """Blocks of packed sequences to blocks of sequences that belong to one range of shards."""
+    names, shards, width = ["part", "n", "heads", "packed"], -(-n // shard_slots), 2 * length
+
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, tuple[list, list]] = {}
+        held = 0
+
+        def row(part: int) -> pa.RecordBatch:
+            heads, tokens = waiting.pop(part)
+            block = _block(np.array(heads, dtype=_HEAD), b"".join(tokens))
+            kinds = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.record_batch([pa.array([v], t) for v, t in zip((part, *block), kinds)], names=names)
+
         for b in batches:
-            slots = feistel(b.column(0).to_numpy(), n, key)
-            yield pa.record_batch([pa.array(slots // shard_slots), pa.array(slots), *b.columns[1:]], names=["shard", "slot", "n_tokens", "first_id", "last_id", "packed"])
+            for first, count, heads, packed in zip(*[c.to_pylist() for c in b.columns]):
+                heads, tokens = np.frombuffer(heads, dtype=_HEAD).copy(), zstandard.decompress(packed)
+                heads["slot"] = feistel(np.arange(first, first + count), n, key)
+                at = heads["slot"] // shard_slots * parts // shards
+                for i, part in enumerate(at.tolist()):
+                    mine = waiting.setdefault(part, ([], []))
+                    mine[0].append(heads[i])
+                    mine[1].append(tokens[i * width : (i + 1) * width])
+                    held += 1
+                    if len(mine[0]) == BLOCK:
+                        held -= BLOCK
+                        yield row(part)
+                if held * width > MAX_HELD:
+                    for part in list(waiting):
+                        yield row(part)
+                    held = 0
+        for part in list(waiting):
+            yield row(part)
 
     return place
 
 
-def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    expand = zstandard.ZstdDecompressor().decompress
-    for b in batches:
-        rows = zip(*[b.column(k).to_pylist() for k in range(1, 6)])
-        values = [struct.pack(_HEAD, slot, first, last, n) + expand(packed) for slot, n, first, last, packed in rows]
-        yield pa.record_batch([b.column(0), pa.array(values, pa.binary())], names=["shard", "value"])
+def _records(shard_slots: int, length: int):
+    size = _HEAD.itemsize + 2 * length
+
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for heads, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                heads = np.frombuffer(heads, dtype=_HEAD)
+                tokens = np.frombuffer(zstandard.decompress(packed), dtype=np.uint8).reshape(len(heads), -1)
+                values = np.hstack([heads.view(np.uint8).reshape(len(heads), -1), tokens])
+                bounds = pa.array(np.arange(len(heads) + 1, dtype=np.int32) * size)
+                values = pa.Array.from_buffers(pa.binary(), len(heads), [None, bounds.buffers()[1], pa.py_buffer(values.tobytes())])
+                slots = np.ascontiguousarray(heads["slot"])
+                yield pa.record_batch([pa.array(slots // shard_slots), pa.array(slots), values], names=["shard", "slot", "value"])
+
+    return records
 
 
 def stride(length: int = LENGTH) -> int:
     """Bytes of a record: head, tokens, and the byte that ends it."""
-    return struct.calcsize(_HEAD) + 2 * length + 1
+    return _HEAD.itemsize + 2 * length + 1
 
 
 def materialise(
@@ -151,28 +199,29 @@ def materialise(
     vocabulary = spark.sparkContext.broadcast(Path(vocabulary_path).read_bytes())
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     table = scratch_path(spark, "sequences")
-    schema = "task int, place bigint, n_tokens int, first_id bigint, last_id bigint, packed binary"
+    schema = "task int, place bigint, n int, heads binary, packed binary"
     rows.mapInArrow(_pack(vocabulary, length), schema).write.option("compression", "none").parquet(table)
-    sequences = spark.read.schema(schema).parquet(table)
+    blocks = spark.read.schema(schema).parquet(table)
     # One row for each task of the packing: few, whatever the data.
-    per_task = sequences.groupBy("task").agg(F.count(F.lit(1)).alias("n"))
-    offsets = per_task.withColumn("before", F.sum("n").over(Window.orderBy("task")) - F.col("n"))
+    per_task = blocks.groupBy("task").agg(F.sum("n").alias("n"))
+    offsets = per_task.select("task", (F.sum("n").over(Window.orderBy("task")) - F.col("n")).alias("before"))
     n = per_task.agg(F.sum("n")).first()[0] or 0
     # That table has a row for each task, so its size is known to be small.
-    indexed = sequences.join(F.broadcast(offsets.select("task", "before")), "task").select((F.col("before") + F.col("place")).alias("index"), "n_tokens", "first_id", "last_id", "packed")
-    placed = indexed.mapInArrow(_place(max(n, 1), key, shard_slots), "shard bigint, slot bigint, n_tokens int, first_id bigint, last_id bigint, packed binary")
+    indexed = blocks.join(F.broadcast(offsets), "task").select((F.col("before") + F.col("place")).alias("first"), "n", "heads", "packed")
+    # Slots are spread evenly, so ranges of shards are known beforehand and need no sampling.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = placed.repartitionByRange(parts, "shard").sortWithinPartitions("shard", "slot")
+    placed = indexed.mapInArrow(_place(max(n, 1), key, shard_slots, parts, length), "part int, n int, heads binary, packed binary")
+    ranged = placed.repartitionById(parts, "part").select("heads", "packed")
+    records = ranged.mapInArrow(_records(shard_slots, length), "shard bigint, slot bigint, value binary").sortWithinPartitions("shard", "slot")
     # The text writer writes the bytes as they are and its separator after each record.
-    out = ranged.mapInArrow(_records, "shard bigint, value binary").select("shard", F.col("value").cast("string").alias("value"))
-    out.write.option("lineSep", "\n").partitionBy("shard").text(path)
+    records.select("shard", F.col("value").cast("string").alias("value")).write.option("lineSep", "\n").partitionBy("shard").text(path)
     discard(spark, table)
     return n
 
 
 def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_slots: int = SHARD_SLOTS) -> DataFrame:
     """(slot, shard, position, first_id, last_id, n_tokens, tokens) of all records, in slot order within each shard."""
-    size, head = stride(length), struct.calcsize(_HEAD)
+    size, head = stride(length), _HEAD.itemsize
     names = ["slot", "shard", "position", "first_id", "last_id", "n_tokens", "tokens"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
 
@@ -183,7 +232,7 @@ def read_shards(spark: SparkSession, path: str, length: int = LENGTH, shard_slot
                 for start in range(0, raw.size, 512 * size):
                     rows = []
                     for at in range(start, min(start + 512 * size, raw.size), size):
-                        slot, first, last, n = struct.unpack(_HEAD, raw[at : at + head].to_pybytes())
+                        slot, first, last, n = struct.unpack("<qqqi", raw[at : at + head].to_pybytes())
                         ids = [None if x == _NO_ID else x for x in (first, last)]
                         rows.append((slot, slot // shard_slots, at // size, *ids, n, raw[at + head : at + head + 2 * n].to_pybytes()))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=names)
