@@ -69,6 +69,19 @@ def event_ts(date: Column, hour: Column) -> Column:
     return midnight + F.make_interval(hours=hour)
 
 
+def micros(ts: Column) -> Column:
+    """Microseconds from 1970 to a wall-clock time, whatever the session's time zone."""
+    t = ts.cast("timestamp_ntz")
+    days = F.unix_date(t.cast("date")).cast("bigint")
+    minutes = (days * 24 + F.hour(t)) * 60 + F.minute(t)
+    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+
+
+def wall_clock(us: Column) -> Column:
+    """The wall-clock time so many microseconds after 1970."""
+    return F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + us * F.expr("INTERVAL '0.000001' SECOND")
+
+
 def half_even(c: Column, digits: int) -> Column:
     """Half-even rounding that ignores the noise of the order of summation."""
     return F.bround(F.round(c, 10), digits)
@@ -83,11 +96,15 @@ def cyclic(c: Column, period: int) -> tuple[Column, Column]:
     return F.sin(angle), F.cos(angle)
 
 
-def parse_timestamp(c: Column) -> Column:
-    """First pattern that fits, else NULL; the result has no time zone."""
-    return F.coalesce(
-        *[F.try_to_timestamp(c, F.lit(p)) for p in TIMESTAMP_PATTERNS]
-    ).cast("timestamp_ntz")
+def parse_timestamp(c: Column, strict: bool = False) -> Column:
+    """First pattern that fits, else NULL, or an error if ``strict``; the result has no time zone."""
+    # Read as UTC and taken back to UTC, so that no hour is skipped or repeated.
+    zoned = F.concat(c, F.lit(" +00:00"))
+    parsed = F.coalesce(*[F.try_to_timestamp(zoned, F.lit(p + " XXX")) for p in TIMESTAMP_PATTERNS])
+    out = wall_clock(F.unix_micros(parsed))
+    if not strict:
+        return out
+    return F.when(c.isNotNull() & parsed.isNull(), F.raise_error(F.concat(F.lit("no known timestamp pattern fits: "), c))).otherwise(out)
 
 
 def local_time(ts: Column, zone: str = "Asia/Kolkata") -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.durable import durable
-from hourloom.schema import KEY
+from hourloom.schema import FACT_COLUMNS, KEY
 
 HOT_ROWS = 2_000_000
 BLOCK_ROWS = 65_536
@@ -148,6 +148,13 @@ def _row_hash(columns: list[str]) -> Column:
     return F.xxhash64(*[F.col(c) for c in columns])
 
 
+def series_tie(columns: list[str]) -> Column:
+    """Order of rows that share campaign, date, hour and window: by the hash of their facts, which
+    later steps leave alone, then by the hash of all columns."""
+    facts = [c for c in FACT_COLUMNS if c in columns]
+    return F.struct(_row_hash(facts or columns).alias("facts"), _row_hash(columns).alias("all"))
+
+
 def _hot_names(df: DataFrame, hot_rows: int) -> DataFrame:
     return (
         df.groupBy(F.col(KEY).alias("_hot_key"))
@@ -158,7 +165,7 @@ def _hot_names(df: DataFrame, hot_rows: int) -> DataFrame:
 
 
 def _cold_lane(df: DataFrame) -> Lane:
-    rows = df.withColumn("_tie", _row_hash(df.columns))
+    rows = df.withColumn("_tie", series_tie(df.columns))
     return Lane(rows, (KEY,), (*ORDER, "_tie"), False)
 
 
@@ -174,8 +181,8 @@ def series_positions(df: DataFrame) -> DataFrame:
     runs = (
         df.groupBy(*df.columns)
         .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_tie", _row_hash(df.columns))
-        .withColumn("_slice", F.shiftright("_tie", 58))
+        .withColumn("_tie", series_tie(df.columns))
+        .withColumn("_slice", F.shiftright("_tie.facts", 58))
     )
     cells = runs.groupBy(*cell).agg(F.sum("_copies").alias("_n"))
     prior = Window.unboundedPreceding, -1

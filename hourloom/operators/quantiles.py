@@ -8,12 +8,31 @@ ranks, and only the values of those buckets are sorted.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS_PER_LOG_UNIT = 4096
 
 
+def _bucket() -> Column:
+    return (F.signum("_x") * F.floor(F.log1p(F.abs("_x")) * BUCKETS_PER_LOG_UNIT)).cast("int")
+
+
+def value_ranks(df: DataFrame, value: str) -> DataFrame:
+    """(value, first, copies): each distinct value, the number of smaller ones, and how often it
+    occurs.  NULL and NaN are left out."""
+    x = F.col(value).cast("double").alias("_x")
+    runs = df.select(x).filter("_x IS NOT NULL AND NOT isnan(_x)").groupBy("_x").agg(F.count(F.lit(1)).alias("copies"))
+    runs = runs.withColumn("_bucket", _bucket())
+    prior = Window.unboundedPreceding, -1
+    counts = runs.groupBy("_bucket").agg(F.sum("copies").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(*prior))
+    counts = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.sum("copies").over(Window.partitionBy("_bucket").orderBy("_x").rowsBetween(*prior))
+    first = F.col("_before") + F.coalesce(inside, F.lit(0))
+    return runs.join(counts, "_bucket").select(F.col("_x").alias(value), first.alias("first"), "copies")
+
+
 def exact_quantiles(
     df: DataFrame, value: str, probabilities: list[float], keys: list[str] | None = None
 ) -> DataFrame:
@@ -23,8 +42,7 @@ def exact_quantiles(
     k = [f"_k{i}" for i in range(len(keys))]
     x = F.col(value).cast("double")
     rows = df.select(*[F.col(c).alias(a) for c, a in zip(keys, k)], x.alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
-    bucket = F.signum("_x") * F.floor(F.log1p(F.abs("_x")) * BUCKETS_PER_LOG_UNIT)
-    rows = rows.withColumn("_bucket", bucket.cast("int"))
+    rows = rows.withColumn("_bucket", _bucket())
 
     group = Window.partitionBy(*(k or [F.lit(0)]))
     prior = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)

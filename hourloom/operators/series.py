@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hourloom.operators.lanes import ORDER, Lane, Step, over_series
+from hourloom.operators.lanes import ORDER, Lane, Step, over_series, series_tie
 from hourloom.schema import HORIZON, KEY, TARGET
 
 LAGS = (1, 24, 168)
@@ -193,12 +193,12 @@ def _newest_first() -> list[Column]:
 
 
 def tail_rows(df: DataFrame, n: int = 24) -> DataFrame:
-    """Newest ``n`` rows of each campaign.
+    """Newest ``n`` rows of each campaign: the last ones of its series, ties included.
 
     ``row_number <= n`` is applied before the exchange as well, so a huge campaign sends
     at most ``n`` rows per input partition.
     """
-    w = Window.partitionBy(KEY).orderBy(*_newest_first(), F.xxhash64(*df.columns))
+    w = Window.partitionBy(KEY).orderBy(*_newest_first(), series_tie(df.columns).desc())
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 

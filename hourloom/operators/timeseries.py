@@ -6,10 +6,12 @@ aggregation and their number per campaign is bounded by the calendar.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourloom.functions.scalars import event_ts
+from hourloom.functions.scalars import event_ts, micros, wall_clock
 from hourloom.schema import KEY
 
 HOUR_US = 3_600_000_000
@@ -23,7 +25,16 @@ def with_event_ts(df: DataFrame) -> DataFrame:
 
 
 def _us(c: str) -> Column:
-    return F.unix_micros(F.col(c).cast("timestamp"))
+    return micros(F.col(c))
+
+
+def step_us(length: int | str) -> int:
+    """Microseconds of a length: a number of hours, or a text such as "15 minutes", "hour", "24H" or "7D"."""
+    text = f"{length} hours" if isinstance(length, int) else length.strip().lower()
+    found = re.fullmatch(r"(\d*)\s*(m|min|minutes?|h|hours?|d|days?)", text)
+    if not found or not int(found[1] or 1):
+        raise ValueError(f"a length is a number of minutes, hours or days, such as '15 minutes'; got {length!r}")
+    return int(found[1] or 1) * {"m": HOUR_US // 60, "h": HOUR_US, "d": 24 * HOUR_US}[found[2][0]]
 
 
 def gap_detect(df: DataFrame, ts: str = "event_ts", hours: int = 2) -> DataFrame:
@@ -58,9 +69,9 @@ def resample_series(
     ts: str = "event_ts",
 ) -> DataFrame:
     """Regular buckets per campaign from its first to its last; empty ones are emitted with
-    sum 0 and mean NULL, and marked in ``is_missing_hour``."""
-    if freq not in ("hour", "day"):
-        raise ValueError("freq must be 'hour' or 'day'")
+    sum 0 and mean NULL, and marked in ``is_missing_hour``.  ``freq`` is a length as in
+    ``step_us``; buckets count from 1970-01-01."""
+    step = F.lit(step_us(freq)).cast("bigint")
     aggregation = aggregation or {
         "spend": "sum",
         "impressions": "sum",
@@ -69,26 +80,26 @@ def resample_series(
         "cpc": "mean",
     }
     functions = {"sum": F.sum, "mean": F.avg, "max": F.max, "min": F.min, "count": F.count}
-    bucket = F.date_trunc(freq, F.col(ts)).cast("timestamp_ntz").alias("bucket_ts")
+    bucket = (_us(ts) - F.pmod(_us(ts), step)).alias("_at")
     cells = (
         df.filter(F.col(ts).isNotNull())
         .groupBy(KEY, bucket)
         .agg(*[functions[f](c).alias(c) for c, f in aggregation.items()])
         .withColumn("_seen", F.lit(True))
     )
-    step = F.expr("INTERVAL 1 HOUR" if freq == "hour" else "INTERVAL 1 DAY")
     spine = (
         cells.groupBy(KEY)
-        .agg(F.min("bucket_ts").alias("_a"), F.max("bucket_ts").alias("_b"))
-        .select(KEY, F.explode(F.sequence("_a", "_b", step)).alias("bucket_ts"))
+        .agg(F.min("_at").alias("_a"), F.max("_at").alias("_b"))
+        .select(KEY, F.explode(F.sequence("_a", "_b", step)).alias("_spine"))
+        .withColumn("bucket_ts", wall_clock(F.col("_spine")))
     )
     fill = {
         c: F.coalesce(F.col(c), F.lit(0)) for c, f in aggregation.items() if f in ("sum", "count")
     }
     # A null key is a series like any other.
-    seen = cells.withColumnsRenamed({KEY: "_key", "bucket_ts": "_bucket"})
-    same = F.col(KEY).eqNullSafe(F.col("_key")) & (F.col("bucket_ts") == F.col("_bucket"))
-    out = spine.join(seen, same, "left").drop("_key", "_bucket")
+    seen = cells.withColumnRenamed(KEY, "_key")
+    same = F.col(KEY).eqNullSafe(F.col("_key")) & (F.col("_spine") == F.col("_at"))
+    out = spine.join(seen, same, "left").drop("_key", "_at", "_spine")
     return out.withColumns(
         {**fill, "is_missing_hour": F.when(F.col("_seen"), 0).otherwise(1)}
     ).drop("_seen")
@@ -98,11 +109,11 @@ def hours_since_positive_spend(df: DataFrame, ts: str = "event_ts") -> DataFrame
     """Hours from the last earlier instant with spend above zero to the row's instant."""
     cells = df.groupBy(KEY, ts).agg(F.max(F.col("spend") > 0).alias("_spent"))
     earlier = Window.partitionBy(KEY).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("_spent"), F.col(ts))).over(earlier)
+    last = F.max(F.when(F.col("_spent"), _us(ts))).over(earlier)
     cells = cells.select(
         F.col(KEY).alias("_k"),
         F.col(ts).alias("_t"),
-        ((_us(ts) - F.unix_micros(last.cast("timestamp"))) / HOUR_US).alias("hours_since_positive_spend"),
+        ((_us(ts) - last) / HOUR_US).alias("hours_since_positive_spend"),
     )
     same = F.col(KEY).eqNullSafe(F.col("_k")) & (F.col(ts) == F.col("_t"))
     return df.join(cells, same, "left").drop("_k", "_t")
@@ -110,7 +121,7 @@ def hours_since_positive_spend(df: DataFrame, ts: str = "event_ts") -> DataFrame
 
 def rolling_time(
     df: DataFrame,
-    windows: dict[str, int] | None = None,
+    windows: dict[str, int | str] | tuple[str, ...] | None = None,
     metrics: tuple[str, ...] = ROLLING_METRICS,
     ts: str = "event_ts",
 ) -> DataFrame:
@@ -118,9 +129,11 @@ def rolling_time(
 
     Rows of one instant form a cell with (n, sum, squares, min, max).  Values are centred
     on the campaign mean before squaring, and a frame whose minimum equals its maximum has
-    deviation 0 exactly.
+    deviation 0 exactly.  ``windows`` has lengths as in ``step_us``, by name or as their own names.
     """
     windows = windows or TIME_WINDOWS
+    if not isinstance(windows, dict):
+        windows = {name: name for name in windows}
     metrics = tuple(c for c in metrics if c in df.columns)
     cells = df.groupBy(F.col(KEY).alias("_k"), F.col(ts).alias("_t")).agg(
         *[F.count(c).alias(f"n_{c}") for c in metrics],
@@ -130,16 +143,15 @@ def rolling_time(
         *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in metrics],
     )
     whole = "OVER (PARTITION BY _k)"
-    cells = cells.selectExpr(
+    cells = cells.withColumn("_us", _us("_t")).selectExpr(
         "*",
-        "unix_micros(CAST(_t AS TIMESTAMP)) AS _us",
         *[f"try_divide(sum(n_{c} * m_{c}) {whole}, sum(n_{c}) {whole}) AS c_{c}" for c in metrics],
     )
     framed = ["_k", "_t"]
     for name, hours in windows.items():
         w = (
             "OVER (PARTITION BY _k ORDER BY _us RANGE BETWEEN "
-            f"{hours * HOUR_US - 1} PRECEDING AND CURRENT ROW)"
+            f"{step_us(hours) - 1} PRECEDING AND CURRENT ROW)"
         )
         for c in metrics:
             framed += [
@@ -164,20 +176,20 @@ def rolling_time(
     return df.join(cells.selectExpr(*out), same, "left").drop("_k", "_t")
 
 
-def time_windows(df: DataFrame, start: str, end: str, hours: int = 1) -> DataFrame:
-    """Consecutive [window_start, window_end) of ``hours`` between two timestamp columns;
-    the last one is cut at the end.  Rows with start >= end give no window."""
-    step = F.make_interval(hours=F.lit(hours))
-    a, b = F.col(start).cast("timestamp_ntz"), F.col(end).cast("timestamp_ntz")
-    steps = F.sequence(a, b, F.expr(f"INTERVAL {hours} HOUR"))
+def time_windows(df: DataFrame, start: str, end: str, length: int | str = 1) -> DataFrame:
+    """Consecutive [window_start, window_end) of a ``length`` as in ``step_us`` between two timestamp
+    columns; the last one is cut at the end.  Rows with start >= end give no window."""
+    step = F.lit(step_us(length)).cast("bigint")
+    a, b = _us(start), _us(end)
     return (
         df.filter(a < b)
-        .withColumn("window_start", F.explode(F.when(a < b, steps)))
-        .filter(F.col("window_start") < b)
-        .withColumn("window_end", F.least(F.col("window_start") + step, b))
+        .withColumn("_at", F.explode(F.when(a < b, F.sequence(a, b - 1, step))))
+        .withColumn("window_start", wall_clock(F.col("_at")))
+        .withColumn("window_end", wall_clock(F.least(F.col("_at") + step, b)))
+        .drop("_at")
     )
 
 
-def get_time_windows(spark: SparkSession, start: str, end: str, hours: int = 1) -> DataFrame:
+def get_time_windows(spark: SparkSession, start: str, end: str, length: int | str = 1) -> DataFrame:
     bounds = spark.range(1).select(F.lit(start).alias("start"), F.lit(end).alias("end"))
-    return time_windows(bounds, "start", "end", hours).select("window_start", "window_end")
+    return time_windows(bounds, "start", "end", length).select("window_start", "window_end")

@@ -18,6 +18,7 @@ from hourloom.operators.campaign import encode_tiers
 from hourloom.operators.horizon import build_horizon_frame, two_stage_total, weight_distribution
 from hourloom.operators.metrics import rmse, train_test_metrics
 from hourloom.operators.projections import clamp_nonnegative, feature_names
+from hourloom.operators.quantiles import value_ranks
 from hourloom.operators.series import current_rows, latest_row
 from hourloom.operators.split import rolling_origin_folds, split_data
 from hourloom.durable import durable
@@ -181,23 +182,21 @@ def predict_interval(
 ) -> DataFrame:
     """Residual bootstrap: ``n_iterations`` draws of prediction + hold-out residual.
 
-    ``holdout`` has actual and predicted.  Residuals enter as 1,001 quantiles, a sketch of
-    fixed size that is broadcast; the draws of a campaign are picked by hash.
+    ``holdout`` has actual and predicted.  A draw is a rank picked by md5 of campaign, draw and seed among all
+    residuals; draws meet residuals in a join by rank.  Without residuals there is no interval, which is an error.
     """
-    levels = [i / 1000 for i in range(1001)]
-    pool = holdout.agg(
-        F.percentile_approx(
-            F.col("actual").cast("double") - F.col("predicted").cast("double"), levels, 100_000
-        ).alias("_pool")
-    )
-    draws = F.transform(
-        F.sequence(F.lit(1), F.lit(n_iterations)),
-        lambda b: F.col(prediction)
-        + F.get("_pool", F.pmod(F.xxhash64(F.col(KEY), b, F.lit(seed)), F.lit(1001)).cast("int")),
-    )
-    rows = predicted.crossJoin(F.broadcast(pool)).select(
-        KEY, F.col(prediction).alias("prediction"), F.explode(draws).alias("_draw")
+    error = (F.col("actual").cast("double") - F.col("predicted").cast("double")).alias("residual")
+    residuals = durable(holdout.select(error).filter("residual IS NOT NULL AND NOT isnan(residual)"))
+    n = residuals.count()
+    if not n:
+        raise ValueError("holdout has no row with both actual and predicted")
+    pool = value_ranks(residuals, "residual").select(
+        "residual", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("copies") - 1)).alias("_rank")
     )
+    digest = F.md5(F.concat_ws("|", F.col(KEY), F.col("_b"), F.lit(seed)))
+    rank = F.conv(F.substring(digest, 1, 12), 16, 10).cast("bigint") % F.lit(n)
+    draws = predicted.select(KEY, F.col(prediction).alias("prediction"), F.explode(F.sequence(F.lit(1), F.lit(n_iterations))).alias("_b"))
+    rows = draws.withColumn("_rank", rank).join(pool, "_rank").withColumn("_draw", F.col("prediction") + F.col("residual"))
     return rows.groupBy(KEY).agg(
         F.first("prediction").alias("prediction"),
         F.percentile("_draw", 0.025).alias("lower_95"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from hourloom.functions.scalars import action_total, repair_date, to_count, to_num
 from hourloom.schema import (
@@ -34,10 +35,27 @@ def explode_pages(pages: DataFrame, since: str | None = None, until: str | None
 
 
 def scan_insight_pages(
-    spark: SparkSession, path: str, since: str | None = None, until: str | None = None
+    spark: SparkSession,
+    path: str,
+    since: str | None = None,
+    until: str | None = None,
+    multi_line: bool = False,
+    mode: str = "FAILFAST",
 ) -> DataFrame:
-    """Raw rows of all pages in a directory (one JSON page per line)."""
-    return explode_pages(spark.read.schema(PAGE).json(path), since, until)
+    """Raw rows of all pages in a directory: one JSON page per line, or per file if ``multi_line``.
+
+    A page that can't be read is an error, unless ``mode`` is "DROPMALFORMED"; ``rejected_pages`` lists them.
+    """
+    pages = spark.read.schema(PAGE).option("mode", mode).option("multiLine", multi_line).json(path)
+    return explode_pages(pages, since, until)
+
+
+def rejected_pages(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """(file, page) of the pages that aren't JSON of the page schema."""
+    pages = spark.read.option("wholetext", multi_line).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("page"))
+    schema = StructType([*PAGE.fields, StructField("_bad", StringType())])
+    bad = F.from_json("page", schema, {"columnNameOfCorruptRecord": "_bad"})["_bad"]
+    return pages.filter((F.trim("page") != "") & bad.isNotNull())
 
 
 def flatten_insights(rows: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from hourloom.sources.insights import explode_pages, flatten_insights
 
 def stream_insights(spark: SparkSession, pages_dir: str, files_per_batch: int = 1000) -> DataFrame:
     """Flat facts as a stream over a directory where pages land."""
-    pages = spark.readStream.schema(PAGE).option("maxFilesPerTrigger", files_per_batch).json(pages_dir)
+    pages = spark.readStream.schema(PAGE).option("mode", "FAILFAST").option("maxFilesPerTrigger", files_per_batch).json(pages_dir)
     return flatten_insights(explode_pages(pages))
 
 
