@@ -11,6 +11,7 @@ so slot s lies in shard s // shard_slots at byte (s % shard_slots) * stride, and
 from __future__ import annotations
 
 import base64
+import re
 import struct
 from collections.abc import Iterator
 from pathlib import Path
@@ -30,10 +31,11 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 LENGTH, SHARD_SLOTS, KEY, ROUNDS = 1024, 2048, 20240131, 6
-MAX_CACHED = 200_000
+RUN = 1 << 18  # characters tokenised together
 BLOCK = 64  # sequences compressed together
 MAX_HELD = 64 << 20  # bytes of sequences that a task holds while it fills blocks
 _LEVEL = 6
+_SPACE = re.compile(r"(?<=\S) (?=\S)")
 _HEAD = np.dtype([("slot", "<i8"), ("first", "<i8"), ("last", "<i8"), ("n", "<i4")])  # first and last doc_id, number of tokens
 _NO_ID = -(1 << 63)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -57,31 +59,22 @@ def feistel(index: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
 
 
 class Tokens:
-    """Token ids as bytes (two for each), with the words seen so far kept up to a bound."""
+    """Token ids as bytes, two for each."""
 
     def __init__(self, vocabulary: bytes):
         import tiktoken
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.seen: dict[str, bytes] = {}
 
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.coder.encode_ordinary(text), dtype=np.uint16).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        ids = self._ids(word)
-        if len(self.seen) < MAX_CACHED and len(word) < 40:
-            self.seen[word] = ids
-        return ids
-
-    def encode(self, text: str) -> bytes:
-        """A single space between two other characters always begins a token, so words can be taken one by one."""
-        first, *words = text.split(" ")
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in words) or first[-1:].isspace() or (words and not first):
-            return self._ids(text)
-        get = self.seen.get
-        return self._ids(first) + b"".join([get(w) or self._word(w) for w in [" " + w for w in words]])
+    def encode(self, text: str) -> Iterator[bytes]:
+        """The ids of a text, in pieces.  A single space between two other characters always begins a token, so texts can be cut there."""
+        start = 0
+        while start < len(text):
+            cut = _SPACE.search(text, start + RUN)
+            stop = cut.start() if cut else len(text)
+            yield np.array(self.coder.encode_ordinary(text[start:stop]), dtype=np.uint16).tobytes()
+            start = stop
 
 
 def _block(heads: np.ndarray, tokens: bytes) -> tuple[int, bytes, bytes]:
@@ -108,7 +101,8 @@ def _pack(vocabulary, length: int):
             for doc, text in zip(b.column(0).fill_null(_NO_ID).to_pylist(), b.column(1)):
                 if owner is None:
                     owner = doc
-                rest += tokens.encode(text.as_py() or "")
+                for ids in tokens.encode(text.as_py() or ""):
+                    rest += ids
                 rest += struct.pack("<H", END)
                 while len(rest) >= (len(heads) + 1) * width:
                     heads.append((-1, owner, doc, length))

@@ -233,7 +233,7 @@ def test_archives(spark, tmp_path):
         list(archives.arc_records(b"filedesc://x 0 0 text/plain 4\n9 0\n\n"))
 
 
-def test_training_order(spark, tmp_path):
+def test_training_order(spark, tmp_path, monkeypatch):
     for n in (1, 2, 5, 1000, 4097):
         assert sorted(training_order.feistel(np.arange(n), n)) == list(range(n))
     texts = _texts()
@@ -244,7 +244,10 @@ def test_training_order(spark, tmp_path):
     want = collections.Counter(training_order.END for _ in texts)
     for t in texts:
         want.update(coder.coder.encode_ordinary(t or ""))
-        assert coder.encode(t or "") == coder._ids(t or "")
+    for run in (1, 3, 50):
+        monkeypatch.setattr(training_order, "RUN", run)
+        for t in [*texts, " x", "x ", "a  b c", "a\n b", "a\u00a0 b c", "it's 12 ... x"]:
+            assert b"".join(coder.encode(t or "")) == np.array(coder.coder.encode_ordinary(t or ""), dtype=np.uint16).tobytes()
     assert collections.Counter(x for r in rows for x in np.frombuffer(r.tokens, dtype=np.uint16).tolist()) == want
 
 
