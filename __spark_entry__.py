@@ -33,6 +33,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 AS_OF = datetime(2024, 1, 31, 20, 0)
+FORECAST_START = datetime(2024, 1, 31, 2, 0)
 # Small searches for the model queries; the library defaults are 100 trials and 5 folds.
 SMALL = {
     "maxDepth": [3, 4],
@@ -1026,6 +1027,21 @@ def _(spark, d):
     return H.build_horizon_frame(latest).select("campaign_name", "horizon", "date", "hour", "day_of_week", "day_of_month", "month", "is_weekend", "is_business_hours", "spend", "hour_spend")
 
 
+# Campaigns whose newest hours differ: each value stands under its own clock hour.
+_BY_CLOCK = f"select campaign_name, spend + h as v, cast(date_diff('hour', timestamp '2024-01-31 02:00:00', {_FUT}) as int) + 1 as slot from (select *, {_NEWEST} as rn from ({_CLEAN}) c) x, range(1, 13) r(h) where rn = 1"
+
+
+@query(
+    "forecast_wide",
+    "select campaign_name as \"Campaign\", "
+    + ", ".join(f'coalesce(max(case when slot = {i} then v end), 0) as "{label}"' for i, label in enumerate(H.hour_labels(FORECAST_START), 1))
+    + f" from (select campaign_name, slot, {_even('v', 2)} as v from ({_BY_CLOCK}) b) x group by 1",
+)
+def _(spark, d):
+    rows = H.build_horizon_frame(R.latest_row(_clean(spark, d)))
+    return H.forecast_wide(rows.withColumn("predicted_spend", F.col("spend") + F.col("horizon")), FORECAST_START)
+
+
 @query("score_hourly")
 def _(spark, d):
     rows = _model_rows(spark, d)

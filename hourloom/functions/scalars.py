@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from datetime import datetime
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -69,6 +70,11 @@ def event_ts(date: Column, hour: Column) -> Column:
     return midnight + F.make_interval(hours=hour)
 
 
+def fixed_time(moment: datetime) -> Column:
+    """A literal wall-clock time, which no time zone moves."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
     """Microseconds from 1970 to a wall-clock time, whatever the session's time zone."""
     t = ts.cast("timestamp_ntz")

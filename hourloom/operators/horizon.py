@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hourloom.functions.scalars import event_ts, flag, half_even, hour_weight
+from hourloom.functions.scalars import event_ts, fixed_time, flag, half_even, hour_weight, micros
 from hourloom.operators.projections import (
     add_cyclical,
     add_interaction_features,
@@ -21,24 +21,30 @@ def cross_join_horizons(df: DataFrame, horizons: int = HORIZON) -> DataFrame:
     return df.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in range(1, horizons + 1)])))
 
 
-def build_horizon_frame(latest: DataFrame, horizons: int = HORIZON) -> DataFrame:
-    """Future rows of each latest row: the instant moves on by ``horizon`` hours and every
-    column derived from the calendar is computed again; other columns keep their value."""
-    future = event_ts(F.col("date"), F.col("hour")) + F.make_interval(hours=F.col("horizon"))
-    rows = cross_join_horizons(latest, horizons).withColumn("_ts", future)
-    hour, weekday = F.hour("_ts"), F.weekday("_ts")
+def build_horizon_frame(latest: DataFrame, horizons: int = HORIZON, start: datetime | None = None) -> DataFrame:
+    """Future rows of each latest row, at ``target_ts``, with every column derived from the calendar computed again.
+
+    With ``start``, horizon 1 is that hour for all campaigns, so equal horizons are equal clock hours.
+    Without it, each campaign goes on from its own newest hour.  Other columns keep their value.
+    """
+    if start is None:
+        future = event_ts(F.col("date"), F.col("hour")) + F.make_interval(hours=F.col("horizon"))
+    else:
+        future = fixed_time(start) + F.make_interval(hours=F.col("horizon") - 1)
+    rows = cross_join_horizons(latest, horizons).withColumn("target_ts", future)
+    hour, weekday = F.hour("target_ts"), F.weekday("target_ts")
     rows = rows.withColumns(
         {
-            "date": F.col("_ts").cast("date"),
+            "date": F.col("target_ts").cast("date"),
             "hour": hour,
             "day_of_week": weekday,
-            "day_of_month": F.dayofmonth("_ts"),
-            "month": F.month("_ts"),
+            "day_of_month": F.dayofmonth("target_ts"),
+            "month": F.month("target_ts"),
             "is_weekend": flag(weekday.isin(5, 6)),
             "is_business_hours": flag(hour.between(9, 17)),
             "was_missing": F.lit(0),
         }
-    ).drop("_ts")
+    )
     if "hour_sin" in latest.columns:
         rows = add_cyclical(rows)
     if "hour_spend" in latest.columns:
@@ -96,11 +102,18 @@ def hour_labels(start: datetime, horizons: int = HORIZON) -> list[str]:
 
 
 def forecast_wide(hourly: DataFrame, start: datetime, horizons: int = HORIZON) -> DataFrame:
-    """One row per campaign, one column per hour label, values rounded to cents."""
+    """One row per campaign, one column per hour label, values rounded to cents.
+
+    Where ``hourly`` has ``target_ts``, a value stands under the label of its clock hour, counted from ``start``; hours outside
+    the labels are left out, their campaigns stay.  Otherwise horizon 1 is the hour of ``start``.
+    """
     labels = hour_labels(start, horizons)
+    slot = F.col("horizon")
+    if "target_ts" in hourly.columns:
+        slot = F.floor((micros(F.col("target_ts")) - micros(fixed_time(start))) / 3_600_000_000).cast("int") + 1
     wide = (
-        hourly.groupBy(F.col(KEY).alias("Campaign"))
-        .pivot("horizon", list(range(1, horizons + 1)))
+        hourly.select(F.col(KEY).alias("Campaign"), slot.alias("_slot"), "predicted_spend").groupBy("Campaign")
+        .pivot("_slot", list(range(1, horizons + 1)))
         .agg(F.first("predicted_spend"))
     )
     values = [
@@ -114,7 +127,7 @@ def forecast_long(totals: DataFrame, as_of: datetime) -> DataFrame:
     return totals.select(
         KEY,
         F.col("predicted_spend_12h"),
-        F.lit(as_of).cast("timestamp_ntz").alias("timestamp"),
+        fixed_time(as_of).alias("timestamp"),
     )
 
 

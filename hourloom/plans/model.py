@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from datetime import datetime
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
@@ -152,15 +153,15 @@ def score_12h(model: PipelineModel, df: DataFrame, features: list[str]) -> DataF
     return scored.select(KEY, F.col("prediction").alias("predicted_spend_12h"))
 
 
-def score_horizons(model: PipelineModel, latest: DataFrame, features: list[str]) -> DataFrame:
-    """Raw prediction per campaign and horizon."""
-    return predict(model, build_horizon_frame(latest), features).select(KEY, "horizon", "prediction")
+def score_horizons(model: PipelineModel, latest: DataFrame, features: list[str], start: datetime | None = None) -> DataFrame:
+    """Raw prediction per campaign and horizon, with the hour it is for."""
+    return predict(model, build_horizon_frame(latest, start=start), features).select(KEY, "horizon", "target_ts", "prediction")
 
 
-def score_hourly(model: PipelineModel, latest: DataFrame, features: list[str]) -> DataFrame:
-    """Non-negative prediction per campaign and horizon."""
-    scored = score_horizons(model, latest_row(latest), features)
-    return scored.select(KEY, "horizon", clamp_nonnegative(F.col("prediction")).alias("predicted_spend"))
+def score_hourly(model: PipelineModel, latest: DataFrame, features: list[str], start: datetime | None = None) -> DataFrame:
+    """Non-negative prediction per campaign and horizon; with ``start``, for the hours from then on, alike for all campaigns."""
+    scored = score_horizons(model, latest_row(latest), features, start)
+    return scored.select(KEY, "horizon", "target_ts", clamp_nonnegative(F.col("prediction")).alias("predicted_spend"))
 
 
 def predict_two_stage(model: PipelineModel, latest: DataFrame, features: list[str]) -> DataFrame:

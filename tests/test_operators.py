@@ -103,6 +103,22 @@ def test_horizon_frame_moves_the_calendar(spark):
     assert (str(out[12]["date"]), out[12]["hour"], out[12]["is_business_hours"]) == ("2025-01-05", 10, 1)
 
 
+def test_forecast_columns_follow_the_clock(spark):
+    latest = frame(spark, [fact("A", 3, 22, 5.0), fact("B", 3, 20, 7.0)]).transform(Q.validate).transform(add_temporal_features)
+    start = dt.datetime(2025, 1, 4, 0)
+    same = {(r["campaign_name"], r["horizon"]): r["target_ts"] for r in H.build_horizon_frame(latest, start=start).collect()}
+    assert all(same[c, h] == start + dt.timedelta(hours=h - 1) for c in "AB" for h in range(1, 13))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    base = {r["campaign_name"]: dt.datetime.combine(r["date"], dt.time(r["hour"])) for r in latest.select("campaign_name", "date", "hour").collect()}
+    for name in (zone, "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", name)
+        hourly = H.build_horizon_frame(latest).withColumn("predicted_spend", F.col("horizon").cast("double"))
+        first = base["A"] + dt.timedelta(hours=1)
+        wide = {r[0]: list(r[1:]) for r in H.forecast_wide(hourly, first).collect()}
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        assert wide == {"A": [float(h) for h in range(1, 13)], "B": [*[float(h) for h in range(3, 13)], 0.0, 0.0]}
+
+
 def test_exact_quantiles(spark):
     rng = np.random.default_rng(3)
     groups = {"a": rng.normal(0, 100, 500), "b": np.repeat([1.0, 2.0, 2.0, 9.0], 50), "c": np.array([4.0]), "d": rng.exponential(1e-3, 77)}
