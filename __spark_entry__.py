@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ from hourloom.operators import series as R
 from hourloom.operators import split as X
 from hourloom.operators import timeseries as T
 from hourloom.plans import jobs, model, prepare
-from hourloom.durable import scratch_path
+from hourloom.durable import durable, scratch_path
 from hourloom.schema import ACTION_VARIANTS, COUNTERS, FACT_COLUMNS, METRICS, NOT_FEATURES, PAGE, TARGET
 from hourloom.sources import files, insights
 from hourloom.sources.testviews import campaign_events, campaign_hourly
@@ -34,7 +35,8 @@ _ORACLES: dict[str, str] = {}
 
 AS_OF = datetime(2024, 1, 31, 20, 0)
 FORECAST_START = datetime(2024, 1, 31, 2, 0)
-# Small searches for the model queries; the library defaults are 100 trials and 5 folds.
+# The model queries search this whole grid on 5 folds over all features; the trees are few (the library's own
+# search is 100 settings of 100 to 1,000 trees).
 SMALL = {
     "maxDepth": [3, 4],
     "stepSize": [0.1, 0.2],
@@ -978,13 +980,16 @@ def _(spark, d):
 # ---------------------------------------------------------------- 2.11 model jobs
 
 
+TRIALS, FOLDS = 4, 5
+
+
 def _model_rows(spark, d):
-    """Labelled rows with lags and ratios: a small feature set for the model queries."""
-    return prepare.prepare_features(_facts(spark, d)).transform(P.add_cyclical).transform(P.add_interaction_features)
+    """The labelled feature table; search, fit and scoring each read it."""
+    return durable(prepare.feature_table(_facts(spark, d)))
 
 
-def _fit(rows, n_trials: int = 1):
-    fitted, meta = model.train_gbt(rows, n_trials=n_trials, cv_folds=2, space=SMALL)
+def _fit(rows):
+    fitted, meta = model.train_gbt(rows, n_trials=TRIALS, cv_folds=FOLDS, space=SMALL)
     return fitted, meta["feature_names"], meta
 
 
@@ -992,14 +997,14 @@ def _fit(rows, n_trials: int = 1):
 def _(spark, d):
     rows = _model_rows(spark, d)
     train, test = X.split_data(rows, 0.2, "campaign")
-    fitted, names, _meta = _fit(train, 2)
+    fitted, names, _meta = _fit(train)
     return M.train_test_metrics(model.predictions(fitted, train, names), model.predictions(fitted, test, names))
 
 
 @query("train_job")
 def _(spark, d):
     data = files.sink_processed(_model_rows(spark, d), scratch_path(spark, "processed.parquet"))
-    return model.train_job(spark, data, scratch_path(spark, "model"), 1, 2, SMALL)[1]
+    return model.train_job(spark, data, scratch_path(spark, "model"), TRIALS, FOLDS, SMALL)[1]
 
 
 @query("model_save_load")
@@ -1065,10 +1070,10 @@ def _(spark, d):
 
 @query("forecast_job")
 def _(spark, d):
-    data = files.sink_processed(_model_rows(spark, d), scratch_path(spark, "processed.parquet"))
-    fitted, names, meta = _fit(files.scan_any(spark, data))
+    fitted, _names, meta = _fit(_model_rows(spark, d))
     saved = files.model_save(spark, fitted, scratch_path(spark, "model"), meta)
-    return jobs.forecast_job(spark, data, saved, scratch_path(spark, "forecast"), AS_OF)
+    newest = files.sink_any(prepare.scoring_rows(_facts(spark, d)), scratch_path(spark, "scoring.parquet"), "parquet")
+    return jobs.forecast_job(spark, newest, saved, scratch_path(spark, "forecast"), AS_OF)
 
 
 @query("predict_interval")
@@ -1089,15 +1094,16 @@ def _(spark, d):
 def _(spark, d):
     train, test = X.split_data(_model_rows(spark, d), 0.2, "campaign")
     fitted, names, _meta = _fit(train)
-    return model.importance_permutation(fitted, test, names, 2)
+    return model.importance_permutation(fitted, test, names)
 
 
 @query("evaluation_report")
 def _(spark, d):
     train, test = X.split_data(_model_rows(spark, d), 0.2, "campaign")
     fitted, names, _meta = _fit(train)
-    report = jobs.evaluation_report(spark, fitted, names, test, train, 1)
-    return M.as_long(report["metrics"]).unionByName(M.as_long(report["residuals"]))
+    report = jobs.evaluation_report(spark, fitted, names, test, train)
+    tables = [df.withColumn("report_table", F.lit(name)) for name, df in report.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
 
 
 # ---------------------------------------------------------------- 2.12 composed features
@@ -1203,8 +1209,8 @@ def _(spark, d):
         predictions_path=scratch_path(spark, "forecast"),
         report_path=scratch_path(spark, "report"),
         start=AS_OF,
-        n_trials=1,
-        evaluate_model_flag=False,
+        n_trials=TRIALS,
+        cv_folds=FOLDS,
         space=SMALL,
     )
     return results["predictions"]
