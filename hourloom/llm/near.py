@@ -76,12 +76,12 @@ def super_minhash(hashes: np.ndarray, rows: np.ndarray, n_rows: int, m: int = RE
     return registers.reshape(n_rows, m)
 
 
-_SIGNED = "doc_id bigint, n_shingles bigint, node binary, bands array<bigint>, s1 bigint, s2 bigint"
+_SIGNED = "doc_id bigint, text_key binary, n_shingles bigint, node binary, bands array<bigint>, s1 bigint, s2 bigint"
 
 
 def _signatures(size: int):
     schema = pa.schema(
-        [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64())]
+        [("doc_id", pa.int64()), ("text_key", pa.binary()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("bands", pa.list_(pa.int64())), ("s1", pa.int64()), ("s2", pa.int64())]
     )
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,6 +100,7 @@ def _signatures(size: int):
                 yield spans.batch(
                     {
                         "doc_id": b.column(0).slice(c.first, c.rows),
+                        "text_key": b.column(2).slice(c.first, c.rows).cast(pa.binary()),
                         "n_shingles": [len(s) for s in sets],
                         "node": [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets],
                         "bands": spans.list_column(keys[full].view(np.int64).ravel(), np.where(full, BANDS, 0), pa.int64()),
@@ -182,9 +183,12 @@ def components(links: DataFrame) -> DataFrame:
 def _sets_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
     """The full shingle sets of the wanted nodes, from the whole texts."""
     low = wanted.join(nodes.select("node", "low"), "node").select(F.col("low").alias("doc_id")).distinct()
-    texts = docs.join(low, "doc_id", "left_semi").select("text")
+    texts = docs.join(low.where("doc_id is not null"), "doc_id", "left_semi").select("text")
+    # Null identifiers are no key: where a wanted set has no other, all their texts are read where they lie.
+    nameless = low.where("doc_id is null").limit(1).select(F.lit(1).alias("any"))
+    texts = texts.unionAll(docs.where("doc_id is null").crossJoin(F.broadcast(nameless)).select("text"))
     sets = texts.mapInArrow(_sets(size), "node binary, shingles array<bigint>").where("node is not null")
-    return stored(sets.dropDuplicates(["node"]), "sets")
+    return stored(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]), "sets")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -207,6 +211,11 @@ def _sides(fields: list[str], *sides: str) -> list[list]:
     return [[F.col(f).alias(f"{f}_{side}") for f in fields] + [F.col("node").alias(side)] for side in sides]
 
 
+def text_key(column: str = "text"):
+    """What tells texts of one identifier apart."""
+    return F.unhex(F.md5(column))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept.
 
@@ -215,11 +224,16 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
     100 * intersection >= ``percent`` * union; components are the classes of the links' closure and
     bear their smallest doc_id.  Null or blank texts have an empty set and are linked with
     nothing.  Rows that share a doc_id count as one document if their texts are equal, and each on
-    its own text otherwise; a null doc_id is never a component's name unless no other is there.
-    Other columns are not looked at.  Sets are compared as sets of 64-bit hashes.
+    its own text otherwise; a null doc_id is never a component's name unless no other is there, and then the
+    smallest shingle set's rows are kept.  Other columns are not looked at.  Sets are compared as sets of 64-bit hashes.
     """
+    return near_groups(docs, size, percent, id_column, text_column).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def near_groups(docs: DataFrame, size: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """``near_duplicates`` with ``text_key`` and ``root``, the group itself (null for blank texts)."""
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    signed = stored(docs.mapInArrow(_signatures(size), _SIGNED), "signatures")
+    signed = stored(docs.withColumn("text_key", text_key()).mapInArrow(_signatures(size), _SIGNED), "signatures")
     nodes = stored(
         signed.where("node is not null").groupBy("node").agg(
             F.min("doc_id").alias("low"), *[F.first(c).alias(c) for c in ("n_shingles", "bands", "s1", "s2")]
@@ -304,10 +318,12 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_column
 
     rooted = nodes.select("node", "low").join(roots, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     names = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = rooted.join(names, "root").select("node", "component_id")
+    named = rooted.join(names, "root").select("node", "root", "component_id")
+    nameless = F.col("component_id").isNull() & (F.col("node").isNull() | (F.col("node") == F.col("root")))
     return (
-        signed.select("doc_id", "n_shingles", "node")
+        signed.select("doc_id", "text_key", "n_shingles", "node")
         .join(named, "node", "left")
-        .select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
+        .select("doc_id", "text_key", "n_shingles", "node", "root", F.coalesce("component_id", "doc_id").alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), nameless))
+        .drop("node")
     )
