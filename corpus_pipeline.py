@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hourloom.durable import scratch_path
+from hourloom.durable import scratch_path, stored
 from hourloom.llm import mixing, near, pieces, quality, templates
 from hourloom.llm.queries import MIX_WEIGHTS
 from hourloom.llm.removal import NO_ID, with_id
@@ -33,9 +33,18 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: that with the smallest doc_id."""
-    gone = near.near_duplicates(docs).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies stays: that with the smallest doc_id (null last), then text key."""
+    rows = near.near_groups(docs).where("root is not null").select("doc_id", "text_key", "root")
+    texts = stored(rows.groupBy("doc_id", "text_key", "root").agg(F.count(F.lit(1)).alias("n")), "texts")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "text_key")
+    firsts = texts.groupBy("root").agg(F.min(order).alias("first"))
+    marks = texts.join(firsts, "root").select("doc_id", "text_key", "n", (order != F.col("first")).alias("gone")).where("gone or n > 1")
+    marks = stored(marks.withColumnsRenamed({"doc_id": "marked_id", "text_key": "marked_key"}), "marks")
+    keyed = docs.select(*COLUMNS).withColumn("text_key", near.text_key())
+    same = F.col("doc_id").eqNullSafe(F.col("marked_id")) & F.col("text_key").eqNullSafe(F.col("marked_key"))
+    once = keyed.join(marks, same, "left_anti").select(*COLUMNS)
+    repeated = keyed.join(marks.where("not gone"), same, "left_semi")
+    return once.unionByName(repeated.groupBy("doc_id", "text_key").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*"))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
