@@ -1,11 +1,11 @@
 """Line deduplication with a log-template tree.
 
 A line descends a tree of fixed depth: first by its number of tokens, then by its leading tokens.
-Tokens with digits, addresses and links are variable fields from the start.  In a leaf, the rest of the line is cut
-into four fields; besides the template that keeps all of them, the line stands under the four that leave
-one field open, so that lines which differ in one field only meet in a common template without any
-comparison of lines.  Templates are counted over all documents with partial sums, and
-a template that occurs in ``min_docs`` documents recurs: its lines are dropped everywhere but in
+Tokens with digits, addresses and links are variable fields from the start.  In a leaf, the distinct lines come in the order
+of their first documents; a line that agrees with an earlier template's first line in 70 % of its tokens joins that
+template, whichever positions differ, and another one begins a template.  Lines that agree so far share one of a few
+fields whole (one more than tokens may differ), so that only lines with an equal field are compared.
+A template that occurs in ``min_docs`` documents recurs: its lines are dropped everywhere but in
 the first document (smallest doc_id) that has it.
 """
 
@@ -23,73 +23,102 @@ from hourloom.llm import spans
 from hourloom.llm.removal import attach, plain_id, with_id
 
 DEPTH = 3
-FIELDS = 4
+SIMILAR = 70  # per cent of the tokens
 MIN_DOCS = 2
 _VARIABLE = np.zeros(256, dtype=bool)
 _VARIABLE[[*range(ord("0"), ord("9") + 1), ord("@")]] = True
 _OPEN = np.uint64(0x5851F42D4C957F2D)
 
 
-def line_templates(chunk: spans.Chunk, depth: int = DEPTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template, row, line in its row) for all lines with a token, of all their templates."""
-    words = spans.Words(chunk, lower=False)
-    if not len(words.starts):
-        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    tokens = words.hashes()
-    data = chunk.data
-    link = np.zeros(len(data), dtype=bool)
-    if len(data) > 2:
-        link[:-2] = (data[:-2] == ord(":")) & (data[1:-1] == ord("/")) & (data[2:] == ord("/"))
-    marks = np.concatenate([[0], np.cumsum(_VARIABLE[data] | link)])
-    tokens[marks[words.ends] > marks[words.starts]] = _OPEN
-    breaks = np.concatenate([[0], np.cumsum(data == 10)])
-    line = breaks[words.starts]
-    new = np.ones(len(tokens), dtype=bool)
-    new[1:] = (line[1:] != line[:-1]) | (words.rows[1:] != words.rows[:-1])
-    first = np.flatnonzero(new)
-    last = np.append(first[1:], len(tokens))
-    rows = words.rows[first]
-    number = line[first] - breaks[chunk.offsets[:-1]][rows]
-    count = last - first
-    lead = np.minimum(first + depth, last)
-    leaf = spans.mix(spans.prefix_hashes(tokens, first, lead) + count.astype(np.uint64))
-    edges = [lead + (last - lead) * k // FIELDS for k in range(FIELDS + 1)]
-    fields = [spans.prefix_hashes(tokens, a, b) for a, b in zip(edges[:-1], edges[1:])]
-
-    def template(shown: list[np.ndarray]) -> np.ndarray:
-        out = leaf
-        for f in shown:
-            out = spans.mix(out * np.uint64(0x2545F4914F6CDD1D) + f)
-        return out
-
-    out, at = [template(fields)], [np.arange(len(first))]
-    general = np.flatnonzero(last - lead >= FIELDS)
-    for k in range(FIELDS):
-        opened = template([np.full(len(first), _OPEN + np.uint64(k)) if j == k else f for j, f in enumerate(fields)])
-        out.append(opened[general])
-        at.append(general)
-    at = np.concatenate(at)
-    return np.concatenate(out), rows[at], number[at]
+class Lines:
+    """The lines of a chunk that have a token: leaf, template, row, number in the row and range of tokens of each."""
+
+    def __init__(self, chunk: spans.Chunk, depth: int = DEPTH):
+        words = spans.Words(chunk, lower=False)
+        self.tokens = tokens = words.hashes()
+        data = chunk.data
+        link = np.zeros(len(data), dtype=bool)
+        if len(data) > 2:
+            link[:-2] = (data[:-2] == ord(":")) & (data[1:-1] == ord("/")) & (data[2:] == ord("/"))
+        marks = np.concatenate([[0], np.cumsum(_VARIABLE[data] | link)])
+        tokens[marks[words.ends] > marks[words.starts]] = _OPEN
+        breaks = np.concatenate([[0], np.cumsum(data == 10)])
+        line = breaks[words.starts]
+        new = np.ones(len(tokens), dtype=bool)
+        new[1:] = (line[1:] != line[:-1]) | (words.rows[1:] != words.rows[:-1])
+        self.first = first = np.flatnonzero(new)
+        self.last = last = np.append(first[1:], len(tokens))[: len(first)]
+        self.rows = words.rows[first]
+        self.number = line[first] - breaks[chunk.offsets[:-1]][self.rows]
+        lead = np.minimum(first + depth, last)
+        self.leaf = spans.mix(spans.prefix_hashes(tokens, first, lead) + (last - first).astype(np.uint64))
+        self.template = spans.mix(self.leaf * np.uint64(0x2545F4914F6CDD1D) + spans.prefix_hashes(tokens, lead, last))
 
 
 def _scan(depth: int):
-    schema = pa.schema([("template", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32()), ("new", pa.int32())])
+    schema = pa.schema([("leaf", pa.int64()), ("template", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             for c in spans.chunks(b.column(1)):
-                template, rows, line = line_templates(c, depth)
-                order = np.argsort(rows, kind="stable")
-                template, rows, line = template[order], rows[order], line[order]
+                x = Lines(c, depth)
                 yield spans.batch(
-                    {"template": template.view(np.int64), "doc_id": ids[c.first + rows], "line": line.astype(np.int32), "new": spans.first_in_row(template, rows).astype(np.int32)},
-                    schema,
+                    {"leaf": x.leaf.view(np.int64), "template": x.template.view(np.int64), "doc_id": ids[c.first + x.rows], "line": x.number.astype(np.int32)}, schema
                 )
 
     return scan
 
 
+def _tokens(depth: int):
+    """Token hashes of 32 bits of the distinct lines that go on below the tree."""
+    schema = pa.schema([("template", pa.int64()), ("tokens", pa.list_(pa.int32()))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for c in spans.chunks(b.column(1)):
+                x = Lines(c, depth)
+                long = np.flatnonzero(x.last - x.first > depth)
+                template, at = np.unique(x.template[long], return_index=True)
+                at = long[at]
+                counts = x.last[at] - x.first[at]
+                places = np.arange(counts.sum()) + np.repeat(x.first[at] - np.cumsum(counts) + counts, counts)
+                values = x.tokens[places].astype(np.uint32).view(np.int32)
+                yield spans.batch({"template": template.view(np.int64), "tokens": spans.list_column(values, counts, pa.int32())}, schema)
+
+    return scan
+
+
+def _gather(depth: int, similar: int):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Lines arrive sorted by leaf and first document; (template, leader) of all that join an earlier one."""
+        leaf, leaders, places = None, [], {}
+        for b in batches:
+            found = []
+            offsets = b.column(3).offsets.to_numpy()
+            values = b.column(3).values.to_numpy()
+            for i, (own, template) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist())):
+                if own != leaf:
+                    leaf, leaders, places = own, [], {}
+                tokens = values[offsets[i] : offsets[i + 1]].copy()
+                n = len(tokens)
+                differ = (100 - similar) * n // 100
+                fields = min(differ, n - depth) + 1
+                edges = [depth + (n - depth) * k // fields for k in range(fields + 1)]
+                keys = [(k, tokens[x:y].tobytes()) for k, (x, y) in enumerate(zip(edges[:-1], edges[1:]))]
+                for at in sorted({at for key in keys for at in places.get(key, ())}):
+                    if np.count_nonzero(leaders[at][1] != tokens) <= differ:
+                        found.append((template, leaders[at][0]))
+                        break
+                else:
+                    for key in keys:
+                        places.setdefault(key, []).append(len(leaders))
+                    leaders.append((template, tokens))
+            yield pa.record_batch([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["template", "leader"])
+
+    return gather
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         marks = b.column(2).to_pylist()
@@ -104,12 +133,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
 
 
-def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH) -> DataFrame:
+def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: int = SIMILAR) -> DataFrame:
     """(doc_id, marks): the numbers of the lines that go, for documents that lose any; docs: doc_id, text."""
-    lines = stored(docs.mapInArrow(_scan(depth), "template bigint, doc_id bigint, line int, new int"), "lines")
-    recurring = lines.groupBy("template").agg(F.sum("new").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
-    gone = lines.join(recurring.select("template", "first"), "template").where("doc_id <> first")
-    return gone.groupBy("doc_id").agg(F.collect_set("line").alias("marks"))
+    lines = stored(docs.mapInArrow(_scan(depth), "leaf bigint, template bigint, doc_id bigint, line int"), "lines")
+    distinct = lines.groupBy("leaf", "template").agg(F.min("doc_id").alias("first"))
+    shared = lines.groupBy("leaf").agg(F.min("template").alias("low"), F.max("template").alias("high")).where("low <> high")
+    wanted = stored(distinct.join(shared.select("leaf"), "leaf"), "leaves")
+    tokens = docs.mapInArrow(_tokens(depth), "template bigint, tokens array<int>").join(wanted, "template")
+    tokens = tokens.groupBy("leaf", "first", "template").agg(F.first("tokens").alias("tokens"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tokens.repartition(parts, "leaf").sortWithinPartitions("leaf", "first", "template")
+    leaders = stored(dealt.mapInArrow(_gather(depth, similar), "template bigint, leader bigint"), "leaders")
+    named = lines.join(leaders, "template", "left").select(F.coalesce("leader", "template").alias("template"), "doc_id", "line")
+    per_doc = named.groupBy("template", "doc_id").agg(F.collect_set("line").alias("lines"))
+    per_doc = stored(per_doc, "templates")
+    recurring = per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
+    gone = per_doc.join(recurring.select("template", "first"), "template").where("doc_id <> first")
+    return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("marks"))
 
 
 def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
