@@ -3,7 +3,8 @@
 A page becomes text lines, one for each block of its markup, each with the zone it stands in: ``article`` inside
 article or main, ``frame`` inside navigation, headers, footers, sidebars, forms, adverts, notices and comments, and
 ``open`` where the markup doesn't tell.  Pages of a host are sorted by URL path over range partitions,
-and each page is paired with the neighbour whose path shares the longer prefix.  The lines of the two are
+and each page is paired with the neighbour whose path shares the longer prefix; copies, with the same lines, are no neighbours
+but look for the next different page on either side.  The lines of the two are
 aligned by longest common subsequence; lines that both have come from the site's template and are deleted.  The markup
 is the exact check that follows: lines of an article are kept when they are shared (reprints, quotations), lines of a frame
 go also when they are not shared.
@@ -143,7 +144,7 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages arrive sorted by host and path; three neighbours are held at a time."""
+    """Pages arrive sorted by host and path; a run of copies is held with the different pages before and after it."""
 
     def clean(page: tuple, *others: tuple | None) -> tuple:
         near = [o for o in others if o is not None and o[2] == page[2]]
@@ -157,17 +158,23 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
         return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["page_id", "url", "text", "n_chars", "paired_with", "n_shared_lines"])
 
-    before = page = None
+    before = None
+    run: list[tuple] = []  # pages of one host with equal lines, which they hold in common
     rows: list[tuple] = []
     for following in _pages(batches):
-        if page is not None:
+        if run and following[2] == run[0][2] and following[4] == run[0][4]:
+            zones = run[0][5] if following[5] == run[0][5] else following[5]
+            run.append((*following[:4], run[0][4], zones))
+            continue
+        for page in run:
             rows.append(clean(page, before, following))
-        before, page = page, following
-        if len(rows) >= 256:
-            yield out(rows)
-            rows = []
-    if page is not None:
-        rows.append(clean(page, before, None))
+            if len(rows) >= 256:
+                yield out(rows)
+                rows = []
+        if run:
+            before = run[-1]
+        run = [following]
+    rows.extend(clean(page, before, None) for page in run)
     if rows:
         yield out(rows)
 
@@ -177,7 +184,7 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
 
     A null or empty html, or one without text, gives an empty text.  A null URL has host and path "". Host and path are compared in
     lower case without scheme, query and fragment.  Ties in the path go by identifier; pages at the edge of a range have one neighbour.
-    Repeated rows are pages each.  Other columns are not looked at.
+    Repeated rows are pages each, and pages with the same lines aren't paired with each other.  Other columns are not looked at.
     """
     url = F.coalesce(F.col(url_column), F.lit(""))
     bare = F.lower(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", ""))
