@@ -2,7 +2,7 @@
 
 A sentence ends after a word that ends in one of .!? (closing quotes and brackets may follow) or at a line
 break.  Every run of ``run`` consecutive sentences is hashed; where such a run is short, it is taken longer at
-either end until it has ``min_words`` words, and one or two sentences count alone if they have ``long_words``.
+either end until it has ``min_words`` words, and fewer sentences than a run count alone if they have ``long_words``.
 The hashes meet in one global aggregation, which keeps the first place of each (smallest doc_id, then
 position); every other place is a repeated span, and all sentences that a repeated span covers are removed.
 """
@@ -20,7 +20,7 @@ from hourloom.durable import stored
 from hourloom.llm import spans
 from hourloom.llm.removal import attach, plain_id, with_id
 
-RUN, MIN_WORDS, LONG_WORDS = 3, 15, 40
+RUN, MIN_WORDS, LONG_WORDS = 2, 15, 10
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 _CLOSE = np.zeros(256, dtype=bool)
