@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.durable import discard, scratch_path
-from hourloom.llm import archives, exact, extraction, mixing, near, pieces, quality, sentence_spans, templates, training_order
+from hourloom.llm import archives, bin_packing, exact, extraction, mixing, near, pieces, quality, sentence_spans, templates, training_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -112,3 +113,12 @@ def _(spark, d):
     if not n:
         return spark.createDataFrame([], "slot bigint, shard bigint, position bigint, first_id bigint, last_id bigint, n_tokens int, tokens_sha256 string")
     return training_order.read_shards(spark, shards).withColumn("tokens_sha256", F.sha2("tokens", 256)).drop("tokens")
+
+
+#: Query parameter: the vocabulary of the packed tokens.
+WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op12_minimum_bin_slack")
+def _(spark, d):
+    return bin_packing.pack(_table(spark, d, "documents"), WORD_VOCABULARY)
