@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.durable import discard, scratch_path
-from hourloom.llm import archives, bin_packing, exact, extraction, mixing, near, pieces, quality, sentence_spans, templates, training_order
+from hourloom.llm import archives, bin_packing, divergence, exact, extraction, mixing, near, pieces, quality, sentence_spans, templates, training_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -122,3 +122,34 @@ WORD_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 @query("op12_minimum_bin_slack")
 def _(spark, d):
     return bin_packing.pack(_table(spark, d, "documents"), WORD_VOCABULARY)
+
+
+@query(
+    "op11_source_divergence",
+    r"""
+    with docs as (select row_number() over () as row, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+      words as (select row, lang, source, unnest(terms) as term from docs),
+      kept as (select lang, term from words group by all having count(distinct row) >= 10),
+      sizes as (select lang, count(*) as v from kept group by lang),
+      groups as (select lang, source, coalesce(v, 0) as v from (select distinct lang, source from docs) d left join sizes using (lang)),
+      found as (select lang, source, term, count(*) as n from words join kept using (lang, term) group by all),
+      totals as (select lang, source, sum(n) as n from found group by all),
+      cells as (select g.lang, g.source, k.term, coalesce(f.n, 0) as n,
+        1 + (1000000000::hugeint * (coalesce(f.n, 0) + 2)) // (coalesce(t.n, 0) + 2 * g.v) as p
+        from groups g join kept k using (lang) left join found f using (lang, source, term) left join totals t using (lang, source)),
+      whole as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // (sum(n) over (partition by lang) + 2 * v) as q
+        from (select lang, term, sum(n) as n from found group by all) w join sizes using (lang)),
+      pairs as (select a.lang, a.source, b.source as item, ((a.p - b.p) * (a.p - b.p)) // (a.p + b.p) as f
+        from cells a join cells b on a.lang = b.lang and a.term = b.term and a.source <> b.source),
+      sums as (select g.lang, g.source, h.source as item, coalesce(s.f, 0) as value from groups g join groups h on g.lang = h.lang and g.source <> h.source
+        left join (select lang, source, item, sum(f) as f from pairs group by all) s on s.lang = g.lang and s.source = g.source and s.item = h.source),
+      more as (select c.lang, c.source, c.term as item, ((p - q) * (p - q)) // (p + q) as value from cells c join whole using (lang, term) where c.n > 0 and p > q)
+    select lang, source, part, item, value::bigint as value, rank::integer as rank from (
+      select *, 'pair' as part, row_number() over (partition by lang, source order by value desc, item) as rank from sums
+      union all by name
+      select *, 'term' as part, row_number() over (partition by lang, source order by value desc, item) as rank from more qualify rank <= 10) r
+    """,
+)
+def _(spark, d):
+    return divergence.source_divergence(_table(spark, d, "documents"))
