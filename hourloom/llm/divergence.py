@@ -3,7 +3,7 @@
 1. Terms and the documents of a language that have them are counted; terms of enough documents are kept.
 2. Kept terms, sorted, become transducers: ranges of at most ``SHARD_TERMS`` terms, each built by the task that holds the
    range.  A term's ordinal is the number of terms of its language before it, in byte order.
-3. The text is streamed through the transducers and recounted as (language, source, ordinal, count); no term leaves its task.
+3. The text is streamed through the transducers and recounted as counts of ordinals by language and source; no term leaves its task.
    Transducers are broadcast in lots of at most ``LOT_BYTES``; a vocabulary of more lots is recounted lot by lot.
 4. Smoothed shares are compared between all sources of a language, block of ordinals by block, and with the language as a whole.
    Ties go by ordinal; only the terms reported are turned back into text.
@@ -20,7 +20,6 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,11 +31,16 @@ from hourloom.llm.transducer import Builder, Transducer
 MIN_DOCUMENTS, TOP_TERMS = 10, 10
 SHARD_TERMS, LOT_BYTES = 1 << 16, 64 << 20
 RUN = 1 << 20  # bytes of one text looked at together
-HELD_TERMS = 1 << 17  # different terms that a task counts before it hands them on
+HELD_TERMS = 1 << 18  # different terms that a task remembers or counts before it hands them on
+HELD_OCCURRENCES = 1 << 22  # ordinals that a task collects before it counts them
+SALTS = 16
 BLOCK_CELLS = 1 << 20  # (source, term) cells compared together
 UNIT = 1_000_000_000
 #: A-Z become a-z, other letters stay (every byte from 0x80 on is part of one), all else parts terms.
 _TERM = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
+_COUNTS = "lang string, source string, block bigint, salt int, places array<int>, n array<bigint>"
+_NAMES = [c.split()[0] for c in _COUNTS.split(", ")]
+_KINDS = (pa.string(), pa.string(), pa.int64(), pa.int32())
 _SHARD = "lang string, shard bigint, first binary, root int, size int, keys binary, targets binary, adds binary, final binary"
 
 
@@ -121,41 +125,92 @@ class Lot:
     def __init__(self, ranges: dict[str, list[Range]]):
         self.ranges = ranges
 
-    def ordinals(self, lang: str, terms: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places in the sorted list ``terms`` of those that belong to the lot, and their ordinals."""
-        ranges = self.ranges.get(lang, [])
+    def ordinals(self, lang: str, terms: list[bytes]) -> np.ndarray:
+        """The ordinals of sorted terms, -1 for those that do not belong to the lot."""
+        ranges, out = self.ranges.get(lang, []), np.full(len(terms), -1, dtype=np.int64)
         cuts = [*[bisect_left(terms, r.first) for r in ranges], len(terms)]
         for r, a, b in zip(ranges, cuts, cuts[1:]):
             found = r.transducer.ordinals(terms[a:b])
-            hit = np.flatnonzero(found >= 0)
-            yield hit + a, found[hit] + r.base
+            out[a:b] = np.where(found >= 0, found + r.base, -1)
+        return out
 
 
-def _recount(lot):
+class Recent:
+    """The ordinals of the terms met last, of one language; new terms go through the transducers together."""
+
+    def __init__(self, lot: Lot, lang: str):
+        self.lot, self.lang, self.known = lot, lang, {}
+
+    def ordinals(self, terms: list[bytes]) -> np.ndarray:
+        new = sorted(set(terms).difference(self.known))
+        if new:
+            self.known.update(zip(new, self.lot.ordinals(self.lang, new).tolist()))
+        found = np.fromiter(map(self.known.__getitem__, terms), dtype=np.int64, count=len(terms))
+        if len(self.known) > HELD_TERMS:
+            self.known.clear()
+        return found
+
+
+def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
+
+
+def _recount(lot, width: int):
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[tuple[str, str], Counter] = defaultdict(Counter)
+        recent: dict[str, Recent] = {}
+        counts: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
+        held, salt = 0, TaskContext.get().partitionId() % SALTS
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), terms in counts.items():
-                ordered = sorted(terms)
-                n = np.fromiter((terms[t] for t in ordered), dtype=np.int64, count=len(ordered))
-                for at, ordinals in lot.value.ordinals(lang, ordered):
-                    if len(at):
-                        yield pa.record_batch([pa.array([lang] * len(at)), pa.array([source] * len(at)), pa.array(ordinals), pa.array(n[at])], names=["lang", "source", "ordinal", "n"])
+            for (lang, source), met in counts.items():
+                ordinals, n = np.unique(np.concatenate(met), return_counts=True)
+                ordinals, n = ordinals[ordinals >= 0], n[ordinals >= 0]
+                blocks, first = np.unique(ordinals // width, return_index=True)
+                if len(blocks):
+                    bounds = np.append(first, len(ordinals))
+                    keys = [pa.array([x] * len(blocks), t) for x, t in ((lang, pa.string()), (source, pa.string()))]
+                    yield pa.record_batch([*keys, pa.array(blocks), pa.array([salt] * len(blocks), pa.int32()), _lists(ordinals % width, bounds, pa.int32()), _lists(n, bounds, pa.int64())], names=_NAMES)
             counts.clear()
 
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                mine = counts[lang, source]
+                mine = recent.setdefault(lang, Recent(lot.value, lang))
                 for run in _runs(text):
-                    mine.update(run)
-                if sum(map(len, counts.values())) > HELD_TERMS:
+                    counts[lang, source].append(mine.ordinals(run))
+                    held += len(run)
+                if held > HELD_OCCURRENCES:
                     yield from out()
+                    held = 0
         yield from out()
 
     return recount
 
 
+def _sum_up(width: int):
+    """Sums rows of the same key, which come one after the other; one block is held at a time."""
+
+    def sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, sums = None, np.zeros(width, dtype=np.int64)
+
+        def out() -> pa.RecordBatch:
+            places = np.flatnonzero(sums)
+            bounds = np.array([0, len(places)])
+            return pa.record_batch([*[pa.array([v], t) for v, t in zip(key, _KINDS)], _lists(places, bounds, pa.int32()), _lists(sums[places], bounds, pa.int64())], names=_NAMES)
+
+        for b in batches:
+            keys = zip(*[b.column(i).to_pylist() for i in range(4)])
+            for k, places, n in zip(keys, b.column(4), b.column(5)):
+                if k != key:
+                    if key is not None:
+                        yield out()
+                    key, sums[:] = k, 0
+                sums[places.values.to_numpy()] += n.values.to_numpy()
+        if key is not None:
+            yield out()
+
+    return sum_up
+
+
 def _index(shards: DataFrame) -> DataFrame:
     """lang, shard, base (ordinal of the first term), size, bytes: a row for each shard."""
     upto = Window.partitionBy("lang").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -176,41 +231,66 @@ def lots(shards: DataFrame, lot_bytes: int = LOT_BYTES) -> list[dict[int, int]]:
     return out
 
 
-def recount(rows: DataFrame, shards: DataFrame, lot_bytes: int = LOT_BYTES) -> DataFrame:
-    """lang, source, ordinal, n: occurrences of kept terms by source (a stored table; terms that a source lacks have no row)."""
+def recount(rows: DataFrame, shards: DataFrame, width: int = 4096, lot_bytes: int = LOT_BYTES) -> DataFrame:
+    """lang, source, block, places, n: occurrences of kept terms by source (a stored table), for blocks of ``width`` ordinals; terms that a source lacks have no place."""
     spark = rows.sparkSession
-    schema, path = "lang string, source string, ordinal bigint, n bigint", scratch_path(spark, "parts")
-    spark.createDataFrame([], schema).write.parquet(path)
+    path = scratch_path(spark, "parts")
+    spark.createDataFrame([], _COUNTS).write.parquet(path)
     for lot in lots(shards, lot_bytes):
         ranges: dict[str, list[Range]] = defaultdict(list)
         # Of one lot: its bytes are counted above.
         for r in shards.where(F.col("shard").between(min(lot), max(lot))).orderBy("lang", "shard").toLocalIterator():
             ranges[r.lang].append(Range(bytes(r.first), lot[r.shard], Transducer.of(*r[3:])))
         shared = spark.sparkContext.broadcast(Lot(dict(ranges)))
-        rows.mapInArrow(_recount(shared), schema).groupBy("lang", "source", "ordinal").agg(F.sum("n").alias("n")).write.mode("append").parquet(path)
+        parts = rows.mapInArrow(_recount(shared, width), _COUNTS)
+        # By salt, so that a source in all tasks is summed by several; then, over all lots, by source and block.
+        _summed(parts, width).write.mode("append").parquet(path)
         shared.unpersist()
-    return spark.read.schema(schema).parquet(path)
+    return stored(_summed(spark.read.schema(_COUNTS).parquet(path).withColumn("salt", F.lit(0)), width), "counts")
+
+
+def _summed(parts: DataFrame, width: int) -> DataFrame:
+    key = ["lang", "source", "block", "salt"]
+    return parts.repartition(*key).sortWithinPartitions(*key).mapInArrow(_sum_up(width), _COUNTS)
+
+
+def _shares(n: np.ndarray, total: int, terms: int) -> np.ndarray:
+    """Smoothed shares in units of a thousand millionth, rounded down, plus 1; in numbers of any length where 64 bits are too few."""
+    wide = n if int(n.max(initial=0)) < (1 << 63) // UNIT - 2 else n.astype(object)
+    return 1 + (UNIT * (wide + 2) // (total + 2 * terms)).astype(np.int64)
+
 
+def _far(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    return (p - q) * (p - q) // (p + q)
 
-def _compare(block: pa.Table) -> pa.Table:
-    """One block of ordinals of one language: the distances of all its sources, summed over the block."""
-    lang, n_terms = block["lang"][0].as_py(), pc.max(block["n_terms"]).as_py()
-    sources, own = np.unique(block["source"].to_numpy(), return_inverse=True)
-    place, p = block["place"].to_numpy(), block["p"].to_numpy()
-    shares = np.zeros((len(sources), n_terms), dtype=np.int64)
-    absent = place < 0
-    shares[own[absent]] = p[absent][:, None]
-    shares[own[~absent], place[~absent]] = p[~absent]
-    sums = np.zeros((len(sources), len(sources)), dtype=np.int64)
-    for i in range(len(sources) - 1):
-        gap = shares[i] - shares[i + 1 :]
-        sums[i, i + 1 :] = sums[i + 1 :, i] = (gap * gap // (shares[i] + shares[i + 1 :])).sum(axis=1) if n_terms else 0
-    a, b = np.nonzero(~np.eye(len(sources), dtype=bool))
-    return pa.table({"lang": pa.array([lang] * len(a), pa.string()), "source": pa.array(sources[a], pa.string()), "item": pa.array(sources[b], pa.string()), "value": pa.array(sums[a, b])})
 
+def _compare(top: int, width: int):
+    def compare(block: pa.Table) -> pa.Table:
+        """One block of ordinals of one language: the distances of all its sources, and each source's first terms."""
+        block = block.sort_by("source")
+        lang, number, terms = (block[c][0].as_py() for c in ("lang", "block", "terms"))
+        sources, totals = block["source"].to_pylist(), block["total"].to_pylist()
+        size = min(width, terms - number * width)
+        counts = np.zeros((len(sources), max(size, 0)), dtype=np.int64)
+        for mine, places, n in zip(counts, block["places"], block["n"]):
+            if places.is_valid:
+                mine[places.values.to_numpy()] = n.values.to_numpy()
+        rows: list[tuple] = []
+        sums = np.zeros((len(sources), len(sources)), dtype=np.int64)
+        if size > 0:
+            p = np.array([_shares(n, total, terms) for n, total in zip(counts, totals)])
+            q = _shares(counts.sum(axis=0), sum(totals), terms)
+            for i in range(len(sources)):
+                sums[i, i + 1 :] = sums[i + 1 :, i] = _far(p[i], p[i + 1 :]).sum(axis=1)
+                more = np.flatnonzero((counts[i] > 0) & (p[i] > q))
+                value = _far(p[i, more], q[more])
+                rows += [(sources[i], None, number * width + int(more[k]), int(value[k])) for k in np.lexsort((more, -value))[:top]]
+        rows += [(sources[i], sources[j], None, int(sums[i, j])) for i in range(len(sources)) for j in range(len(sources)) if i != j]
+        columns = list(zip(*rows)) or [[]] * 4
+        kinds = {"source": pa.string(), "item": pa.string(), "ordinal": pa.int64(), "value": pa.int64()}
+        return pa.table({"lang": pa.array([lang] * len(rows), pa.string()), **{name: pa.array(c, t) for c, (name, t) in zip(columns, kinds.items())}})
 
-def _share(n: str, total: str, terms: str):
-    return F.expr(f"1 + (cast({UNIT} as decimal(10, 0)) * ({n} + 2)) div nullif({total} + 2 * {terms}, 0)")
+    return compare
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,31 +312,26 @@ def source_divergence(
     Rows that repeat count each; other columns are not looked at.  A language's only source has no pairs; an empty table gives no row.
     """
     rows = _rows(docs, lang_column, source_column, text_column)
+    groups = stored(rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents")), "groups")
+    most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
+    width = max(1, min(4096, BLOCK_CELLS // most))
     shards = vocabulary(rows, min_documents, shard_terms)
-    counts = recount(rows, shards, lot_bytes)
+    counts = recount(rows, shards, width, lot_bytes)
+
     sizes = _index(shards).groupBy("lang").agg(F.sum("size").alias("terms"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = rows.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("documents")).join(totals, ["lang", "source"], "left").join(sizes, ["lang"], "left")
-    groups = stored(groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms")), "groups")
+    in_block = F.aggregate("n", F.lit(0).cast("long"), lambda total, n: total + n)
+    totals = counts.groupBy("lang", "source").agg(F.sum(in_block).alias("total"))
+    known = groups.join(totals, ["lang", "source"], "left").join(sizes, ["lang"], "left")
+    known = known.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"))
+    blocks = known.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.expr(f"(terms - 1) div {width}"), F.lit(0)))))
+    cells = blocks.join(counts, ["lang", "source", "block"], "left").select("lang", "source", "block", "total", "terms", "places", "n")
+    # A block has at most BLOCK_CELLS counts, or one for each source.
+    parts = stored(cells.groupBy("lang", "block").applyInArrow(_compare(top, width), "lang string, source string, item string, ordinal bigint, value bigint"), "compared")
 
-    most = groups.groupBy("lang").count().agg(F.max("count")).first()[0] or 1
-    width = max(1, min(4096, BLOCK_CELLS // most))
-    blocks = groups.withColumn("block", F.explode(F.sequence(F.lit(0), F.greatest(F.expr(f"cast((terms - 1) div {width} as int)"), F.lit(0)))))
-    absent = blocks.select("lang", "block", "source", F.lit(-1).cast("long").alias("place"), F.coalesce(_share("0", "total", "terms"), F.lit(1)).alias("p"), F.least(F.lit(width), F.expr(f"terms - {width} * block")).cast("int").alias("n_terms"))
-    known = counts.join(groups, ["lang", "source"])
-    shares = known.select("lang", "source", "ordinal", "n", _share("n", "total", "terms").alias("p"))
-    present = shares.select("lang", F.expr(f"cast(ordinal div {width} as int)").alias("block"), "source", F.expr(f"ordinal % {width}").alias("place"), "p", F.lit(0).alias("n_terms"))
-    # A block has at most BLOCK_CELLS rows, or one for each source, and as many again.
-    parts = absent.unionByName(present).groupBy("lang", "block").applyInArrow(_compare, "lang string, source string, item string, value bigint")
     by_value = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    pairs = parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(by_value))
-
-    whole = counts.groupBy("lang", "ordinal").agg(F.sum("n").alias("lang_n"))
-    lang_total = groups.groupBy("lang").agg(F.sum("total").alias("lang_total"), F.max("terms").alias("lang_terms"))
-    common = whole.join(lang_total, "lang").select("lang", "ordinal", _share("lang_n", "lang_total", "lang_terms").alias("q"))
-    more = shares.join(common, ["lang", "ordinal"]).where("p > q").select("lang", "source", "ordinal", F.expr("((p - q) * (p - q)) div (p + q)").alias("value"))
+    pairs = parts.where("ordinal is null").groupBy("lang", "source", "item").agg(F.sum("value").alias("value")).withColumn("rank", F.row_number().over(by_value))
     first = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "ordinal")
-    best = stored(more.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top), "best")
+    best = parts.where("ordinal is not null").drop("item").withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
     wanted = best.select("lang", "ordinal").distinct().join(_index(shards).withColumnRenamed("lang", "of"), F.expr("lang = of and ordinal >= base and ordinal < base + size"))
     lists = wanted.groupBy("lang", "shard", "base").agg(F.sort_array(F.collect_set("ordinal")).alias("wanted"))
     words = lists.join(shards, ["lang", "shard"]).select("lang", "base", "wanted", "root", "size", "keys", "targets", "adds", "final").mapInArrow(_words, "lang string, ordinal bigint, term binary")

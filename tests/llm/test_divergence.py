@@ -4,6 +4,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,7 @@ def _frame(spark, rows):
 def test_divergence(spark, monkeypatch, shard_terms, lot_bytes, held, cells):
     monkeypatch.setattr(divergence, "BLOCK_CELLS", cells)
     monkeypatch.setattr(divergence, "HELD_TERMS", held)
+    monkeypatch.setattr(divergence, "HELD_OCCURRENCES", 50 * held)
     rows = _rows()
     got = divergence.source_divergence(_frame(spark, rows).repartition(3), min_documents=5, shard_terms=shard_terms, lot_bytes=lot_bytes)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
@@ -108,7 +110,14 @@ def test_lots_are_bounded(spark):
     assert len(lots) > 2 and max(sum(sizes[s] for s in lot) for lot in lots) <= 3000
     assert [s for lot in lots for s in lot] == sorted(sizes)
     few, many = divergence.recount(rows, shards), divergence.recount(rows, shards, lot_bytes=3000)
-    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, many.collect()))
+    n = lambda rows: sorted((r.lang, r.source, r.block, p, k) for r in rows.collect() for p, k in zip(r.places, r.n))
+    assert n(few) == n(many)
+
+
+def test_large_counts_stay_exact():
+    n = np.array([0, 7, 10**12, 3 * 10**9], dtype=np.int64)
+    total = int(n.sum())
+    assert divergence._shares(n, total, 4).tolist() == [1 + 10**9 * (int(k) + 2) // (total + 8) for k in n]
 
 
 def test_empty_table(spark):
