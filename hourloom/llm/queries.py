@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.durable import discard, scratch_path
-from hourloom.llm import archives, bin_packing, divergence, exact, extraction, mixing, near, pieces, quality, sentence_spans, templates, training_order
+from hourloom.llm import archives, bin_packing, divergence, exact, extraction, hard_negatives, mixing, near, pieces, quality, sentence_spans, templates, training_order
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -153,3 +153,26 @@ def _(spark, d):
 )
 def _(spark, d):
     return divergence.source_divergence(_table(spark, d, "documents"))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    with fine as (
+        select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+          list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+        from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+      scores as (select a.vec_id as anchor_id, b.vec_id as id, a.label = b.label as positive,
+          list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+        from fine a join fine b on a.vec_id % 100 = 0 and a.vec_id <> b.vec_id),
+      positives as (select anchor_id, id, score from scores where positive qualify row_number() over (partition by anchor_id order by score desc, id) <= 5),
+      found as (select p.anchor_id, p.id as positive_id, row_number() over (partition by p.anchor_id, p.id order by n.score desc, n.id) as rank,
+          n.id as negative_id, p.score as positive_score, n.score as negative_score
+        from positives p join scores n on p.anchor_id = n.anchor_id and not n.positive and 80 * p.score <= 100 * n.score and 100 * n.score <= 100 * p.score)
+    select anchor_id, positive_id, rank::integer as rank, negative_id, positive_score, negative_score from found where rank <= 5
+    """,
+)
+def _(spark, d):
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = _table(spark, d, "embeddings").withColumn("label", label)
+    return hard_negatives.hard_negatives(rows, F.col("id") % 100 == 0)
