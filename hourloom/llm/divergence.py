@@ -31,8 +31,7 @@ from hourloom.llm.transducer import Builder, Transducer
 MIN_DOCUMENTS, TOP_TERMS = 10, 10
 SHARD_TERMS, LOT_BYTES = 1 << 16, 64 << 20
 RUN = 1 << 20  # bytes of one text looked at together
-HELD_TERMS = 1 << 18  # different terms that a task remembers or counts before it hands them on
-HELD_OCCURRENCES = 1 << 22  # ordinals that a task collects before it counts them
+HELD_TERMS = 1 << 19  # different terms that a task counts before it hands them on
 SALTS = 16
 BLOCK_CELLS = 1 << 20  # (source, term) cells compared together
 UNIT = 1_000_000_000
@@ -135,52 +134,38 @@ class Lot:
         return out
 
 
-class Recent:
-    """The ordinals of the terms met last, of one language; new terms go through the transducers together."""
-
-    def __init__(self, lot: Lot, lang: str):
-        self.lot, self.lang, self.known = lot, lang, {}
-
-    def ordinals(self, terms: list[bytes]) -> np.ndarray:
-        new = sorted(set(terms).difference(self.known))
-        if new:
-            self.known.update(zip(new, self.lot.ordinals(self.lang, new).tolist()))
-        found = np.fromiter(map(self.known.__getitem__, terms), dtype=np.int64, count=len(terms))
-        if len(self.known) > HELD_TERMS:
-            self.known.clear()
-        return found
-
-
 def _lists(values: np.ndarray, bounds: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values, kind))
 
 
 def _recount(lot, width: int):
     def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        recent: dict[str, Recent] = {}
-        counts: dict[tuple[str, str], list[np.ndarray]] = defaultdict(list)
-        held, salt = 0, TaskContext.get().partitionId() % SALTS
+        counts: dict[str, dict[str, Counter]] = defaultdict(lambda: defaultdict(Counter))
+        salt = TaskContext.get().partitionId() % SALTS
 
         def out() -> Iterator[pa.RecordBatch]:
-            for (lang, source), met in counts.items():
-                ordinals, n = np.unique(np.concatenate(met), return_counts=True)
-                ordinals, n = ordinals[ordinals >= 0], n[ordinals >= 0]
-                blocks, first = np.unique(ordinals // width, return_index=True)
-                if len(blocks):
-                    bounds = np.append(first, len(ordinals))
-                    keys = [pa.array([x] * len(blocks), t) for x, t in ((lang, pa.string()), (source, pa.string()))]
-                    yield pa.record_batch([*keys, pa.array(blocks), pa.array([salt] * len(blocks), pa.int32()), _lists(ordinals % width, bounds, pa.int32()), _lists(n, bounds, pa.int64())], names=_NAMES)
+            for lang, sources in counts.items():
+                terms = sorted(set().union(*sources.values()))
+                ordinal = dict(zip(terms, lot.value.ordinals(lang, terms).tolist()))
+                for source, met in sources.items():
+                    ordinals = np.fromiter(map(ordinal.__getitem__, met), dtype=np.int64, count=len(met))
+                    order = np.argsort(ordinals)[np.count_nonzero(ordinals < 0) :]
+                    n = np.fromiter(met.values(), dtype=np.int64, count=len(met))[order]
+                    ordinals = ordinals[order]
+                    blocks, first = np.unique(ordinals // width, return_index=True)
+                    if len(blocks):
+                        bounds = np.append(first, len(ordinals))
+                        keys = [pa.array([x] * len(blocks), t) for x, t in ((lang, pa.string()), (source, pa.string()))]
+                        yield pa.record_batch([*keys, pa.array(blocks), pa.array([salt] * len(blocks), pa.int32()), _lists(ordinals % width, bounds, pa.int32()), _lists(n, bounds, pa.int64())], names=_NAMES)
             counts.clear()
 
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-                mine = recent.setdefault(lang, Recent(lot.value, lang))
+                mine = counts[lang][source]
                 for run in _runs(text):
-                    counts[lang, source].append(mine.ordinals(run))
-                    held += len(run)
-                if held > HELD_OCCURRENCES:
-                    yield from out()
-                    held = 0
+                    mine.update(run)
+            if sum(len(c) for sources in counts.values() for c in sources.values()) > HELD_TERMS:
+                yield from out()
         yield from out()
 
     return recount

@@ -94,7 +94,6 @@ def _frame(spark, rows):
 def test_divergence(spark, monkeypatch, shard_terms, lot_bytes, held, cells):
     monkeypatch.setattr(divergence, "BLOCK_CELLS", cells)
     monkeypatch.setattr(divergence, "HELD_TERMS", held)
-    monkeypatch.setattr(divergence, "HELD_OCCURRENCES", 50 * held)
     rows = _rows()
     got = divergence.source_divergence(_frame(spark, rows).repartition(3), min_documents=5, shard_terms=shard_terms, lot_bytes=lot_bytes)
     assert got.columns == ["lang", "source", "part", "item", "value", "rank"]
