@@ -886,6 +886,34 @@ def _(spark, d):
     return T.rolling_time(_ts(spark, d)).select(*_KEYS, *_RT_COLS)
 
 
+_EV_TS = f"select *, cast(date as timestamp) + to_microseconds(cast(epoch_us(cast('1970-01-01 ' || left(hourly_window, 15) as timestamp)) as bigint)) as event_ts from ({_EV_SQL}) e"
+
+
+def _event_times(spark, d):
+    """Event rows with the instant of each event, to the microsecond."""
+    at = F.concat(F.col("date").cast("string"), F.lit(" "), F.substring("hourly_window", 1, 15)).cast("timestamp_ntz")
+    return _clean_events(spark, d).withColumn("event_ts", at)
+
+
+@query(
+    "rolling_time_events",
+    f"select {_K}, " + ", ".join(f"{g}({c}) over (partition by campaign_name order by event_ts range between interval {h * 3_600_000_000 - 1} microsecond preceding and current row) as {c}_rolling_{f}_{n}" for n, h in T.TIME_WINDOWS.items() for c in R.ROLLING_METRICS for f, g in (("mean", "avg"), ("std", "stddev_samp"))) + f" from ({_EV_TS}) t",
+    " ".join(_RT_COLS),
+)
+def _(spark, d):
+    return T.rolling_time(_event_times(spark, d), hot_rows=0, block_cells=64).select(*_KEYS, *_RT_COLS)
+
+
+@query("gap_detect_events", f"select campaign_name, count(*) filter (where step > interval 2 hour) as n_gaps from (select campaign_name, event_ts - lag(event_ts) over (partition by campaign_name order by event_ts) as step from (select distinct campaign_name, event_ts from ({_EV_TS}) t) u) s group by 1")
+def _(spark, d):
+    return T.gap_detect(_event_times(spark, d))
+
+
+@query("hours_since_positive_spend_events", f"select {_K}, epoch_us(event_ts - max(spent_at) over (partition by campaign_name order by event_ts rows between unbounded preceding and 1 preceding)) / 3600000000 as hours_since_positive_spend from (select campaign_name, event_ts, max(case when spend > 0 then event_ts end) as spent_at from ({_EV_TS}) t group by 1, 2) c join ({_EV_TS}) t using (campaign_name, event_ts)", "hours_since_positive_spend")
+def _(spark, d):
+    return T.hours_since_positive_spend(_event_times(spark, d)).select(*_KEYS, "hours_since_positive_spend")
+
+
 @query("spend_changed", f"select {_K}, case when spend = lag(spend) {_W} then 0 else 1 end as hours_since_last_spend from ({_CLEAN}) c")
 def _(spark, d):
     return R.add_spend_changed(_clean(spark, d)).select(*_KEYS, "hours_since_last_spend")

@@ -77,10 +77,7 @@ def fixed_time(moment: datetime) -> Column:
 
 def micros(ts: Column) -> Column:
     """Microseconds from 1970 to a wall-clock time, whatever the session's time zone."""
-    t = ts.cast("timestamp_ntz")
-    days = F.unix_date(t.cast("date")).cast("bigint")
-    minutes = (days * 24 + F.hour(t)) * 60 + F.minute(t)
-    return minutes * 60_000_000 + (F.extract(F.lit("SECOND"), t) * 1_000_000).cast("bigint")
+    return F.call_function("div", ts.cast("timestamp_ntz") - F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), F.expr("INTERVAL '0.000001' SECOND"))
 
 
 def wall_clock(us: Column) -> Column:

@@ -155,7 +155,8 @@ def series_tie(columns: list[str]) -> Column:
     return F.struct(_row_hash(facts or columns).alias("facts"), _row_hash(columns).alias("all"))
 
 
-def _hot_names(df: DataFrame, hot_rows: int) -> DataFrame:
+def hot_names(df: DataFrame, hot_rows: int) -> DataFrame:
+    """The campaigns of more than ``hot_rows`` rows, as ``_hot_key``."""
     return (
         df.groupBy(F.col(KEY).alias("_hot_key"))
         .agg(F.count(F.lit(1)).alias("_n"))
@@ -270,7 +271,7 @@ def over_series(
     ``back`` and ``ahead`` are the numbers of rows before and after the current row
     that the steps' frames reach (running totals and whole-series aggregates excluded).
     """
-    names = _hot_names(df, hot_rows)
+    names = hot_names(df, hot_rows)
     n_hot = names.count()
     if n_hot == 0:
         cold = reduce(lambda lane, step: step(lane), steps, _cold_lane(df))

@@ -1,17 +1,23 @@
 """Operators on the time axis: resampling, gaps, time frames, window lists.
 
-All work is done on cells, one per campaign and instant.  Cells are built with map-side
-aggregation and their number per campaign is bounded by the calendar.
+All work is done on cells, one per campaign and instant, built with map-side aggregation.  At hourly grain
+the calendar bounds their number per campaign; at event grain it does not.  So work that would order all
+cells of a campaign is cut into blocks of time: what lies inside a block is ordered by (campaign, block), and a
+table with one row per campaign and block, which the calendar does bound, carries what earlier blocks leave behind.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hourloom.durable import durable
 from hourloom.functions.scalars import event_ts, micros, wall_clock
+from hourloom.operators.lanes import HOT_ROWS, MAX_BROADCAST_NAMES, hot_names
 from hourloom.schema import KEY
 
 HOUR_US = 3_600_000_000
@@ -38,13 +44,21 @@ def step_us(length: int | str) -> int:
 
 
 def gap_detect(df: DataFrame, ts: str = "event_ts", hours: int = 2) -> DataFrame:
-    """Per campaign, the number of steps between neighbouring instants above ``hours``."""
-    instants = df.filter(F.col(ts).isNotNull()).groupBy(KEY, ts).agg(F.lit(1).alias("_one"))
-    step = _us(ts) - F.lag(_us(ts)).over(Window.partitionBy(KEY).orderBy(ts))
+    """Per campaign, the number of steps between neighbouring instants above ``hours``.
+
+    Inside a block of that length no step is above it, so the first and last instant of each block are enough.
+    """
+    step = F.lit(hours * HOUR_US).cast("bigint")
+    blocks = (
+        df.filter(F.col(ts).isNotNull())
+        .groupBy(KEY, F.floor(_us(ts) / step).alias("_block"))
+        .agg(F.min(_us(ts)).alias("_first"), F.max(_us(ts)).alias("_last"))
+    )
+    before = F.lag("_last").over(Window.partitionBy(KEY).orderBy("_block"))
     return (
-        instants.withColumn("_step", step)
+        blocks.withColumn("_step", F.col("_first") - before)
         .groupBy(KEY)
-        .agg(F.count_if(F.col("_step") > hours * HOUR_US).alias("n_gaps"))
+        .agg(F.count_if(F.col("_step") > step).alias("n_gaps"))
     )
 
 
@@ -105,54 +119,59 @@ def resample_series(
     ).drop("_seen")
 
 
-def hours_since_positive_spend(df: DataFrame, ts: str = "event_ts") -> DataFrame:
-    """Hours from the last earlier instant with spend above zero to the row's instant."""
-    cells = df.groupBy(KEY, ts).agg(F.max(F.col("spend") > 0).alias("_spent"))
-    earlier = Window.partitionBy(KEY).orderBy(ts).rowsBetween(Window.unboundedPreceding, -1)
-    last = F.max(F.when(F.col("_spent"), _us(ts))).over(earlier)
-    cells = cells.select(
-        F.col(KEY).alias("_k"),
-        F.col(ts).alias("_t"),
-        ((_us(ts) - last) / HOUR_US).alias("hours_since_positive_spend"),
+def hours_since_positive_spend(df: DataFrame, ts: str = "event_ts", block_hours: int = 1) -> DataFrame:
+    """Hours from the last earlier instant with spend above zero to the row's instant.
+
+    Instants are ordered inside blocks of ``block_hours``; the last such instant of earlier blocks is carried over."""
+    block = F.floor(_us(ts) / F.lit(block_hours * HOUR_US))
+    cells = df.groupBy(F.col(KEY).alias("_k"), F.col(ts).alias("_t"), block.alias("_block")).agg(
+        F.max(F.col("spend") > 0).alias("_spent")
+    )
+    at = F.when(F.col("_spent"), _us("_t"))
+    prior = Window.unboundedPreceding, -1
+    inside = F.max(at).over(Window.partitionBy("_k", "_block").orderBy("_t").rowsBetween(*prior))
+    carried = (
+        df.filter((F.col("spend") > 0) | F.col(ts).isNotNull())
+        .groupBy(F.col(KEY).alias("_ck"), block.alias("_cb"))
+        .agg(F.max(F.when(F.col("spend") > 0, _us(ts))).alias("_positive"))
+        .select("_ck", "_cb", F.max("_positive").over(Window.partitionBy("_ck").orderBy("_cb").rowsBetween(*prior)).alias("_carried"))
+    )
+    same_block = F.col("_k").eqNullSafe(F.col("_ck")) & (F.col("_block") == F.col("_cb"))
+    last = F.coalesce("_inside", "_carried")
+    cells = (
+        cells.withColumn("_inside", inside)
+        .join(carried, same_block, "left")
+        .select("_k", "_t", ((_us("_t") - last) / HOUR_US).alias("hours_since_positive_spend"))
     )
     same = F.col(KEY).eqNullSafe(F.col("_k")) & (F.col(ts) == F.col("_t"))
     return df.join(cells, same, "left").drop("_k", "_t")
 
 
-def rolling_time(
-    df: DataFrame,
-    windows: dict[str, int | str] | tuple[str, ...] | None = None,
-    metrics: tuple[str, ...] = ROLLING_METRICS,
-    ts: str = "event_ts",
-) -> DataFrame:
-    """Mean and sample deviation over (t - window, t] of time, for each row.
+#: Cells that the windows of one (campaign, block) order at most, if blocks can be made short enough.
+BLOCK_CELLS = 262_144
 
-    Rows of one instant form a cell with (n, sum, squares, min, max).  Values are centred
-    on the campaign mean before squaring, and a frame whose minimum equals its maximum has
-    deviation 0 exactly.  ``windows`` has lengths as in ``step_us``, by name or as their own names.
-    """
-    windows = windows or TIME_WINDOWS
-    if not isinstance(windows, dict):
-        windows = {name: name for name in windows}
-    metrics = tuple(c for c in metrics if c in df.columns)
-    cells = df.groupBy(F.col(KEY).alias("_k"), F.col(ts).alias("_t")).agg(
+
+def _cells(df: DataFrame, metrics: tuple[str, ...], ts: str) -> DataFrame:
+    """One row per campaign and instant: count, mean, variance, least and largest value of each metric."""
+    return df.groupBy(F.col(KEY).alias("_k"), F.col(ts).alias("_t")).agg(
         *[F.count(c).alias(f"n_{c}") for c in metrics],
         *[F.avg(F.col(c).cast("double")).alias(f"m_{c}") for c in metrics],
         *[F.var_pop(F.col(c).cast("double")).alias(f"v_{c}") for c in metrics],
         *[F.min(F.col(c).cast("double")).alias(f"lo_{c}") for c in metrics],
         *[F.max(F.col(c).cast("double")).alias(f"hi_{c}") for c in metrics],
     )
+
+
+def _cold_frames(cells: DataFrame, lengths: dict[str, int], metrics: tuple[str, ...]) -> DataFrame:
+    """Sums over the frames of each cell, ordered by campaign."""
     whole = "OVER (PARTITION BY _k)"
     cells = cells.withColumn("_us", _us("_t")).selectExpr(
         "*",
         *[f"try_divide(sum(n_{c} * m_{c}) {whole}, sum(n_{c}) {whole}) AS c_{c}" for c in metrics],
     )
     framed = ["_k", "_t"]
-    for name, hours in windows.items():
-        w = (
-            "OVER (PARTITION BY _k ORDER BY _us RANGE BETWEEN "
-            f"{step_us(hours) - 1} PRECEDING AND CURRENT ROW)"
-        )
+    for name, length in lengths.items():
+        w = f"OVER (PARTITION BY _k ORDER BY _us RANGE BETWEEN {length - 1} PRECEDING AND CURRENT ROW)"
         for c in metrics:
             framed += [
                 f"sum(n_{c}) {w} AS n_{c}_{name}",
@@ -160,8 +179,106 @@ def rolling_time(
                 f"sum(n_{c} * (v_{c} + pow(m_{c} - c_{c}, 2))) {w} AS q_{c}_{name}",
                 f"(min(lo_{c}) {w} = max(hi_{c}) {w}) AS same_{c}_{name}",
             ]
-    framed += [f"c_{c}" for c in metrics]
-    cells = cells.selectExpr(*framed)
+    return cells.selectExpr(*framed, *[f"c_{c}" for c in metrics])
+
+
+#: How the parts of a summary are merged.
+_MERGE = {"n": "sum", "s": "sum", "q": "sum", "lo": "min", "hi": "max"}
+
+
+def _block_us(cells: DataFrame, lengths: dict[str, int], block_cells: int) -> int:
+    """A block length that divides all frames and leaves at most ``block_cells`` cells in a (campaign, block), halved until it does."""
+    block = math.gcd(*lengths.values())
+    while block % 2 == 0:
+        fullest = cells.groupBy("_k", F.floor(F.col("_us") / F.lit(block))).count().agg(F.max("count")).first()[0]
+        if (fullest or 0) <= block_cells:
+            break
+        block //= 2
+    return block
+
+
+def _hot_frames(cells: DataFrame, lengths: dict[str, int], metrics: tuple[str, ...], block_cells: int) -> DataFrame:
+    """The same sums for campaigns with any number of cells.
+
+    A frame (t - length, t] that ends in block b begins in block b - k, at the same place of the block.  It is made of
+    the rest of block b - k after t - length, of k - 1 whole blocks, and of block b up to t:
+    a look-up in the block's sums from its end, a frame over the table of blocks, and the block's sums from its start.
+    """
+    # One row per hot campaign: bounded like the list of them.
+    means = cells.groupBy(F.col("_k").alias("_mk")).agg(*[F.expr(f"try_divide(sum(n_{c} * m_{c}), sum(n_{c}))").alias(f"c_{c}") for c in metrics])
+    sums = [f"{part}_{c}" for c in metrics for part in _MERGE]
+    cells = durable(
+        cells.join(F.broadcast(means), F.col("_k").eqNullSafe(F.col("_mk"))).withColumn("_us", _us("_t")).selectExpr(
+            "_k", "_t", "_us", *[f"c_{c}" for c in metrics],
+            *[x for c in metrics for x in (
+                f"n_{c}", f"n_{c} * (m_{c} - c_{c}) AS s_{c}", f"n_{c} * (v_{c} + pow(m_{c} - c_{c}, 2)) AS q_{c}", f"lo_{c}", f"hi_{c}")],
+        )
+    )
+    block = _block_us(cells, lengths, block_cells)
+    cells = cells.withColumn("_block", F.expr(f"_us div {block} - CAST(_us < 0 AND _us % {block} <> 0 AS INT)"))
+
+    def merged(prefix: str, over: str) -> list[str]:
+        return [f"{_MERGE[x.split('_')[0]]}({x}) {over} AS {prefix}{x}" for x in sums]
+
+    starts = cells.selectExpr("_k", "_t", "_us", "_block", *[f"c_{c}" for c in metrics], *merged("own_", "OVER (PARTITION BY _k, _block ORDER BY _us ROWS UNBOUNDED PRECEDING)"))
+    blocks = cells.groupBy("_k", "_block").agg(*[F.expr(x) for x in merged("", "")])
+    whole = {w: f"OVER (PARTITION BY _k ORDER BY _block RANGE BETWEEN {k // block - 1} PRECEDING AND 1 PRECEDING)" for w, k in lengths.items() if k > block}
+    blocks = blocks.selectExpr("_k AS _bk", "_block AS _bb", *[x for w, over in whole.items() for x in merged(f"mid_{w}_", over)])
+
+    looked_up = [f"{x}_{w}" for w in lengths for x in sums]
+    asked = [
+        cells.selectExpr("_k", f"_block - {k // block} AS _block", f"_us - {k} AS _at", f"'{w}' AS _window", "_t", *[f"CAST(NULL AS {'BIGINT' if x.startswith('n_') else 'DOUBLE'}) AS {x}" for x in sums])
+        for w, k in lengths.items()
+    ]
+    given = cells.selectExpr("_k", "_block", "_us AS _at", "CAST(NULL AS STRING) AS _window", "_t", *sums)
+    ends = reduce(DataFrame.unionByName, asked, given).where("_at IS NOT NULL")
+    after = "OVER (PARTITION BY _k, _block ORDER BY _at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    ends = ends.selectExpr("_k", "_t", "_window", *merged("end_", after)).where("_window IS NOT NULL")
+    ends = ends.selectExpr("_k", "_t", *[f"CASE WHEN _window = '{w}' THEN end_{x} END AS {x}_{w}" for w in lengths for x in sums], *[f"CAST(NULL AS DOUBLE) AS c_{c}" for c in metrics])
+
+    # Rows without a time have no block: their frame is their own cell.
+    same = F.col("_k").eqNullSafe(F.col("_bk")) & (F.col("_block") == F.col("_bb"))
+    both = {"sum": "coalesce({a} + {b}, {a}, {b})", "min": "least({a}, {b})", "max": "greatest({a}, {b})"}
+    upto = starts.join(blocks, same, "left").selectExpr(
+        "_k", "_t",
+        *[(both[_MERGE[x.split("_")[0]]].format(a=f"own_{x}", b=f"mid_{w}_{x}") if w in whole else f"own_{x}") + f" AS {x}_{w}" for w in lengths for x in sums],
+        *[f"c_{c}" for c in metrics],
+    )
+    joined = upto.unionByName(ends).groupBy("_k", "_t").agg(*[F.expr(f"{_MERGE[x.split('_')[0]]}({x})").alias(x) for x in looked_up], *[F.max(f"c_{c}").alias(f"c_{c}") for c in metrics])
+    kept = [f"{part}_{c}_{w}" for w in lengths for c in metrics for part in ("n", "s", "q")]
+    return joined.selectExpr("_k", "_t", *kept, *[f"(lo_{c}_{w} = hi_{c}_{w}) AS same_{c}_{w}" for w in lengths for c in metrics], *[f"c_{c}" for c in metrics])
+
+
+def rolling_time(
+    df: DataFrame,
+    windows: dict[str, int | str] | tuple[str, ...] | None = None,
+    metrics: tuple[str, ...] = ROLLING_METRICS,
+    ts: str = "event_ts",
+    hot_rows: int = HOT_ROWS,
+    block_cells: int = BLOCK_CELLS,
+) -> DataFrame:
+    """Mean and sample deviation over (t - window, t] of time, for each row.
+
+    Rows of one instant form a cell with (n, sum, squares, min, max).  Values are centred
+    on the campaign mean before squaring, and a frame whose minimum equals its maximum has
+    deviation 0 exactly.  ``windows`` has lengths as in ``step_us``, by name or as their own names.
+    Campaigns of more than ``hot_rows`` rows are worked in blocks of time with at most ``block_cells`` cells.
+    """
+    windows = windows or TIME_WINDOWS
+    if not isinstance(windows, dict):
+        windows = {name: name for name in windows}
+    lengths = {name: step_us(length) for name, length in windows.items()}
+    metrics = tuple(c for c in metrics if c in df.columns)
+    names = hot_names(df, hot_rows)
+    n_hot = names.count()
+    if n_hot == 0:
+        framed = _cold_frames(_cells(df, metrics, ts), lengths, metrics)
+    else:
+        names = F.broadcast(names) if n_hot <= MAX_BROADCAST_NAMES else names
+        is_hot = F.col(KEY).eqNullSafe(F.col("_hot_key"))
+        cold = _cold_frames(_cells(df.join(names, is_hot, "left_anti"), metrics, ts), lengths, metrics)
+        hot = _hot_frames(_cells(df.join(names, is_hot, "left_semi"), metrics, ts), lengths, metrics, block_cells)
+        framed = cold.unionByName(hot)
     out = ["_k", "_t"]
     for name in windows:
         for c in metrics:
@@ -173,7 +290,7 @@ def rolling_time(
                 f"AS {c}_rolling_std_{name}"
             )
     same = F.col(KEY).eqNullSafe(F.col("_k")) & F.col(ts).eqNullSafe(F.col("_t"))
-    return df.join(cells.selectExpr(*out), same, "left").drop("_k", "_t")
+    return df.join(framed.selectExpr(*out), same, "left").drop("_k", "_t")
 
 
 def time_windows(df: DataFrame, start: str, end: str, length: int | str = 1) -> DataFrame:
