@@ -1112,6 +1112,57 @@ def _(spark, d):
     return model.predict_interval(model.score_12h(fitted, rows, names), model.predictions(fitted, test, names))
 
 
+_DRAWS = f"""
+    with residuals as (select actual - predicted as residual from ({_PAIRS}) p where actual is not null and predicted is not null),
+      pool as (select residual, row_number() over (order by residual) - 1 as rank, count(*) over () as n from residuals),
+      draws as (select campaign_name, predicted_spend_12h as prediction,
+          cast('0x' || substr(md5(concat_ws('|', campaign_name, b, 42)), 1, 12) as bigint) % (select max(n) from pool) as rank
+        from ({_TOTALS}) t, range(1, 101) r(b))
+    select campaign_name, max(prediction) as prediction, quantile_cont(prediction + residual, 0.025) as lower_95,
+      quantile_cont(prediction + residual, 0.975) as upper_95, stddev_pop(prediction + residual) as std
+    from draws join pool using (rank) group by 1"""
+
+
+@query("predict_interval_residuals", _DRAWS, "prediction lower_95 upper_95 std")
+def _(spark, d):
+    return model.predict_interval(_totals(spark, d), _pairs(spark, d))
+
+
+_HALF = "cast(right(campaign_name, 2) as int) % 2 = 0"
+
+
+@query(
+    "fill_forecast",
+    f"""
+    select campaign_name, cast(horizon as int) as horizon, target_ts, predicted_spend, source from (
+      select campaign_name, h as horizon, timestamp '{FORECAST_START}' + to_hours(cast(h - 1 as int)) as target_ts, spend + h as predicted_spend, 'model' as source
+      from (select *, {_NEWEST} as rn from ({_CLEAN}) c) x, range(1, 13) r(h) where rn = 1 and {_HALF}
+      union all
+      select campaign_name, horizon, timestamp '{FORECAST_START}' + to_hours(horizon - 1), predicted_spend, 'fallback'
+      from ({_weights_sql(start=FORECAST_START.hour)}) w where not ({_HALF})) f
+    """,
+    "predicted_spend",
+)
+def _(spark, d):
+    latest = R.latest_row(_clean(spark, d)).where(F.substring("campaign_name", 2, 2).cast("int") % 2 == 0)
+    hourly = H.build_horizon_frame(latest, start=FORECAST_START).withColumn("predicted_spend", F.col("spend") + F.col("horizon"))
+    return H.fill_forecast(hourly, _totals(spark, d), FORECAST_START)
+
+
+_SINCE = "hours_since_positive_spend"
+
+
+@query(
+    "missing_indicators",
+    f"select {_K}, coalesce({_SINCE}, 0) as {_SINCE}, cast({_SINCE} is null as double) as {_SINCE}_is_null from (select {_K}, epoch(event_ts - max(case when spend > 0 then event_ts end) over (partition by campaign_name order by event_ts rows between unbounded preceding and 1 preceding)) / 3600 as {_SINCE} from ({_TS}) t) s",
+    _SINCE,
+)
+def _(spark, d):
+    rows, names = model.select_features(T.hours_since_positive_spend(_ts(spark, d)).drop("event_ts"), indicators=True)
+    flags = [n for n in names if n.endswith(model.MISSING)]
+    return rows.select(*_KEYS, *[n.removesuffix(model.MISSING) for n in flags], *flags)
+
+
 @query("importance_builtin")
 def _(spark, d):
     fitted, names, _meta = _fit(_model_rows(spark, d))

@@ -72,6 +72,20 @@ def weight_distribution(
     )
 
 
+def fill_forecast(hourly: DataFrame, totals: DataFrame, start: datetime, night: float = 0.4) -> DataFrame:
+    """The hourly forecast, and for campaigns that it lacks their total spread over the hours from ``start`` by hour weight.
+
+    ``hourly``: campaign, horizon, target_ts, predicted_spend; ``totals``: campaign, predicted_spend_12h.  Negative totals count as 0.  ``source`` is
+    "model" or "fallback".
+    """
+    have = hourly.select(F.col(KEY).alias("_has")).distinct()
+    missing = totals.join(have, F.col(KEY).eqNullSafe(F.col("_has")), "left_anti")
+    missing = missing.withColumn("predicted_spend_12h", clamp_nonnegative(F.col("predicted_spend_12h")))
+    spread = weight_distribution(missing, start.hour, night).withColumn("target_ts", fixed_time(start) + F.make_interval(hours=F.col("horizon") - 1))
+    columns = [KEY, "horizon", "target_ts", "predicted_spend"]
+    return hourly.select(*columns, F.lit("model").alias("source")).unionByName(spread.select(*columns, F.lit("fallback").alias("source")))
+
+
 def forecast_totals(hourly: DataFrame) -> DataFrame:
     return hourly.groupBy(KEY).agg(
         F.sum("predicted_spend").alias("predicted_spend_12h"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 from datetime import datetime
 from functools import reduce
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from hourloom.operators.campaign import encode_tiers
-from hourloom.operators.horizon import build_horizon_frame, two_stage_total, weight_distribution
-from hourloom.operators.metrics import rmse, train_test_metrics
+from hourloom.operators.horizon import build_horizon_frame, fill_forecast, two_stage_total, weight_distribution
+from hourloom.operators.metrics import train_test_metrics
 from hourloom.operators.projections import clamp_nonnegative, feature_names
 from hourloom.operators.quantiles import value_ranks
 from hourloom.operators.series import current_rows, latest_row
@@ -38,14 +39,31 @@ SEARCH_SPACE = {
 }
 
 
+MISSING = "_is_null"
+
+
 def as_inputs(df: DataFrame, features: list[str]) -> DataFrame:
-    """Feature columns as doubles without NULLs: the trees accept no missing values."""
-    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features}
-    return encode_tiers(df).withColumns(filled)
+    """Feature columns as doubles without NULLs: the trees accept no missing values.
+
+    A feature ``{c}_is_null`` that is no column of ``df`` is made here: 1 where ``c`` is NULL (or no column at all)."""
+    df = encode_tiers(df)
+    made = [c for c in features if c.endswith(MISSING) and c not in df.columns]
+    flags = {c: F.col(b).isNull().cast("double") if (b := c.removesuffix(MISSING)) in df.columns else F.lit(1.0) for c in made}
+    filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in features if c not in flags}
+    return df.withColumns({**flags, **filled})
+
+
+def missing_indicators(df: DataFrame, features: list[str]) -> list[str]:
+    """``{c}_is_null`` for each of the features that is NULL in some rows but not in all; one pass over ``df``."""
+    df = encode_tiers(df)
+    counts = df.agg(F.count(F.lit(1)).alias("_rows"), *[F.count(F.col(c)).alias(c) for c in features]).first().asDict()
+    return [c + MISSING for c in features if 0 < counts[c] < counts["_rows"]]
 
 
-def select_features(df: DataFrame) -> tuple[DataFrame, list[str]]:
+def select_features(df: DataFrame, indicators: bool = False) -> tuple[DataFrame, list[str]]:
     names = feature_names(df)
+    if indicators:
+        names = names + missing_indicators(df, names)
     return as_inputs(df, names), names
 
 
@@ -69,6 +87,60 @@ def _pipeline(features: list[str], params: dict, seed: int) -> Pipeline:
     return Pipeline(stages=[assembler, trees])
 
 
+def _by_tree_count(settings: list[dict]) -> list[tuple[dict, list[int]]]:
+    """Settings that differ in the number of trees alone share a fit: (the other parameters, the counts wanted)."""
+    groups: dict[tuple, list[int]] = {}
+    for setting in settings:
+        rest = tuple(sorted((k, v) for k, v in setting.items() if k != "maxIter"))
+        groups.setdefault(rest, []).append(setting["maxIter"])
+    return [(dict(rest), sorted(set(counts))) for rest, counts in groups.items()]
+
+
+def _fold_errors(rows: DataFrame, features: list[str], params: dict, counts: list[int], folds: int, seed: int) -> dict[int, float]:
+    """Mean RMSE over the folds for each number of trees.
+
+    Boosting adds trees one after the other, so the first k trees of a fit are the fit of k trees: one fit of the largest
+    number gives the errors of all smaller ones.
+    """
+    sums = dict.fromkeys(counts, 0.0)
+    for fold in range(1, folds + 1):
+        model = _pipeline(features, {**params, "maxIter": counts[-1]}, seed).fit(rows.filter(F.col("fold") < fold))
+        held = model.stages[0].transform(rows.filter(F.col("fold") == fold)).select("features", F.col(TARGET).cast("double").alias(TARGET))
+        errors = model.stages[-1].evaluateEachIteration(held, "squared")
+        for k in counts:
+            sums[k] += math.sqrt(errors[k - 1])
+    return {k: total / folds for k, total in sums.items()}
+
+
+def search_settings(
+    rows: DataFrame, features: list[str], settings: list[dict], folds: int, seed: int, parallelism: int = 4, halving: int = 0, least_trees: int = 50
+) -> list[dict]:
+    """All trials, best first: each setting with its mean RMSE and the number of trees it was judged by.
+
+    ``halving`` = 0 judges every setting by all its trees.  With n > 1, all are judged by ``least_trees`` trees first; the best n-th
+    goes on with n times as many, until the survivors are judged by all their trees.  Settings that fell out keep the error they had.
+    """
+
+    def judged(some: list[dict], most: int | None) -> list[dict]:
+        capped = [{**s, "maxIter": min(s["maxIter"], most or s["maxIter"])} for s in some]
+        groups = _by_tree_count(capped)
+        task = inheritable_thread_target(rows.sparkSession)(lambda group: _fold_errors(rows, features, *group, folds, seed))
+        with ThreadPool(min(parallelism, len(groups))) as pool:
+            found = pool.map(task, groups)
+        errors = {(tuple(sorted(rest.items())), k): e for (rest, _), by_count in zip(groups, found) for k, e in by_count.items()}
+        key = lambda s: (tuple(sorted((k, v) for k, v in s.items() if k != "maxIter")), s["maxIter"])
+        trials = [{"params": s, "trees": c["maxIter"], "rmse": errors[key(c)]} for s, c in zip(some, capped)]
+        return sorted(trials, key=lambda t: t["rmse"])
+
+    left, fallen, trees = settings, [], least_trees
+    while halving > 1 and len(left) > 1 and trees < max(s["maxIter"] for s in left):
+        trials = judged(left, trees)
+        keep = -(-len(trials) // halving)
+        left, fallen = [t["params"] for t in trials[:keep]], trials[keep:] + fallen
+        trees *= halving
+    return judged(left, None) + fallen
+
+
 def train_gbt(
     df: DataFrame,
     features: list[str] | None = None,
@@ -77,42 +149,36 @@ def train_gbt(
     random_state: int = 42,
     space: dict[str, list] | None = None,
     parallelism: int = 4,
+    halving: int = 0,
+    indicators: bool = False,
 ) -> tuple[PipelineModel, dict]:
     """Random search over boosted-tree settings by RMSE on rolling-origin folds, then a
-    fit of the best setting on all rows.  Returns the model and its metadata.
+    fit of the best setting on all rows.  Returns the model and its metadata, with all trials.
 
-    ``parallelism`` settings are fitted at a time, each as its own Spark jobs.
+    ``parallelism`` fits run at a time, each as its own Spark jobs; settings that differ in the number of trees share
+    one.  ``halving``: see ``search_settings``.  ``indicators``: features with NULLs also get ``{c}_is_null``, which are
+    fixed here and kept among the feature names.
     """
     features = features or feature_names(df)
+    if indicators:
+        features = features + missing_indicators(df, features)
     # Folds follow time; a frame without dates is ordered by what it has.
     times = {"date": "date", "hour": "int", "hourly_window": "string"}
     df = df.withColumns({c: F.lit(None).cast(t) for c, t in times.items() if c not in df.columns})
     settings = sample_space(n_trials, random_state, space or SEARCH_SPACE)
-    best, best_rmse = settings[0], None
+    trials = [{"params": settings[0], "trees": settings[0]["maxIter"], "rmse": None}]
     if len(settings) > 1:
         # Every trial reads the folds again, so they are cut from their lineage once.
         rows = durable(as_inputs(rolling_origin_folds(df, cv_folds), features))
-
-        def mean_rmse(params: dict) -> float:
-            scores = []
-            for fold in range(1, cv_folds + 1):
-                model = _pipeline(features, params, random_state).fit(rows.filter(F.col("fold") < fold))
-                scored = model.transform(rows.filter(F.col("fold") == fold))
-                pairs = scored.select(F.col(TARGET).alias("actual"), F.col("prediction").alias("predicted"))
-                scores.append(pairs.agg(rmse().alias("rmse")).first()["rmse"])
-            return sum(scores) / len(scores)
-
-        task = inheritable_thread_target(df.sparkSession)(mean_rmse)
-        with ThreadPool(min(parallelism, len(settings))) as pool:
-            means = pool.map(task, settings)
-        best_rmse = min(means)
-        best = settings[means.index(best_rmse)]
+        trials = search_settings(rows, features, settings, cv_folds, random_state, parallelism, halving)
+    best = trials[0]["params"]
     model = _pipeline(features, best, random_state).fit(as_inputs(df, features))
     return model, {
         "best_params": best,
-        "best_cv_rmse": best_rmse,
+        "best_cv_rmse": trials[0]["rmse"],
         "feature_names": features,
         "model_type": "GBTRegressor",
+        "trials": trials,
     }
 
 
@@ -164,6 +230,17 @@ def score_hourly(model: PipelineModel, latest: DataFrame, features: list[str], s
     return scored.select(KEY, "horizon", "target_ts", clamp_nonnegative(F.col("prediction")).alias("predicted_spend"))
 
 
+def score_hourly_filled(
+    model: PipelineModel, rows: DataFrame, wanted: DataFrame, features: list[str], start: datetime, night: float = 0.4
+) -> DataFrame:
+    """``score_hourly`` of ``rows``, and for the campaigns of ``wanted`` without a row there the total predicted from their newest
+    row in ``wanted``, spread by hour weights; ``source`` says which."""
+    hourly = score_hourly(model, rows, features, start)
+    # Only campaigns without a forecast are scored for their total.
+    missing = wanted.join(hourly.select(F.col(KEY).alias("_has")).distinct(), F.col(KEY).eqNullSafe(F.col("_has")), "left_anti")
+    return fill_forecast(hourly, score_12h(model, missing, features), start, night)
+
+
 def predict_two_stage(model: PipelineModel, latest: DataFrame, features: list[str]) -> DataFrame:
     return two_stage_total(score_horizons(model, latest_row(latest), features))
 
