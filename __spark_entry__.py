@@ -741,6 +741,16 @@ def _(spark, d):
     return M.scatter_pairs(_pairs(spark, d))
 
 
+@query("scatter_sample", f"select actual, predicted, actual - predicted as residual, (select least(min(actual), min(predicted)) from ({_PAIRS}) x) as line_min, (select greatest(max(actual), max(predicted)) from ({_PAIRS}) y) as line_max from ({_PAIRS}) p where cast('0x' || substr(md5(concat_ws('|', campaign_name, strftime(date, '%Y-%m-%d'), hourly_window, '42')), 1, 8) as bigint) < {round(0.1 * 2**32)}", "actual predicted residual line_min line_max")
+def _(spark, d):
+    return M.scatter_pairs(_pairs(spark, d), 0.1, ("campaign_name", "date", "hourly_window"))
+
+
+@query("scatter_bins", f"select cast(case when y1 > y0 then least(floor((y - y0) / (y1 - y0) * 50), 49) else 0 end as int) as actual_bin, cast(case when p1 > p0 then least(floor((p - p0) / (p1 - p0) * 50), 49) else 0 end as int) as predicted_bin, count(*) as n_rows from (select y, p, min(y) over () as y0, max(y) over () as y1, min(p) over () as p0, max(p) over () as p1 from (select cast(actual as double) as y, cast(predicted as double) as p from ({_PAIRS}) x where actual is not null and predicted is not null) v) w group by 1, 2")
+def _(spark, d):
+    return M.scatter_bins(_pairs(spark, d))
+
+
 # ---------------------------------------------------------------- 2.7 joins
 
 _STAT_COLS = ", ".join(f"{c}_{f}" for c, fs in C.STATS.items() for f in fs)

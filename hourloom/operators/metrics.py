@@ -205,16 +205,39 @@ def residual_qq(df: DataFrame, points: int = 100) -> DataFrame:
     )
 
 
-def scatter_pairs(df: DataFrame) -> DataFrame:
-    """Every (actual, predicted, residual) with the ends of the diagonal."""
+def scatter_pairs(df: DataFrame, share: float = 1.0, keys: tuple[str, ...] = (), seed: int = 42) -> DataFrame:
+    """(actual, predicted, residual) with the ends of the diagonal, which all rows give.
+
+    With ``share`` below 1, those rows whose digest of ``keys`` and seed falls below it: the same rows at every run, about that share of them.
+    ``scatter_bins`` counts all rows.
+    """
     line = df.agg(
         F.least(F.min(_y()), F.min(_p())).alias("line_min"),
         F.greatest(F.max(_y()), F.max(_p())).alias("line_max"),
     )
+    if share < 1:
+        if not keys:
+            raise ValueError("a sample needs the columns that tell rows apart")
+        digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in keys], F.lit(str(seed))))
+        df = df.filter(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < round(share * 2**32))
     pairs = df.select(_y().alias("actual"), _p().alias("predicted"), (_y() - _p()).alias("residual"))
     return pairs.crossJoin(F.broadcast(line))
 
 
+def scatter_bins(df: DataFrame, bins: int = 50) -> DataFrame:
+    """Rows per cell of a ``bins`` x ``bins`` grid over the ranges of actual and predicted; cells without rows are left out."""
+    pairs = df.select(_y().alias("_y"), _p().alias("_p")).filter("_y IS NOT NULL AND _p IS NOT NULL AND NOT isnan(_y) AND NOT isnan(_p)")
+    ends = pairs.agg(*[f(c).alias(f"{c}_{n}") for c in ("_y", "_p") for n, f in (("lo", F.min), ("hi", F.max))])
+
+    def cell(c: str):
+        width = F.col(f"{c}_hi") - F.col(f"{c}_lo")
+        return F.when(width > 0, F.least(F.floor((F.col(c) - F.col(f"{c}_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(0)).cast("int")
+
+    # The ends are one row.
+    placed = pairs.crossJoin(F.broadcast(ends)).select(cell("_y").alias("actual_bin"), cell("_p").alias("predicted_bin"))
+    return placed.groupBy("actual_bin", "predicted_bin").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def union_importance(tables: dict[str, DataFrame]) -> DataFrame:
     """Stack (feature, importance) tables with a ``method`` label."""
     out = None

@@ -11,26 +11,65 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourloom.durable import durable
+
 BUCKETS_PER_LOG_UNIT = 4096
+#: Different values that one window orders at most, and the parts into which a bucket of more is cut.
+CROWDED, CUTS = 65_536, 4096
+#: Buckets of the coarse histogram per factor e: under 200,000 for all doubles.
+COARSE_PER_LOG_UNIT = 64
 
 
 def _bucket() -> Column:
     return (F.signum("_x") * F.floor(F.log1p(F.abs("_x")) * BUCKETS_PER_LOG_UNIT)).cast("int")
 
 
-def value_ranks(df: DataFrame, value: str) -> DataFrame:
+def _coarse() -> Column:
+    """Order-preserving, by the logarithm of the size: a whole number for each 64th of a factor e, below and above zero."""
+    size = F.floor(F.log(F.abs("_x")) * COARSE_PER_LOG_UNIT) + 50_000
+    return F.when(F.col("_x") == 0, F.lit(0)).otherwise(F.signum("_x") * size).cast("int")
+
+
+def _counts_before(runs: DataFrame, group: list[str], crowded: int) -> DataFrame:
+    """``runs`` (group, _x, copies) with ``_before``, the number of smaller values in the group.
+
+    Groups with more than ``crowded`` different values are cut into ``CUTS`` parts of equal width between their ends, so often until no part is crowded.
+    A part always leaves out one end, so parts of several values get smaller.
+    """
+    prior = Window.unboundedPreceding, -1
+    sizes = runs.groupBy(*group).agg(F.count(F.lit(1)).alias("_d"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
+    large = durable(sizes.filter(F.col("_d") > crowded).drop("_d"))
+    plain = F.coalesce(F.sum("copies").over(Window.partitionBy(*group).orderBy("_x").rowsBetween(*prior)), F.lit(0))
+    n_large = large.count()
+    if n_large == 0:
+        return runs.withColumn("_before", plain)
+    # At most one row for each ``crowded`` values; beyond a million the join is left to Spark.
+    large = F.broadcast(large) if n_large <= 1_000_000 else large
+    few = runs.join(large, group, "left_anti").withColumn("_before", plain)
+    part = F.floor((F.col("_x") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * CUTS).cast("int")
+    parent = F.concat_ws("/", *group)
+    many = durable(runs.join(large, group).select(*group, "_x", "copies", parent.alias("_path"), part.alias("_part")))
+    totals = many.groupBy("_path", "_part").agg(F.sum("copies").alias("_n"))
+    # At most CUTS + 1 rows for each crowded group.
+    earlier = F.coalesce(F.sum("_n").over(Window.partitionBy("_path").orderBy("_part").rowsBetween(*prior)), F.lit(0))
+    totals = totals.select("_path", "_part", earlier.alias("_earlier"))
+    inside = _counts_before(many.select(*group, "_path", "_part", "_x", "copies"), ["_path", "_part"], crowded)
+    whole = inside.join(totals, ["_path", "_part"]).withColumn("_before", F.col("_before") + F.col("_earlier"))
+    return few.unionByName(whole.select(few.columns))
+
+
+def value_ranks(df: DataFrame, value: str, crowded: int = CROWDED) -> DataFrame:
     """(value, first, copies): each distinct value, the number of smaller ones, and how often it
-    occurs.  NULL and NaN are left out."""
+    occurs.  NULL and NaN are left out.  No task orders more than ``crowded`` values."""
     x = F.col(value).cast("double").alias("_x")
     runs = df.select(x).filter("_x IS NOT NULL AND NOT isnan(_x)").groupBy("_x").agg(F.count(F.lit(1)).alias("copies"))
-    runs = runs.withColumn("_bucket", _bucket())
-    prior = Window.unboundedPreceding, -1
+    runs = durable(runs.withColumn("_bucket", F.when(F.abs("_x") == float("inf"), F.signum("_x") * 200_000).otherwise(_coarse()).cast("int")))
     counts = runs.groupBy("_bucket").agg(F.sum("copies").alias("_n"))
-    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(*prior))
-    counts = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_before"))
-    inside = F.sum("copies").over(Window.partitionBy("_bucket").orderBy("_x").rowsBetween(*prior))
-    first = F.col("_before") + F.coalesce(inside, F.lit(0))
-    return runs.join(counts, "_bucket").select(F.col("_x").alias(value), first.alias("first"), "copies")
+    # One row for each bucket of the coarse histogram.
+    before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    counts = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_first"))
+    ranked = _counts_before(runs, ["_bucket"], crowded)
+    return ranked.join(F.broadcast(counts), "_bucket").select(F.col("_x").alias(value), (F.col("_first") + F.col("_before")).alias("first"), "copies")
 
 
 def exact_quantiles(
