@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 RECORDS_PER_FILE = 2000
 MIN_REVISIT_BYTES = 1000
+BATCH_CHARS = 1 << 20
 _FIELDS = {
     1: ["URL", "IP-address", "Archive-date", "Content-type", "Archive-length"],
     2: ["URL", "IP-address", "Archive-date", "Content-type", "Result-code", "Checksum", "Location", "Offset", "Filename", "Archive-length"],
@@ -38,15 +39,24 @@ def _field(value: str | None) -> str:
     return "".join(c if c > " " and c != "\x7f" else f"%{ord(c):02X}" for c in value or "") or "-"
 
 
-def _texts(rows: list[str]) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(rows, pa.string())], names=["value"])
+def _texts(rows: Iterator[str]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of about ``BATCH_CHARS``, or of one longer row."""
+    held, n = [], 0
+    for row in rows:
+        held.append(row)
+        n += len(row)
+        if n >= BATCH_CHARS:
+            yield pa.record_batch([pa.array(held, pa.string())], names=["value"])
+            held, n = [], 0
+    if held:
+        yield pa.record_batch([pa.array(held, pa.string())], names=["value"])
 
 
 def write_arc(pages: DataFrame, path: str, version: int = 1, records_per_file: int = RECORDS_PER_FILE, date: str = "20240131200000") -> None:
     """Writes (page_id, url, html) as gzipped ARC files of the version.  A null html is an empty body."""
     fields = _FIELDS[version]
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
         n = 0
         for b in batches:
             for page_id, url, body in zip(*[b.column(k) for k in range(3)]):
@@ -54,16 +64,17 @@ def write_arc(pages: DataFrame, path: str, version: int = 1, records_per_file: i
                 if n % records_per_file == 0:
                     block = f"{version} 0 origin\n{' '.join(fields)}\n"
                     rest = "" if version == 1 else "200 - - 0 pages.arc "
-                    yield _texts([f"filedesc://pages-{n}.arc 0.0.0.0 {date} text/plain {rest}{len(block)}\n{block}"])
+                    yield f"filedesc://pages-{n}.arc 0.0.0.0 {date} text/plain {rest}{len(block)}\n{block}"
                     n += 1
                 doc = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if page_id is None else page_id}\r\n\r\n{body}"
                 size = len(doc.encode())
                 rest = "" if version == 1 else "200 - - 0 pages.arc "
-                yield _texts([f"{_field(url)} 0.0.0.0 {date} text/html {rest}{size}\n{doc}"])
+                yield f"{_field(url)} 0.0.0.0 {date} text/html {rest}{size}\n{doc}"
                 n += 1
 
-    lines = pages.select("page_id", "url", "html").mapInArrow(records, "value string")
-    lines.write.option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").option("compression", "gzip").text(path)
+    lines = pages.select("page_id", "url", "html").mapInArrow(lambda batches: _texts(records(batches)), "value string")
+    # These files are read back soon, so they are compressed for speed.
+    lines.write.option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", records_per_file).option("lineSep", "\n").option("compression", "gzip").text(path)
 
 
 def _files(spark: SparkSession, *paths: str) -> DataFrame:
@@ -144,14 +155,14 @@ def convert(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_F
         "page_id", "url", "date", "head", "payload", "digest", "of.page_id", "of.url", "of.date", F.col("of").isNotNull().alias("again")
     ).toDF("page_id", "url", "date", "head", "payload", "digest", "of_id", "of_url", "of_date", "again")
 
-    def synthesise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def synthesise(batches: Iterator[pa.RecordBatch]) -> Iterator[str]:
         n = 0
         for b in batches:
             for row in zip(*b.columns):
                 page_id, url, date, head, payload, digest, of_id, of_url, of_date, again = (x.as_py() for x in row)
                 if n % records_per_file == 0:
                     info = "software: hourloom\r\nformat: WARC File Format 1.1\r\n"
-                    yield _texts([f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {page_id} {n}')}>\r\nWARC-Date: {_iso(date)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}"])
+                    yield f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{uuid.uuid5(_NAMESPACE, f'{url} {page_id} {n}')}>\r\nWARC-Date: {_iso(date)}\r\nContent-Type: application/warc-fields\r\nContent-Length: {len(info)}\r\n\r\n{info}"
                     n += 1
                 revisit = again and page_id != of_id
                 head = f"{head}\r\nContent-Length: {len(payload)}\r\n\r\n"
@@ -166,10 +177,10 @@ def convert(records: DataFrame, path: str, records_per_file: int = RECORDS_PER_F
                         f"WARC-Refers-To-Target-URI: {of_url}", f"WARC-Refers-To-Date: {_iso(of_date)}", f"X-Refers-To-Page: {of_id}",
                     ]
                 lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block.encode())}"]
-                yield _texts(["\r\n".join(lines) + "\r\n\r\n" + block])
+                yield "\r\n".join(lines) + "\r\n\r\n" + block
                 n += 1
 
-    out = marked.mapInArrow(synthesise, "value string")
+    out = marked.mapInArrow(lambda batches: _texts(synthesise(batches)), "value string")
     out.write.option("maxRecordsPerFile", records_per_file).option("lineSep", _WARC_END).option("compression", "gzip").text(path)
 
 
