@@ -201,10 +201,11 @@ def train_job(
     n_trials: int = 100,
     cv_folds: int = 5,
     space: dict[str, list] | None = None,
+    **search,
 ) -> tuple[PipelineModel, DataFrame]:
-    """Processed table to a saved model; returns it with its train and test metrics."""
+    """Processed table to a saved model; returns it with its train and test metrics.  ``search``: more options of ``train_gbt``."""
     train, test = split_data(scan_any(spark, data_path), 0.2, "campaign")
-    model, metadata = train_gbt(train, None, n_trials, cv_folds, space=space)
+    model, metadata = train_gbt(train, None, n_trials, cv_folds, space=space, **search)
     model_save(spark, model, model_path, metadata)
     names = metadata["feature_names"]
     return model, train_test_metrics(predictions(model, train, names), predictions(model, test, names))
