@@ -12,7 +12,7 @@ go to byte pieces, so decoding gives the text back byte by byte.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from pathlib import Path
 
 import numpy as np
@@ -198,15 +198,18 @@ def encode(p: Pieces, chunk: spans.Chunk, keys: np.ndarray) -> tuple[np.ndarray,
     return ids, np.diff(tokens[np.searchsorted(at, firsts)])
 
 
-def sample_pieces(docs: DataFrame, model_path: str = MODEL, seed: int = SEED, temperature: float = TEMPERATURE, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def sample_pieces(
+    docs: DataFrame, model_path: str = MODEL, seed: int = SEED, temperature: float = TEMPERATURE, id_column: str = "doc_id", text_column: str = "text", carried: Sequence[str] = ()
+) -> DataFrame:
     """One row per document: doc_id, n_pieces, ids, their SHA-256, and ``lossless`` (decoding gives the text back).
 
     The row key is the doc_id (null: a key of its own), so rows with equal doc_id and text are segmented alike.  Null
-    and empty texts have no pieces.  White space, case and characters outside the vocabulary are all kept.  Other columns
-    are not looked at.
+    and empty texts have no pieces.  White space, case and characters outside the vocabulary are all kept.  Columns named in
+    ``carried`` follow as they are; others are not looked at.
     """
     model = docs.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
-    schema = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids", pa.list_(pa.int32())), ("ids_sha256", pa.string()), ("lossless", pa.bool_())])
+    own = "doc_id bigint, n_pieces bigint, ids array<int>, ids_sha256 string, lossless boolean"
+    names = ["doc_id", "n_pieces", "ids", "ids_sha256", "lossless"]
 
     def segment(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = Pieces(model.value, temperature)
@@ -216,18 +219,44 @@ def sample_pieces(docs: DataFrame, model_path: str = MODEL, seed: int = SEED, te
                 keys = spans.mix(known[c.first : c.first + c.rows] + np.full(1, seed, dtype=np.uint64) * _GOLDEN)
                 ids, counts = encode(p, c, keys)
                 bounds = np.concatenate([[0], np.cumsum(counts)])
-                yield spans.batch(
-                    {
-                        "doc_id": b.column(0).slice(c.first, c.rows),
-                        "n_pieces": counts,
-                        "ids": spans.list_column(ids, counts, pa.int32()),
-                        "ids_sha256": [hashlib.sha256(ids[x:y].astype("<i4").tobytes()).hexdigest() for x, y in zip(bounds[:-1], bounds[1:])],
-                        "lossless": [p.decode(ids[x:y]) == c.text(i) for i, (x, y) in enumerate(zip(bounds[:-1], bounds[1:]))],
-                    },
-                    schema,
-                )
-
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(
-        segment, "doc_id bigint, n_pieces bigint, ids array<int>, ids_sha256 string, lossless boolean"
-    )
+                parts = [ids[x:y] for x, y in zip(bounds[:-1], bounds[1:])]
+                columns = [
+                    b.column(0).slice(c.first, c.rows),
+                    pa.array(counts, pa.int64()),
+                    spans.list_column(ids, counts, pa.int32()),
+                    pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in parts], pa.string()),
+                    pa.array([p.decode(x) == c.text(i) for i, x in enumerate(parts)], pa.bool_()),
+                ]
+                rest = [b.column(2 + k).slice(c.first, c.rows) for k in range(len(carried))]
+                yield pa.record_batch([*columns, *rest], names=[*names, *carried])
 
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"), *[F.col(f"`{c}`") for c in carried])
+    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[2:]]
+    return rows.mapInArrow(segment, ", ".join([own, *types]))
+
+
+def decode_pieces(coded: DataFrame, model_path: str = MODEL, id_column: str = "doc_id", ids_column: str = "ids") -> DataFrame:
+    """One row per row of stored piece ids: doc_id and text.
+
+    Null ids give a null text and no ids an empty one.  An id outside the vocabulary, a null among the ids, or bytes that
+    are no UTF-8 raise an error: such ids were not made by this vocabulary.  Other columns are not looked at.
+    """
+    model = coded.sparkSession.sparkContext.broadcast(Path(model_path).read_bytes())
+
+    def text(p: Pieces, doc: object, ids: pa.Array) -> str:
+        if ids.null_count:
+            raise ValueError(f"a null among the piece ids of {doc}")
+        values = ids.to_numpy()
+        if len(values) and (values.min() < 0 or values.max() >= len(p.raw) or not all(p.raw[i] for i in np.unique(values))):
+            raise ValueError(f"an unknown piece id in those of {doc}")
+        return p.decode(values).decode()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = Pieces(model.value, TEMPERATURE)
+        for b in batches:
+            for start in range(0, b.num_rows, 64):
+                part = b.slice(start, 64)
+                texts = [None if ids.values is None else text(p, doc, ids.values) for doc, ids in zip(part.column(0).to_pylist(), part.column(1))]
+                yield pa.record_batch([part.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
+
+    return coded.select(F.col(id_column).cast("long").alias("doc_id"), F.col(ids_column).cast("array<int>").alias("ids")).mapInArrow(join, "doc_id bigint, text string")

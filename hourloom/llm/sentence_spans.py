@@ -18,9 +18,9 @@ from pyspark.sql import functions as F
 
 from hourloom.durable import stored
 from hourloom.llm import spans
-from hourloom.llm.removal import attach, plain_id, with_id
+from hourloom.llm.removal import KEY, attach, keyed, plain_id
 
-RUN, MIN_WORDS, LONG_WORDS = 2, 15, 10
+RUN, MIN_WORDS, LONG_WORDS = 2, 15, 25
 _STOP = np.zeros(256, dtype=bool)
 _STOP[list(b".!?")] = True
 _CLOSE = np.zeros(256, dtype=bool)
@@ -65,40 +65,40 @@ class Sentences:
 
 
 def _scan(run: int, min_words: int, long_words: int):
-    schema = pa.schema([("span", pa.int64()), ("doc_id", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+    schema = pa.schema([("span", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("place", pa.int64())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for c in spans.chunks(b.column(1)):
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for c in spans.chunks(b.column(2)):
                 s = Sentences(c)
                 low, high = s.runs(run, min_words, long_words)
                 if len(low):
                     rows = s.rows[low]
                     shift = s.bounds[rows]
                     hashes = spans.prefix_hashes(s.words.hashes(), s.starts[low], s.ends[high])
-                    yield spans.batch(
-                        {"span": hashes.view(np.int64), "doc_id": ids[c.first + rows], "low": (low - shift).astype(np.int32), "high": (high - shift).astype(np.int32)}, schema
-                    )
+                    place = ((low - shift) << 32) + (high - shift)
+                    yield spans.batch({"span": hashes.view(np.int64), "doc_id": ids[c.first + rows], "text_key": keys[c.first + rows], "place": place}, schema)
 
     return scan
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "text", "n_sentences", "n_removed", "removed"]
+    names = ["doc_id", "text_key", "text", "n_sentences", "n_removed", "removed"]
     for b in batches:
-        for c in spans.chunks(b.column(1)):
+        for c in spans.chunks(b.column(2)):
             s = Sentences(c)
-            marks = b.column(2).slice(c.first, c.rows).to_pylist()
-            nulls = b.column(1).slice(c.first, c.rows).is_null().to_numpy(zero_copy_only=False)
+            marks = b.column(3).slice(c.first, c.rows).to_pylist()
+            nulls = b.column(2).slice(c.first, c.rows).is_null().to_numpy(zero_copy_only=False)
             texts, counts, removed = [], np.diff(s.bounds), []
             for i, own in enumerate(marks):
                 raw, at = c.text(i), int(c.offsets[i])
                 gone = np.zeros(counts[i] + 1, dtype=np.int64)
-                for m in own or ():
-                    if m["high"] < counts[i]:
-                        gone[m["low"]] += 1
-                        gone[m["high"] + 1] -= 1
+                for place in own or ():
+                    low, high = place >> 32, place & 0xFFFFFFFF
+                    if high < counts[i]:
+                        gone[low] += 1
+                        gone[high + 1] -= 1
                 gone = np.cumsum(gone[:-1]) > 0
                 edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
                 ranges = list(zip(edges[::2].tolist(), (edges[1::2] - 1).tolist()))
@@ -112,17 +112,23 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(None if nulls[i] else b"".join(kept).decode())
                 removed.append([{"low": x, "high": y} for x, y in ranges])
             yield pa.record_batch(
-                [b.column(0).slice(c.first, c.rows), pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array([sum(r["high"] - r["low"] + 1 for r in x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))],
+                [*[b.column(k).slice(c.first, c.rows) for k in (0, 1)], pa.array(texts, pa.string()), pa.array(counts, pa.int64()), pa.array([sum(r["high"] - r["low"] + 1 for r in x) for x in removed], pa.int64()), pa.array(removed, pa.list_(pa.struct([("low", pa.int32()), ("high", pa.int32())])))],
                 names=names,
             )
 
 
 def repeated_spans(docs: DataFrame, run: int = RUN, min_words: int = MIN_WORDS, long_words: int = LONG_WORDS) -> DataFrame:
-    """(doc_id, marks): all non-first places of repeated spans, for documents that have any; docs: doc_id, text."""
-    found = stored(docs.mapInArrow(_scan(run, min_words, long_words), "span bigint, doc_id bigint, low int, high int"), "spans")
-    firsts = found.groupBy("span").agg(F.min(F.struct("doc_id", "low")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    again = found.join(firsts.select("span", "first"), "span").where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("low") != F.col("first.low")))
-    return again.groupBy("doc_id").agg(F.collect_set(F.struct("low", "high")).alias("marks"))
+    """(doc_id, text_key, marks): all non-first places of repeated spans, for documents that have any; docs: doc_id, text_key, text.
+
+    A place is its first sentence, shifted by 32 bits, plus its last one.  First places are stored, so that the join
+    stands alone in its stage and a span that very many documents have is divided between tasks at run time.
+    """
+    found = stored(docs.mapInArrow(_scan(run, min_words, long_words), "span bigint, doc_id bigint, text_key bigint, place bigint"), "spans")
+    here = F.struct(*KEY, "place")
+    firsts = found.groupBy("span").agg(F.min(here).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = stored(firsts.select("span", "first"), "first-places")
+    again = found.join(firsts, "span").where(here != F.col("first"))
+    return again.groupBy(*KEY).agg(F.collect_set("place").alias("marks"))
 
 
 def remove_repeated_spans(
@@ -132,10 +138,10 @@ def remove_repeated_spans(
 
     ``removed`` lists the (low, high) ranges of removed sentences.  Comparison ignores the case of A-Z and the
     amount of white space between words.  Texts shorter than a run have no span; null stays null and has no sentence.
-    A null doc_id counts as the smallest.  Rows that share a doc_id are one document: places that agree in both are
-    one place.  Other columns are not looked at.
+    Rows without a doc_id come first, in an order by their texts.  Rows that share doc_id and text are one document, and its first
+    place stays in each of them; rows that share a doc_id alone are judged each on its own text.  Other columns are not looked at.
     """
-    docs = with_id(docs, id_column, text_column)
+    docs = keyed(docs, id_column, text_column)
     marked = attach(docs, repeated_spans(docs, run, min_words, long_words))
-    schema = "doc_id bigint, text string, n_sentences bigint, n_removed bigint, removed array<struct<low:int,high:int>>"
+    schema = "doc_id bigint, text_key bigint, text string, n_sentences bigint, n_removed bigint, removed array<struct<low:int,high:int>>"
     return marked.mapInArrow(_cut, schema).select(plain_id(), "text", "n_sentences", "n_removed", "removed")

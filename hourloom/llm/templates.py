@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from hourloom.durable import stored
 from hourloom.llm import spans
-from hourloom.llm.removal import attach, plain_id, with_id
+from hourloom.llm.removal import KEY, attach, keyed, plain_id
 
 DEPTH = 3
 SIMILAR = 70  # per cent of the tokens
@@ -56,16 +56,16 @@ class Lines:
 
 
 def _scan(depth: int):
-    schema = pa.schema([("leaf", pa.int64()), ("template", pa.int64()), ("doc_id", pa.int64()), ("line", pa.int32())])
+    schema = pa.schema([("leaf", pa.int64()), ("template", pa.int64()), ("doc_id", pa.int64()), ("text_key", pa.int64()), ("line", pa.int32())])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
-            for c in spans.chunks(b.column(1)):
+            ids, keys = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for c in spans.chunks(b.column(2)):
                 x = Lines(c, depth)
-                yield spans.batch(
-                    {"leaf": x.leaf.view(np.int64), "template": x.template.view(np.int64), "doc_id": ids[c.first + x.rows], "line": x.number.astype(np.int32)}, schema
-                )
+                fields = {"leaf": x.leaf.view(np.int64), "template": x.template.view(np.int64), "line": x.number.astype(np.int32)}
+                own = {"doc_id": ids[c.first + x.rows], "text_key": keys[c.first + x.rows]}
+                yield spans.batch({name: (fields | own)[name] for name in schema.names}, schema)
 
     return scan
 
@@ -76,7 +76,7 @@ def _tokens(depth: int):
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for c in spans.chunks(b.column(1)):
+            for c in spans.chunks(b.column(2)):
                 x = Lines(c, depth)
                 long = np.flatnonzero(x.last - x.first > depth)
                 template, at = np.unique(x.template[long], return_index=True)
@@ -121,21 +121,26 @@ def _gather(depth: int, similar: int):
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        marks = b.column(2).to_pylist()
+        marks = b.column(3).to_pylist()
         texts, lines, dropped = [], [], []
         for i, own in enumerate(marks):
-            text = b.column(1)[i].as_py()
+            text = b.column(2)[i].as_py()
             parts = [] if text is None else text.split("\n")
             gone = set(own or ())
             texts.append(text if not gone else "\n".join(x for k, x in enumerate(parts) if k not in gone))
             lines.append(len(parts))
             dropped.append(len(gone))
-        yield pa.record_batch([b.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())], names=["doc_id", "text", "n_lines", "n_dropped"])
+        columns = [b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(lines, pa.int64()), pa.array(dropped, pa.int64())]
+        yield pa.record_batch(columns, names=["doc_id", "text_key", "text", "n_lines", "n_dropped"])
 
 
 def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, similar: int = SIMILAR) -> DataFrame:
-    """(doc_id, marks): the numbers of the lines that go, for documents that lose any; docs: doc_id, text."""
-    lines = stored(docs.mapInArrow(_scan(depth), "leaf bigint, template bigint, doc_id bigint, line int"), "lines")
+    """(doc_id, text_key, marks): the numbers of the lines that go, for documents that lose any; docs: doc_id, text_key, text.
+
+    First documents are stored, so that their join stands alone in its stage and a template that very many documents have is divided
+    between tasks at run time.
+    """
+    lines = stored(docs.mapInArrow(_scan(depth), "leaf bigint, template bigint, doc_id bigint, text_key bigint, line int"), "lines")
     distinct = lines.groupBy("leaf", "template").agg(F.min("doc_id").alias("first"))
     shared = lines.groupBy("leaf").agg(F.min("template").alias("low"), F.max("template").alias("high")).where("low <> high")
     wanted = stored(distinct.join(shared.select("leaf"), "leaf"), "leaves")
@@ -144,21 +149,22 @@ def dropped_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH,
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = tokens.repartition(parts, "leaf").sortWithinPartitions("leaf", "first", "template")
     leaders = stored(dealt.mapInArrow(_gather(depth, similar), "template bigint, leader bigint"), "leaders")
-    named = lines.join(leaders, "template", "left").select(F.coalesce("leader", "template").alias("template"), "doc_id", "line")
-    per_doc = named.groupBy("template", "doc_id").agg(F.collect_set("line").alias("lines"))
+    named = lines.join(leaders, "template", "left").select(F.coalesce("leader", "template").alias("template"), *KEY, "line")
+    per_doc = named.groupBy("template", *KEY).agg(F.collect_set("line").alias("lines"))
     per_doc = stored(per_doc, "templates")
-    recurring = per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
-    gone = per_doc.join(recurring.select("template", "first"), "template").where("doc_id <> first")
-    return gone.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("marks"))
+    document = F.struct(*KEY)
+    recurring = per_doc.groupBy("template").agg(F.count(F.lit(1)).alias("n"), F.min(document).alias("first")).where(F.col("n") >= min_docs)
+    gone = per_doc.join(stored(recurring.select("template", "first"), "recurring"), "template").where(document != F.col("first"))
+    return gone.groupBy(*KEY).agg(F.array_distinct(F.flatten(F.collect_list("lines"))).alias("marks"))
 
 
 def drop_template_lines(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per document: doc_id, text without the dropped lines, n_lines, n_dropped.
 
     Lines are what \\n separates; lines without a token are never dropped.  A null text stays null with
-    no lines, an empty one has one line.  A null doc_id counts as the smallest.  Rows that share a doc_id are one
-    document for the counts, and lose the lines of the same numbers.  Other columns are not looked at.
+    no lines, an empty one has one line.  Rows without a doc_id come first, in an order by their texts.  Rows that share doc_id and
+    text are one document; rows that share a doc_id alone are judged each on its own text.  Other columns are not looked at.
     """
-    docs = with_id(docs, id_column, text_column)
+    docs = keyed(docs, id_column, text_column)
     marked = attach(docs, dropped_lines(docs, min_docs, depth))
-    return marked.mapInArrow(_cut, "doc_id bigint, text string, n_lines bigint, n_dropped bigint").select(plain_id(), "text", "n_lines", "n_dropped")
+    return marked.mapInArrow(_cut, "doc_id bigint, text_key bigint, text string, n_lines bigint, n_dropped bigint").select(plain_id(), "text", "n_lines", "n_dropped")
