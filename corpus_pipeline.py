@@ -9,9 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hourloom.durable import scratch_path, stored
-from hourloom.llm import mixing, near, pieces, quality, templates
+from hourloom.llm import mixing, near, pieces, quality, removal, templates
 from hourloom.llm.queries import MIX_WEIGHTS
-from hourloom.llm.removal import NO_ID, with_id
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -23,13 +22,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines of recurring templates stay in the first document only; every document stays, with n_chars of its new text."""
-    gone = templates.dropped_lines(with_id(docs, "doc_id", "text")).withColumnRenamed("doc_id", "marked_id")
-    marked = docs.join(gone, F.coalesce("doc_id", F.lit(NO_ID)) == F.col("marked_id"), "left")
-    shorter = F.expr(r"array_join(filter(split(text, '\n', -1), (x, i) -> not array_contains(marks, i)), '\n')")
-    text = F.when(F.col("marks").isNull(), F.col("text")).otherwise(shorter)
-    n_chars = F.when(F.col("marks").isNull(), F.col("n_chars")).otherwise(F.length(shorter).cast("long"))
-    return marked.select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    """Lines of recurring templates stay in the first document only, and n_chars is that of the new text.
+
+    Documents of which no word is left go: all their lines stand in other documents.  Those that had no word before stay.
+    """
+    rows = docs.select(*[F.col(c).alias(f"row_{c}") for c in COLUMNS], *removal.key_columns())
+    marks = templates.dropped_lines(removal.keyed(docs, "doc_id", "text"))
+    shorter = F.expr(r"array_join(filter(split(row_text, '\n', -1), (x, i) -> not array_contains(marks, i)), '\n')")
+    marked = removal.attach(rows, marks).withColumn("shorter", F.when(F.col("marks").isNotNull(), shorter))
+    left = marked.where(r"shorter is null or shorter rlike '[^\\x20\\x09-\\x0D]'")
+    n_chars = F.coalesce(F.length("shorter").cast("long"), F.col("row_n_chars"))
+    return left.select("row_doc_id", F.coalesce("shorter", "row_text"), "row_lang", "row_source", n_chars).toDF(*COLUMNS)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +56,12 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sampled piece ids of every document."""
-    return pieces.sample_pieces(docs)
+    """Sampled piece ids of every document, with its slot and place in the mixed order.
+
+    The columns of documents can't carry the order, so it is taken again from the same rows, weights and hashes.
+    """
+    mixed = mixing.mix(docs.select("doc_id", "text", "source"), MIX_WEIGHTS).select("row.doc_id", "row.text", "source", "slot", "place")
+    return pieces.sample_pieces(mixed, carried=["source", "slot", "place"])
 
 
 STAGES = [
