@@ -1,13 +1,15 @@
 """Main text of web pages by differencing pages with near URLs.
 
 A page becomes text lines, one for each block of its markup, each with the zone it stands in: ``article`` inside
-article or main, ``frame`` inside navigation, headers, footers, sidebars, forms, adverts, notices and comments, and
-``open`` where the markup doesn't tell.  Pages of a host are sorted by URL path over range partitions,
+article or main, ``frame`` inside navigation, headers, footers, sidebars, forms, adverts, notices and comments, hidden, or
+outside the article of a page that has one, ``open`` where the markup doesn't tell or a name only hints at a frame
+(``share-price``, ``article-header``), and ``title`` for an h1 in the header of a page whose article has none.
+Pages of a host are sorted by URL path over range partitions,
 and each page is paired with the neighbour whose path shares the longer prefix; copies, with the same lines, are no neighbours
 but look for the next different page on either side.  The lines of the two are
 aligned by longest common subsequence; lines that both have come from the site's template and are deleted.  The markup
 is the exact check that follows: lines of an article are kept when they are shared (reprints, quotations), lines of a frame
-go also when they are not shared.
+go also when they are not shared, and a title needs a neighbour without it.
 """
 
 from __future__ import annotations
@@ -21,20 +23,45 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARTICLE, FRAME, OPEN = 0, 1, 2
-_PARTS = re.compile(r"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b.*?(?:</\1\s*>|$)|<[!?/]?[a-zA-Z][^>]*(?:>|$)|<![^>]*>|[^<]+|<", re.S | re.I)
+ARTICLE, FRAME, OPEN, TITLE = 0, 1, 2, 3
+_OUTSIDE = 4  # open, if the page has no article
+_TAG = r"""<[!?/]?[a-zA-Z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>=]|=)*+(?:>|$)"""
+_PARTS = re.compile(rf"<!--.*?(?:-->|$)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b.*?(?:</\1\s*>|$)|{_TAG}|<![^>]*>|[^<]+|<", re.S | re.I)
 _NAME = re.compile(r"</?\s*([a-zA-Z][a-zA-Z0-9]*)")
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _FRAMES = frozenset("nav header footer aside form menu dialog button head".split())
-_ROLE = re.compile(
-    r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I
-)
+_TELLING = re.compile(r"class|id|role|hidden|style", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+)))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
+_ADVERT = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*")
 _FRAME_WORD = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|sidebar|widget|nav\w*|menu|breadcrumbs?|header|footer|comments?|replies|related|pagination|navigation|complementary|contentinfo|search)(?:$|[\s_-])",
-    re.I,
+    _ADVERT.pattern
+    + r"|banner|cookies?|consent|notice|popup|modal|newsletter|subscribe|share|social|sidebar|widget|nav|navbar|navigation|menu|breadcrumbs?|header|footer|comments?|replies|related|pagination|complementary|contentinfo|search"
 )
+#: Words that say where or how a frame stands, not what else it might be.
+_PLACE_WORD = re.compile(r"\d*|site|page|main|top|bottom|left|right|global|primary|secondary|box|block|bar|list|container|wrapper|section|area|slot|unit|form|links?|user|reader|posts?")
 _SPACE = re.compile(r"\s+")
+_PLAIN, _HINT, _NAMED, _AD = 0, 1, 2, 3
+
+
+def _role(token: str) -> int:
+    """What the attributes of a tag say: nothing, a frame among other words, a frame, or an advert or hidden."""
+    found = _PLAIN
+    start = _NAME.match(token).end()
+    for name, *values in _ATTRIBUTE.findall(token, start):
+        name, value = name.lower(), next(filter(None, values), "")
+        if name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and _UNSEEN.search(value)):
+            return _AD
+        if name not in ("class", "id", "role"):
+            continue
+        for word in value.lower().split():
+            parts = re.split(r"[-_]+", word)
+            frames = [x for x in parts if _FRAME_WORD.fullmatch(x)]
+            if frames:
+                whole = all(x in frames or _PLACE_WORD.fullmatch(x) for x in parts)
+                found = max(found, (_AD if any(map(_ADVERT.fullmatch, frames)) else _NAMED) if whole else _HINT)
+    return found
 
 
 def page_lines(source: str | None) -> list[tuple[str, int]]:
@@ -42,18 +69,30 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
     lines: list[tuple[str, int]] = []
     words: list[str] = []
     stack: list[tuple[str, int]] = []  # open elements that are not inline, and the zone before them
-    zone = OPEN
+    titles: list[int] = []  # lines of an h1 in a header, or outside
+    headed = False  # by an h1 of the article
+    left_out: list[str] = []  # the inline element that is left out, and those of its name inside it
+    zone = _OUTSIDE
 
     def close() -> None:
+        nonlocal headed
+        left_out.clear()
         text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
         words.clear()
-        if text:
-            lines.append((text, zone))
+        if not text:
+            return
+        names = {t for t, _ in stack}
+        if "h1" in names:
+            headed |= zone in (ARTICLE, OPEN)
+            if zone == _OUTSIDE or (zone == FRAME and "header" in names and len(names & _FRAMES) == 1):
+                titles.append(len(lines))
+        lines.append((text, zone))
 
     for m in _PARTS.finditer(source or ""):
         token = m.group()
         if token[0] != "<" or len(token) == 1:
-            words.append(token)
+            if not left_out:
+                words.append(token)
             continue
         name = _NAME.match(token)
         if not name or m.group(1):
@@ -62,7 +101,12 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
         if tag == "br":
             words.append(" ")
             continue
+        said = _role(token) if token[1] != "/" and _TELLING.search(token, name.end()) else _PLAIN
         if tag in _INLINE:
+            if left_out and tag == left_out[0] and token[1] == "/":
+                left_out.pop()
+            elif tag not in _VOID and token[1] != "/" and (tag == left_out[0] if left_out else said == _AD):
+                left_out.append(tag)
             continue
         close()
         if tag in _VOID or token.endswith("/>"):
@@ -75,16 +119,21 @@ def page_lines(source: str | None) -> list[tuple[str, int]]:
                     break
             continue
         if tag == "p" and stack and stack[-1][0] == "p":
-            stack.pop()
+            zone = stack.pop()[1]
+        inside = zone in (ARTICLE, OPEN)
         stack.append((tag, zone))
-        named = any(_FRAME_WORD.search(next(filter(None, r), "")) for r in _ROLE.findall(token)) if "=" in token else False
-        inside = any(t in ("article", "main") for t, _ in stack[:-1])
-        if zone == FRAME or (tag in _FRAMES and not (tag == "header" and inside)) or (named and tag not in ("body", "html", "article", "main")):
+        if tag in ("body", "html", "article", "main") and said != _AD:
+            zone = ARTICLE if zone != FRAME and tag in ("article", "main") else zone
+        elif zone == FRAME or (tag in _FRAMES and not (tag == "header" and inside)) or said >= _NAMED:
             zone = FRAME
-        elif tag in ("article", "main"):
-            zone = ARTICLE
+        elif said == _HINT and inside:
+            zone = OPEN
     close()
-    return lines
+    own = any(z in (ARTICLE, OPEN) for _, z in lines)
+    kinds = [z if z != _OUTSIDE else FRAME if own else OPEN for _, z in lines]
+    for k in [] if headed else titles:
+        kinds[k] = TITLE if kinds[k] == FRAME else OPEN
+    return [(text, kind) for (text, _), kind in zip(lines, kinds)]
 
 
 def common_lines(a: list[str], b: list[str]) -> set[int]:
@@ -150,13 +199,13 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near = [o for o in others if o is not None and o[2] == page[2]]
         best = max(near, key=lambda o: _prefix(o[3], page[3]), default=None)
         shared = common_lines(page[4], best[4]) if best else set()
-        kept = [t for i, (t, z) in enumerate(zip(page[4], page[5])) if z == ARTICLE or (z == OPEN and i not in shared)]
+        kept = [t for i, (t, z) in enumerate(zip(page[4], page[5])) if z == ARTICLE or (i not in shared and (z == OPEN or (z == TITLE and best)))]
         text = " ".join(kept)
-        return page[0], page[1], text, len(text), best[0] if best else None, len(shared)
+        return page[0], page[1], text, len(text), best[0] if best else None, len(shared), sum(z in (OPEN, TITLE) for z in page[5])
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["page_id", "url", "text", "n_chars", "paired_with", "n_shared_lines"])
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
+        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["page_id", "url", "text", "n_chars", "paired_with", "n_shared_lines", "n_open_lines"])
 
     before = None
     run: list[tuple] = []  # pages of one host with equal lines, which they hold in common
@@ -180,7 +229,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, paired_with, n_shared_lines.
+    """One row per page: page_id, url, text, n_chars, paired_with, n_shared_lines, n_open_lines (those that differencing decides).
 
     A null or empty html, or one without text, gives an empty text.  A null URL has host and path "". Host and path are compared in
     lower case without scheme, query and fragment.  Ties in the path go by identifier; pages at the edge of a range have one neighbour.
@@ -197,4 +246,4 @@ def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str =
     lined = rows.mapInArrow(_read, _PAGE)
     # The identifier is part of the order, so that one host or path may fill many ranges.
     dealt = lined.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.mapInArrow(_difference, "page_id bigint, url string, text string, n_chars bigint, paired_with bigint, n_shared_lines bigint")
+    return dealt.mapInArrow(_difference, "page_id bigint, url string, text string, n_chars bigint, paired_with bigint, n_shared_lines bigint, n_open_lines bigint")
