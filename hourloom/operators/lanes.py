@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hourloom.durable import durable
+from hourloom.operators.ranks import CROWDED, copies_before, digits
 from hourloom.schema import FACT_COLUMNS, KEY
 
 HOT_ROWS = 2_000_000
@@ -170,20 +171,20 @@ def _cold_lane(df: DataFrame) -> Lane:
     return Lane(rows, (KEY,), (*ORDER, "_tie"), False)
 
 
-def series_positions(df: DataFrame) -> DataFrame:
+def series_positions(df: DataFrame, crowded: int = CROWDED) -> DataFrame:
     """Distinct rows with ``_copies`` and ``_first``, the 0-based position of the first copy.
 
     Identical rows collapse to one row with a count before any exchange by campaign.
-    Counts per cell (campaign, hour, slice of the row hash) are summed over the cells
-    of a day and over the days of a campaign, so each window is bounded by the calendar
-    and not by the number of rows.
+    Counts per cell (campaign, hour, hourly window) are summed over the cells of a day and
+    over the days of a campaign, so these windows are bounded by the calendar and not by
+    the number of rows.  Inside a cell no task orders more than ``crowded`` rows.
     """
-    cell = [KEY, *ORDER, "_slice"]
-    runs = (
+    cell = [KEY, *ORDER]
+    tie = series_tie(df.columns)
+    runs = durable(
         df.groupBy(*df.columns)
         .agg(F.count(F.lit(1)).alias("_copies"))
-        .withColumn("_tie", series_tie(df.columns))
-        .withColumn("_slice", F.shiftright("_tie.facts", 58))
+        .withColumn("_tie", F.concat(digits(tie["facts"]), digits(tie["all"])))
     )
     cells = runs.groupBy(*cell).agg(F.sum("_copies").alias("_n"))
     prior = Window.unboundedPreceding, -1
@@ -199,7 +200,7 @@ def series_positions(df: DataFrame) -> DataFrame:
         )
         .drop("_dn")
     )
-    in_day = Window.partitionBy(KEY, "date").orderBy("hour", "hourly_window", "_slice")
+    in_day = Window.partitionBy(KEY, "date").orderBy("hour", "hourly_window")
     cells = cells.withColumn(
         "_in_day", F.coalesce(F.sum("_n").over(in_day.rowsBetween(*prior)), F.lit(0))
     )
@@ -212,13 +213,11 @@ def series_positions(df: DataFrame) -> DataFrame:
     same_cell = reduce(
         lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_c_{c}")) for c in cell]
     )
-    in_cell = Window.partitionBy(*cell).orderBy("_tie").rowsBetween(*prior)
+    ranked = copies_before(runs, cell, "_tie", "_copies", "_in_cell", crowded, length=32)
     return (
-        runs.join(cells, same_cell)
-        .withColumn(
-            "_first", F.col("_cell_first") + F.coalesce(F.sum("_copies").over(in_cell), F.lit(0))
-        )
-        .drop(*[f"_c_{c}" for c in cell], "_cell_first", "_slice", "_tie")
+        ranked.join(cells, same_cell)
+        .withColumn("_first", F.col("_cell_first") + F.col("_in_cell"))
+        .drop(*[f"_c_{c}" for c in cell], "_cell_first", "_in_cell", "_tie")
     )
 
 

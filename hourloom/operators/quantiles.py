@@ -2,8 +2,8 @@
 
 ``percentile`` keeps every distinct value of a group in the memory of one task.  Here
 values first fall into buckets that keep their order and whose number is bounded by the
-range of a double (under 6 million; 4,096 per factor e), bucket counts give the buckets that hold the wanted
-ranks, and only the values of those buckets are sorted.
+range of a double (under 200,000; 64 per factor e), bucket counts give the buckets that hold the wanted
+ranks, and only the values of those buckets are sorted.  Buckets of many different values are cut into parts first.
 """
 
 from __future__ import annotations
@@ -13,21 +13,17 @@ from pyspark.sql import functions as F
 
 from hourloom.durable import durable
 
-BUCKETS_PER_LOG_UNIT = 4096
 #: Different values that one window orders at most, and the parts into which a bucket of more is cut.
 CROWDED, CUTS = 65_536, 4096
-#: Buckets of the coarse histogram per factor e: under 200,000 for all doubles.
-COARSE_PER_LOG_UNIT = 64
+#: Buckets per factor e: under 200,000 for all doubles.
+BUCKETS_PER_LOG_UNIT = 64
 
 
 def _bucket() -> Column:
-    return (F.signum("_x") * F.floor(F.log1p(F.abs("_x")) * BUCKETS_PER_LOG_UNIT)).cast("int")
-
-
-def _coarse() -> Column:
     """Order-preserving, by the logarithm of the size: a whole number for each 64th of a factor e, below and above zero."""
-    size = F.floor(F.log(F.abs("_x")) * COARSE_PER_LOG_UNIT) + 50_000
-    return F.when(F.col("_x") == 0, F.lit(0)).otherwise(F.signum("_x") * size).cast("int")
+    size = F.floor(F.log(F.abs("_x")) * BUCKETS_PER_LOG_UNIT) + 50_000
+    finite = F.when(F.col("_x") == 0, F.lit(0)).otherwise(F.signum("_x") * size)
+    return F.when(F.abs("_x") == float("inf"), F.signum("_x") * 200_000).otherwise(finite).cast("int")
 
 
 def _counts_before(runs: DataFrame, group: list[str], crowded: int) -> DataFrame:
@@ -63,9 +59,9 @@ def value_ranks(df: DataFrame, value: str, crowded: int = CROWDED) -> DataFrame:
     occurs.  NULL and NaN are left out.  No task orders more than ``crowded`` values."""
     x = F.col(value).cast("double").alias("_x")
     runs = df.select(x).filter("_x IS NOT NULL AND NOT isnan(_x)").groupBy("_x").agg(F.count(F.lit(1)).alias("copies"))
-    runs = durable(runs.withColumn("_bucket", F.when(F.abs("_x") == float("inf"), F.signum("_x") * 200_000).otherwise(_coarse()).cast("int")))
+    runs = durable(runs.withColumn("_bucket", _bucket()))
     counts = runs.groupBy("_bucket").agg(F.sum("copies").alias("_n"))
-    # One row for each bucket of the coarse histogram.
+    # One row for each bucket.
     before = F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
     counts = counts.select("_bucket", F.coalesce(before, F.lit(0)).alias("_first"))
     ranked = _counts_before(runs, ["_bucket"], crowded)
@@ -73,10 +69,11 @@ def value_ranks(df: DataFrame, value: str, crowded: int = CROWDED) -> DataFrame:
 
 
 def exact_quantiles(
-    df: DataFrame, value: str, probabilities: list[float], keys: list[str] | None = None
+    df: DataFrame, value: str, probabilities: list[float], keys: list[str] | None = None, crowded: int = CROWDED
 ) -> DataFrame:
     """One row per group of ``keys``: the columns ``keys`` and ``q``, an array with one
-    quantile of ``value`` per probability.  NULL and NaN are left out."""
+    quantile of ``value`` per probability.  NULL and NaN are left out.  The values of the buckets that
+    hold a wanted rank are stored at once; no task orders more than ``crowded`` of them."""
     keys = keys or []
     k = [f"_k{i}" for i in range(len(keys))]
     x = F.col(value).cast("double")
@@ -124,24 +121,21 @@ def exact_quantiles(
         .toDF(*k, "_bucket", "_offset", "_weight", "_i")
     )
     needed = ranks.select(*k, "_bucket").distinct()
-    inside = Window.partitionBy(*k, "_bucket").orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in k] + [
         F.col("a._bucket") == F.col("b._bucket")
     ]
-    values = (
-        rows.alias("a")
-        .join(needed.alias("b"), same, "left_semi")
-        .groupBy(*k, "_bucket", "_x")
-        .agg(F.count(F.lit(1)).alias("_m"))
-        .withColumn("_upto", F.sum("_m").over(inside))
-    )
-    hit = (F.col("b._offset") < F.col("a._upto")) & (
-        F.col("b._offset") >= F.col("a._upto") - F.col("a._m")
+    # One text for group and bucket: null keys are left out of it, and names tell the others apart.
+    place = F.to_json(F.struct(*k, "_bucket")).alias("_place")
+    values = durable(
+        rows.alias("a").join(needed.alias("b"), same, "left_semi").groupBy(place, "_x").agg(F.count(F.lit(1)).alias("copies"))
     )
+    placed = _counts_before(values, ["_place"], crowded)
+    hit = (F.col("_offset") >= F.col("_before")) & (F.col("_offset") < F.col("_before") + F.col("copies"))
     parts = (
-        values.alias("a")
-        .join(ranks.alias("b"), [*same, hit])
-        .select(*[f"b.{c}" for c in k], "b._i", (F.col("a._x") * F.col("b._weight")).alias("_part"))
+        ranks.withColumn("_place", place)
+        .join(placed, "_place")
+        .filter(hit)
+        .select(*k, "_i", (F.col("_x") * F.col("_weight")).alias("_part"))
         .groupBy(*k, "_i")
         .agg(F.sum("_part").alias("_q"))
     )

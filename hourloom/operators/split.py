@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourloom.durable import durable
 from hourloom.functions.scalars import event_ts
+from hourloom.operators.ranks import CROWDED, copies_before, digits
 from hourloom.schema import KEY
 
 _ALL_PRIOR = (Window.unboundedPreceding, -1)
@@ -90,13 +92,14 @@ def _hours(df: DataFrame) -> DataFrame:
     )
 
 
-def segment_by_rank(df: DataFrame, cuts: list[Column], name: str = "segment") -> DataFrame:
+def segment_by_rank(df: DataFrame, cuts: list[Column], name: str = "segment", crowded: int = CROWDED) -> DataFrame:
     """Number of ``cuts`` at or below each row's rank in time order.
 
     ``cuts`` are ascending row counts, written in terms of ``_total``.  Hours that no cut
     divides are labelled as a whole.  Inside a divided hour rows are ranked by the md5 of
-    campaign and hourly window, in 4,096 groups; identical rows travel as one row with a
-    count.
+    campaign and hourly window, then by a hash of the row; identical rows travel as one row
+    with a count.  No task ranks more than ``crowded`` of them.  The divided hours, at most
+    one for each cut, are stored at once.
     """
     passed = lambda rank: F.size(F.filter("_cuts", lambda c: c <= rank))
     hours = (
@@ -112,39 +115,15 @@ def segment_by_rank(df: DataFrame, cuts: list[Column], name: str = "segment") ->
     rows = df.join(F.broadcast(hours), same)
     whole = rows.filter("_low = _high").withColumn(name, F.col("_low")).drop(*helpers)
 
-    order = F.md5(F.concat_ws("#", KEY, "hourly_window"))
+    order = F.concat(F.md5(F.concat_ws("#", KEY, "hourly_window")), digits(F.xxhash64(*df.columns)))
     divided = hours.filter("_low < _high")
-    runs = (
+    runs = durable(
         df.join(F.broadcast(divided), same)
         .groupBy(*df.columns, *helpers)
         .agg(F.count(F.lit(1)).alias("_copies"))
         .withColumn("_order", order)
-        .withColumn("_head", F.substring("_order", 1, 3))
-    )
-    heads = (
-        runs.groupBy(F.col("_d").alias("_hd"), F.col("_h").alias("_hh"), F.col("_head").alias("_hhead"))
-        .agg(F.sum("_copies").alias("_hn"))
-        .withColumn(
-            "_head_before",
-            F.coalesce(
-                F.sum("_hn").over(
-                    Window.partitionBy("_hd", "_hh").orderBy("_hhead").rowsBetween(*_ALL_PRIOR)
-                ),
-                F.lit(0),
-            ),
-        )
-        .drop("_hn")
-    )
-    same_head = (
-        F.col("_d").eqNullSafe(F.col("_hd"))
-        & F.col("_h").eqNullSafe(F.col("_hh"))
-        & (F.col("_head") == F.col("_hhead"))
-    )
-    in_head = (
-        Window.partitionBy("_d", "_h", "_head")
-        .orderBy("_order", F.xxhash64(*df.columns))
-        .rowsBetween(*_ALL_PRIOR)
     )
+    ranked = copies_before(runs, ["_d", "_h"], "_order", "_copies", "_earlier", crowded)
     first, last = F.col("_first"), F.col("_first") + F.col("_copies") - 1
     cut = lambda i, default: F.coalesce(F.try_element_at("_cuts", i.cast("int")), default)
     seg = F.col(name)
@@ -152,13 +131,7 @@ def segment_by_rank(df: DataFrame, cuts: list[Column], name: str = "segment") ->
     start = F.when(seg == 0, F.lit(0)).otherwise(cut(F.greatest(seg, F.lit(1)), F.lit(0)))
     end = cut(seg + 1, last + 1)
     parts = (
-        runs.join(heads, same_head)
-        .withColumn(
-            "_first",
-            F.col("_before")
-            + F.col("_head_before")
-            + F.coalesce(F.sum("_copies").over(in_head), F.lit(0)),
-        )
+        ranked.withColumn("_first", F.col("_before") + F.col("_earlier"))
         .withColumn(name, F.explode(F.sequence(passed(first), passed(last))))
         .withColumn("_share", F.least(last + 1, end) - F.greatest(first, start))
         .filter("_share > 0")
