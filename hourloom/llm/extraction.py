@@ -6,7 +6,8 @@ outside the article of a page that has one, ``open`` where the markup doesn't te
 (``share-price``, ``article-header``), and ``title`` for an h1 in the header of a page whose article has none.
 Pages of a host are sorted by URL path over range partitions,
 and each page is paired with the neighbour whose path shares the longer prefix; copies, with the same lines, are no neighbours
-but look for the next different page on either side.  The lines of the two are
+but look for the next different page on either side.  Pages at the edge of a range get the neighbours that lie in other ranges
+afterwards, so that the number of ranges changes nothing.  The lines of the two are
 aligned by longest common subsequence; lines that both have come from the site's template and are deleted.  The markup
 is the exact check that follows: lines of an article are kept when they are shared (reprints, quotations), lines of a frame
 go also when they are not shared, and a title needs a neighbour without it.
@@ -14,15 +15,20 @@ go also when they are not shared, and a title needs a neighbour without it.
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hourloom.durable import scratch_path
+
 ARTICLE, FRAME, OPEN, TITLE = 0, 1, 2, 3
 _OUTSIDE = 4  # open, if the page has no article
 _TAG = r"""<[!?/]?[a-zA-Z](?:=\s*"[^"]*"|=\s*'[^']*'|[^>=]|=)*+(?:>|$)"""
@@ -172,78 +178,173 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
-_PAGE = "page_id bigint, url string, host string, path string, lines array<string>, zones array<int>"
+_PAGE = "page_id bigint, url string, host string, path string, tie bigint, payload binary"
+_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64()), ("paired_with", pa.int64()), ("n_shared_lines", pa.int64()), ("n_open_lines", pa.int64())])
+_RESULT_COLUMNS = "page_id bigint, url string, text string, n_chars bigint, paired_with bigint, n_shared_lines bigint, n_open_lines bigint"
+_PLACED = pa.schema([("kind", pa.int32()), ("part", pa.int32()), *_RESULT, ("host", pa.string()), ("path", pa.string()), ("digest", pa.binary()), ("payload", pa.binary())])
+#: Kinds of rows: results, pages of the first and last run of a range, and the pages that other ranges may need.
+_DONE, _FIRST_RUN, _LAST_RUN, _FIRST, _SECOND, _LAST_BUT_ONE, _LAST = range(7)
+
+
+def _packed(lines: list[tuple[str, int]]) -> bytes:
+    """Zones as digits, then the lines, which hold no line break, compressed."""
+    return zstandard.compress("\n".join(["".join(str(z) for _, z in lines), *(t for t, _ in lines)]).encode(), 3)
+
+
+def _unpacked(payload: bytes) -> tuple[list[str], list[int]]:
+    zones, *lines = zstandard.decompress(payload).decode().split("\n")
+    return lines, [int(z) for z in zones]
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for start in range(0, b.num_rows, 256):
             part = b.slice(start, 256)
-            found = [page_lines(x.as_py()) for x in part.column(4)]
-            yield pa.record_batch(
-                [*[part.column(k) for k in range(4)], pa.array([[t for t, _ in x] for x in found], pa.list_(pa.string())), pa.array([[z for _, z in x] for x in found], pa.list_(pa.int32()))],
-                names=["page_id", "url", "host", "path", "lines", "zones"],
-            )
+            found = pa.array([_packed(page_lines(x.as_py())) for x in part.column(5)], pa.binary())
+            yield pa.record_batch([*[part.column(k) for k in range(5)], found], names=["page_id", "url", "host", "path", "tie", "payload"])
+
+
+def _clean(page: tuple, *others: tuple | None) -> tuple:
+    """The result row of a page (page_id, url, host, path, payload, lines, zones) between its neighbours."""
+    near = [o for o in others if o is not None and o[2] == page[2]]
+    best = max(near, key=lambda o: _prefix(o[3], page[3]), default=None)
+    shared = common_lines(page[5], best[5]) if best else set()
+    kept = [t for i, (t, z) in enumerate(zip(page[5], page[6])) if z == ARTICLE or (i not in shared and (z == OPEN or (z == TITLE and best)))]
+    text = " ".join(kept)
+    return page[0], page[1], text, len(text), best[0] if best else None, len(shared), sum(z in (OPEN, TITLE) for z in page[6])
+
 
+def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    held: list[tuple] = []
+    for row in rows:
+        held.append(row)
+        if len(held) == 256:
+            yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
+            held = []
+    if held:
+        yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*held), schema)], schema=schema)
 
-def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+
+def _sorted_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
     for b in batches:
         for start in range(0, b.num_rows, 256):
-            yield from zip(*[c.to_pylist() for c in b.slice(start, 256).columns])
+            for row in zip(*[b.column(k).slice(start, 256).to_pylist() for k in (0, 1, 2, 3, 5)]):
+                yield (*row, *_unpacked(row[4]))
 
 
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pages arrive sorted by host and path; a run of copies is held with the different pages before and after it."""
-
-    def clean(page: tuple, *others: tuple | None) -> tuple:
-        near = [o for o in others if o is not None and o[2] == page[2]]
-        best = max(near, key=lambda o: _prefix(o[3], page[3]), default=None)
-        shared = common_lines(page[4], best[4]) if best else set()
-        kept = [t for i, (t, z) in enumerate(zip(page[4], page[5])) if z == ARTICLE or (i not in shared and (z == OPEN or (z == TITLE and best)))]
-        text = " ".join(kept)
-        return page[0], page[1], text, len(text), best[0] if best else None, len(shared), sum(z in (OPEN, TITLE) for z in page[5])
-
-    def out(rows: list[tuple]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
-        return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["page_id", "url", "text", "n_chars", "paired_with", "n_shared_lines", "n_open_lines"])
-
-    before = None
-    run: list[tuple] = []  # pages of one host with equal lines, which they hold in common
-    rows: list[tuple] = []
-    for following in _pages(batches):
-        if run and following[2] == run[0][2] and following[4] == run[0][4]:
-            zones = run[0][5] if following[5] == run[0][5] else following[5]
-            run.append((*following[:4], run[0][4], zones))
-            continue
-        for page in run:
-            rows.append(clean(page, before, following))
-            if len(rows) >= 256:
-                yield out(rows)
-                rows = []
-        if run:
-            before = run[-1]
-        run = [following]
-    rows.extend(clean(page, before, None) for page in run)
-    if rows:
-        yield out(rows)
-
-
-def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """Pages arrive sorted by host and path; a run of copies is held with the different pages before and after it.
+
+    Pages of the first and last run of a range may have neighbours elsewhere and go on as they are, with the pages that other ranges may need.
+    """
+    part = TaskContext.get().partitionId()
+
+    def as_is(kind: int, page: tuple, digest: bytes | None = None) -> tuple:
+        return (kind, part, page[0], page[1], None, None, None, None, None, page[2], page[3], digest, page[4])
+
+    def mark(kind: int, page: tuple) -> tuple:
+        return as_is(kind, page, hashlib.blake2b("\n".join(page[5]).encode(), digest_size=16).digest())
+
+    def placed() -> Iterator[tuple]:
+        before = None
+        run: list[tuple] = []  # pages of one host with equal lines, which they hold in common
+        for following in _sorted_pages(batches):
+            if run and following[2] == run[0][2] and following[5] == run[0][5]:
+                same = following[6] == run[0][6]
+                run.append((*following[:4], run[0][4] if same else following[4], run[0][5], run[0][6] if same else following[6]))
+                continue
+            if run and before is None:
+                yield mark(_FIRST, run[0])
+                yield mark(_SECOND, following)
+                yield from (as_is(_FIRST_RUN, page) for page in run)
+            elif run:
+                yield from ((_DONE, part, *_clean(page, before, following), None, None, None, None) for page in run)
+            before = run[-1] if run else None
+            run = [following]
+        if not run:
+            return
+        if before is None:
+            yield mark(_FIRST, run[0])
+        else:
+            yield mark(_LAST_BUT_ONE, before)
+        yield mark(_LAST, run[-1])
+        yield from (as_is(_FIRST_RUN if before is None else _LAST_RUN, page) for page in run)
+
+    yield from _batches(placed(), _PLACED)
+
+
+def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages of an edge, each with the page before and the page after its run."""
+
+    def page(row: dict | None) -> tuple | None:
+        return row and (*row.values(), *_unpacked(row["payload"]))
+
+    def settled() -> Iterator[tuple]:
+        for b in batches:
+            for start in range(0, b.num_rows, 64):
+                for row in zip(*[c.to_pylist() for c in b.slice(start, 64).columns]):
+                    yield _clean(*map(page, row))
+
+    yield from _batches(settled(), _RESULT)
+
+
+def _page():
+    return F.struct("page_id", "url", "host", "path", "payload")
+
+
+def _neighbours(marks: DataFrame) -> DataFrame:
+    """(part, kind, before, after): the pages on either side of the first and last run of each range.
+
+    Runs of copies may go on through many ranges, so what a run finds is carried over ranges that hold nothing else.
+    """
+    run = F.struct("host", "digest")
+    per = marks.groupBy("part").agg(
+        F.max(F.when(F.col("kind") == _FIRST, run)).alias("first"), F.max(F.when(F.col("kind") == _LAST, run)).alias("last"),
+        F.max(F.col("kind") == _SECOND).alias("more"),
+    )
+    # One row for each range.
+    order = Window.partitionBy(F.lit(0)).orderBy("part")
+    place = lambda part, kind: F.struct(part.alias("part"), F.lit(kind).alias("kind"))
+    beside = {"before": (F.lag, "last", "first", _LAST, _LAST_BUT_ONE), "after": (F.lead, "first", "last", _FIRST, _SECOND)}
+    for name, (step, theirs, own, near, further) in beside.items():
+        other = step("part").over(order)
+        found = F.when(step(theirs).over(order) != F.col(own), place(other, near)).when(step("more").over(order), place(other, further))
+        per = per.withColumn(f"seen_{name}", found)
+    so_far, from_here = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    per = per.withColumn("before", F.last("seen_before", True).over(so_far)).withColumn("after", F.first("seen_after", True).over(from_here))
+    here = F.col("part")
+    firsts = per.select("part", F.lit(_FIRST_RUN).alias("kind"), "before", F.when(F.col("more"), place(here, _SECOND)).otherwise(F.col("after")).alias("after"))
+    lasts = per.where("more").select("part", F.lit(_LAST_RUN).alias("kind"), place(here, _LAST_BUT_ONE).alias("before"), "after")
+    both = firsts.unionByName(lasts)
+    for name in beside:
+        pages = marks.select(F.struct("part", "kind").alias(name), _page().alias(f"{name}_page"))
+        both = both.join(pages, name, "left")
+    return both.select("part", "kind", "before_page", "after_page")
+
+
+def extract_text(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", ranges: int | None = None) -> DataFrame:
     """One row per page: page_id, url, text, n_chars, paired_with, n_shared_lines, n_open_lines (those that differencing decides).
 
     A null or empty html, or one without text, gives an empty text.  A null URL has host and path "". Host and path are compared in
-    lower case without scheme, query and fragment.  Ties in the path go by identifier; pages at the edge of a range have one neighbour.
+    lower case without scheme, query and fragment.  Ties in the path go by identifier, then by a hash of the html.
     Repeated rows are pages each, and pages with the same lines aren't paired with each other.  Other columns are not looked at.
+    The pages are read at once, in ``ranges`` range partitions (as many as shuffles have, if not given).
     """
+    spark = pages.sparkSession
     url = F.coalesce(F.col(url_column), F.lit(""))
     bare = F.lower(F.regexp_replace(F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"[?#].*$", ""))
     rows = pages.select(
         F.col(id_column).cast("long").alias("page_id"), F.col(url_column).alias("url"), F.substring_index(bare, "/", 1).alias("host"),
-        F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"(\.html?)?/*$", "").alias("path"), F.col(html_column).alias("html"),
+        F.regexp_replace(F.regexp_replace(bare, r"^[^/]*", ""), r"(\.html?)?/*$", "").alias("path"), F.xxhash64(html_column).alias("tie"), F.col(html_column).alias("html"),
     )
-    # Ranges of a thousand pages at least: few pages stand at an edge.
-    parts = max(1, min(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), pages.count() // 1000))
-    lined = rows.mapInArrow(_read, _PAGE)
     # The identifier is part of the order, so that one host or path may fill many ranges.
-    dealt = lined.repartitionByRange(parts, "host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return dealt.mapInArrow(_difference, "page_id bigint, url string, text string, n_chars bigint, paired_with bigint, n_shared_lines bigint, n_open_lines bigint")
+    order = ["host", "path", "page_id", "tie"]
+    dealt = rows.mapInArrow(_read, _PAGE).repartitionByRange(ranges or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    path = scratch_path(spark, "placed-pages")
+    columns = f"kind int, part int, {_RESULT_COLUMNS}, host string, path string, digest binary, payload binary"
+    dealt.mapInArrow(_difference, columns).write.option("compression", "zstd").parquet(path)
+    placed = spark.read.schema(columns).parquet(path)
+    done = placed.where(F.col("kind") == _DONE).select(*_RESULT.names)
+    edges = placed.where(F.col("kind").isin(_FIRST_RUN, _LAST_RUN)).join(_neighbours(placed.where(F.col("kind") >= _FIRST)), ["part", "kind"])
+    settled = edges.select(_page().alias("page"), "before_page", "after_page").mapInArrow(_settle, _RESULT_COLUMNS)
+    return done.unionByName(settled)
