@@ -29,6 +29,10 @@ _MARK, _LITERAL_MARK, _BREAK = 0x2581, 0x110000, 10
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _slot(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(42)).astype(np.int64)
+
+
 class Pieces:
     """The vocabulary: weights by rank (p ~ (rank + 10) ** -1/temperature) and tables for matching and decoding."""
 
@@ -64,12 +68,41 @@ class Pieces:
         self.hashes, self.ids = hashes[order], np.array(ids, dtype=np.int32)[order]
         self.longest = int(lengths.max())
         self.maybe = np.zeros(1 << 22, dtype=bool)
-        self.maybe[(hashes >> np.uint64(42)).astype(np.int64)] = True
+        self.maybe[_slot(hashes)] = True
+        # Pieces of a slot lie next to each other, since slots are the first bits of the sorted hashes.
+        self.first, slots = np.zeros(1 << 22, dtype=np.int32), _slot(self.hashes)
+        self.first[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
+        self.crowd = int(np.unique(slots, return_counts=True)[1].max())
+        # Slots of all beginnings of pieces: where a text goes on like none of them, no longer piece can match.
+        self.begun = np.zeros(1 << 22, dtype=bool)
+        for size in range(1, self.longest + 1):
+            some = np.flatnonzero(lengths >= size)
+            starts = (ends - lengths)[some]
+            self.begun[_slot(spans.prefix_hashes(flat, starts, starts + size))] = True
+
+    def place(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the pieces with these hashes, -1 where there is none."""
+        at = self.first[_slot(hashes)]
+        found = np.where(self.hashes[at] == hashes, at, -1)
+        for further in range(1, self.crowd):
+            left = np.flatnonzero(found < 0)
+            other = np.minimum(at[left] + further, len(self.hashes) - 1)
+            found[left] = np.where(self.hashes[other] == hashes[left], other, -1)
+        return found
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join([self.raw[i] for i in ids.tolist()])
 
 
+def _order(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Stable order by two whole numbers, from the lowest 16 bits on, which are sorted in linear time."""
+    order = np.arange(len(first))
+    for number in (second, first):
+        for shift in range(0, int(number.max(initial=0)).bit_length(), 16):
+            order = order[np.argsort((number[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 def _lattice(p: Pieces, points: np.ndarray, lengths: np.ndarray):
     """Edges of the lattices of some units (their points one after another), sorted by the node they end in.
 
@@ -94,11 +127,12 @@ def _lattice(p: Pieces, points: np.ndarray, lengths: np.ndarray):
         if not len(at):
             break
         h = spans.mix((sums[at + size] - sums[at]) * down[at] + np.full(1, size, dtype=np.uint64) * _GOLDEN)
-        likely = p.maybe[(h >> np.uint64(42)).astype(np.int64)]
-        some, h = at[likely], h[likely]
-        place = np.minimum(np.searchsorted(p.hashes, h), len(p.hashes) - 1)
-        same = p.hashes[place] == h
-        some, place = some[same], place[same]
+        slot = _slot(h)
+        likely = np.flatnonzero(p.maybe[slot])
+        place = p.place(h[likely])
+        same = place >= 0
+        some, place = at[likely[same]], place[same]
+        at = at[p.begun[slot]]
         if size == 1:
             single[some] = True
         starts.append(some)
@@ -114,7 +148,7 @@ def _lattice(p: Pieces, points: np.ndarray, lengths: np.ndarray):
     weight = np.where(piece < 0, p.byte_weight * n_bytes, p.weights[piece])
     source, target = node[start], node[start] + size
     depth = target - base[unit[start]]
-    order = np.lexsort((target, depth))
+    order = _order(depth, target)
     source, target, piece, weight, depth = source[order], target[order], piece[order], weight[order], depth[order]
     mass = np.zeros(n_nodes)
     share = np.empty(len(source))
