@@ -25,12 +25,14 @@ from hourloom.llm import spans
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED, TEMPERATURE = 17, 3.0
 SLICE_POINTS = 1 << 19
+#: Tables of piece hashes have 2 ** SLOT_BITS places and stay in the cache of a core.
+SLOT_BITS = 20
 _MARK, _LITERAL_MARK, _BREAK = 0x2581, 0x110000, 10
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(42)).astype(np.int64)
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 class Pieces:
@@ -67,14 +69,14 @@ class Pieces:
         order = np.argsort(hashes)
         self.hashes, self.ids = hashes[order], np.array(ids, dtype=np.int32)[order]
         self.longest = int(lengths.max())
-        self.maybe = np.zeros(1 << 22, dtype=bool)
+        self.maybe = np.zeros(1 << SLOT_BITS, dtype=bool)
         self.maybe[_slot(hashes)] = True
         # Pieces of a slot lie next to each other, since slots are the first bits of the sorted hashes.
-        self.first, slots = np.zeros(1 << 22, dtype=np.int32), _slot(self.hashes)
+        self.first, slots = np.zeros(1 << SLOT_BITS, dtype=np.int32), _slot(self.hashes)
         self.first[slots[::-1]] = np.arange(len(slots), dtype=np.int32)[::-1]
         self.crowd = int(np.unique(slots, return_counts=True)[1].max())
         # Slots of all beginnings of pieces: where a text goes on like none of them, no longer piece can match.
-        self.begun = np.zeros(1 << 22, dtype=bool)
+        self.begun = np.zeros(1 << SLOT_BITS, dtype=bool)
         for size in range(1, self.longest + 1):
             some = np.flatnonzero(lengths >= size)
             starts = (ends - lengths)[some]
@@ -143,9 +145,9 @@ def _lattice(p: Pieces, points: np.ndarray, lengths: np.ndarray):
     sizes.append(np.ones(len(bare), dtype=np.int64))
     ids.append(np.full(len(bare), -1, dtype=np.int32))
     start, size, piece = np.concatenate(starts), np.concatenate(sizes), np.concatenate(ids)
-    c = np.where(points[start] == _LITERAL_MARK, _MARK, points[start])
+    c = np.where(points[bare] == _LITERAL_MARK, _MARK, points[bare])
     n_bytes = 1 + (c >= 0x80).astype(np.int64) + (c >= 0x800) + (c >= 0x10000)
-    weight = np.where(piece < 0, p.byte_weight * n_bytes, p.weights[piece])
+    weight = np.concatenate([p.weights[piece[: len(piece) - len(bare)]], p.byte_weight * n_bytes])
     source, target = node[start], node[start] + size
     depth = target - base[unit[start]]
     order = _order(depth, target)
