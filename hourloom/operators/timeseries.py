@@ -8,6 +8,7 @@ table with one row per campaign and block, which the calendar does bound, carrie
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from functools import reduce
@@ -15,9 +16,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hourloom.durable import durable
+from hourloom.durable import durable, stored
 from hourloom.functions.scalars import event_ts, micros, wall_clock
-from hourloom.operators.lanes import HOT_ROWS, MAX_BROADCAST_NAMES, hot_names
+from hourloom.operators.lanes import HOT_ROWS, MAX_BROADCAST_NAMES
 from hourloom.schema import KEY
 
 HOUR_US = 3_600_000_000
@@ -182,71 +183,108 @@ def _cold_frames(cells: DataFrame, lengths: dict[str, int], metrics: tuple[str,
     return cells.selectExpr(*framed, *[f"c_{c}" for c in metrics])
 
 
-#: How the parts of a summary are merged.
+#: How the parts of a summary are merged, and what leaves the other side of a merge as it is (NaN is the largest number).
 _MERGE = {"n": "sum", "s": "sum", "q": "sum", "lo": "min", "hi": "max"}
+_PLUS = {"sum": "{a} + {b}", "min": "least({a}, {b})", "max": "greatest({a}, {b})"}
+_NOTHING = {"n": "0L", "s": "0D", "q": "0D", "lo": "double('NaN')", "hi": "double('-Infinity')"}
+#: The place of cells without a time: before all instants, where no other frame reaches.
+NO_TIME_US = -(2**62)
+
+
+def _sums(metrics: tuple[str, ...]) -> list[str]:
+    return [f"{part}_{c}" for c in metrics for part in _MERGE]
+
+
+def _merge(x: str) -> str:
+    return _MERGE[x.split("_")[0]]
+
+
+def _nothing(x: str) -> str:
+    return _NOTHING[x.split("_")[0]]
+
+
+def _hot_cells(rows: DataFrame, metrics: tuple[str, ...]) -> DataFrame:
+    """One row per campaign and instant: count, sum and squares about the campaign mean, least and largest value of each metric."""
+    value = {c: F.col(c).cast("double") for c in metrics}
+    off = {c: value[c] - F.col(f"c_{c}") for c in metrics}
+    parts = {"n": lambda c: F.count(c), "s": lambda c: F.sum(off[c]), "q": lambda c: F.sum(off[c] * off[c]), "lo": lambda c: F.min(value[c]), "hi": lambda c: F.max(value[c])}
+    cells = rows.groupBy("_k", "_us").agg(*[parts[part](c).alias(f"{part}_{c}") for c in metrics for part in _MERGE])
+    return cells.selectExpr("_k", "_us", *[f"coalesce({x}, {_nothing(x)}) AS {x}" for x in _sums(metrics)])
 
 
 def _block_us(cells: DataFrame, lengths: dict[str, int], block_cells: int) -> int:
-    """A block length that divides all frames and leaves at most ``block_cells`` cells in a (campaign, block), halved until it does."""
+    """The longest block that is a frame divisor halved and leaves at most ``block_cells`` cells in a (campaign, block); if none does, the shortest."""
     block = math.gcd(*lengths.values())
-    while block % 2 == 0:
-        fullest = cells.groupBy("_k", F.floor(F.col("_us") / F.lit(block))).count().agg(F.max("count")).first()[0]
-        if (fullest or 0) <= block_cells:
-            break
-        block //= 2
-    return block
+    halvings = (block & -block).bit_length() - 1
+    # Counted once in the shortest blocks; the longer ones are made of these.
+    shortest = durable(cells.groupBy("_k", F.expr(_floor_div("_us", block >> halvings)).alias("_block")).agg(F.count(F.lit(1)).alias("_n")))
+
+    def fits(n: int) -> bool:
+        counts = shortest.groupBy("_k", F.shiftright("_block", halvings - n)).agg(F.sum("_n").alias("_n"))
+        return (counts.agg(F.max("_n")).first()[0] or 0) <= block_cells
+
+    return block >> bisect.bisect_left(range(halvings), True, key=fits)
+
+
+def _floor_div(a: str, b: int | str) -> str:
+    return f"({a} div {b} - CAST({a} < 0 AND {a} % {b} <> 0 AS INT))"
+
+
+def _add_later(rows: DataFrame, parts: str, asked: str, sums: list[str]) -> DataFrame:
+    """Rows where ``asked`` is not null, their sums merged with those of the other rows of the group at a later ``_at``."""
+    over = f"OVER (PARTITION BY {parts} ORDER BY _at DESC, {asked} IS NULL ROWS UNBOUNDED PRECEDING)"
+    kept = [c for c in rows.columns if c not in sums]
+    rows = rows.selectExpr("*", *[f"{_merge(x)}(IF({asked} IS NULL, {x}, {_nothing(x)})) {over} AS later_{x}" for x in sums])
+    return rows.where(f"{asked} IS NOT NULL").selectExpr(*kept, *[_PLUS[_merge(x)].format(a=x, b=f"later_{x}") + f" AS {x}" for x in sums])
+
+
+def _whole_blocks(cells: DataFrame, block: int, lengths: dict[str, int], sums: list[str]) -> DataFrame:
+    """Per block and window, the sums of the whole blocks between that of the frame's beginning and the block itself.
+
+    Blocks are gathered in chunks as long as the frame.  The whole blocks are then those before the block in its chunk and those of
+    the chunk before that come after the block in which the frame begins, so no frame is read block by block.
+    """
+    windows = ", ".join(f"struct('{w}' AS _w, {k}L AS _length, {k // block}L AS _n_blocks)" for w, k in lengths.items())
+    blocks = cells.groupBy("_k", "_block").agg(*[F.expr(f"{_merge(x)}({x})").alias(x) for x in sums])
+    blocks = blocks.selectExpr("*", f"inline(array({windows}))").withColumn("_chunk", F.expr(_floor_div("_block", "_n_blocks")))
+    before = "OVER (PARTITION BY _k, _w, _chunk ORDER BY _block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    place = ["_k", "_w", "_length", "_n_blocks"]
+    asked = blocks.selectExpr(*place, "_chunk - 1 AS _chunk", "_block - _n_blocks AS _at", "_block", *[f"coalesce({_merge(x)}({x}) {before}, {_nothing(x)}) AS {x}" for x in sums])
+    given = blocks.selectExpr(*place, "_chunk", "_block AS _at", "CAST(NULL AS BIGINT) AS _block", *sums)
+    return _add_later(asked.unionByName(given), "_k, _w, _chunk", "_block", sums).drop("_chunk", "_at")
 
 
 def _hot_frames(cells: DataFrame, lengths: dict[str, int], metrics: tuple[str, ...], block_cells: int) -> DataFrame:
-    """The same sums for campaigns with any number of cells.
+    """Mean about the campaign mean, and deviation, over the frames of each cell, for campaigns with any number of cells.
 
     A frame (t - length, t] that ends in block b begins in block b - k, at the same place of the block.  It is made of
-    the rest of block b - k after t - length, of k - 1 whole blocks, and of block b up to t:
-    a look-up in the block's sums from its end, a frame over the table of blocks, and the block's sums from its start.
+    block b up to t, of k - 1 whole blocks, and of the rest of block b - k after t - length.  The first two are merged in block b
+    and looked up the third in block b - k, one row per cell and window, so each row is met once a window whatever the length.
     """
-    # One row per hot campaign: bounded like the list of them.
-    means = cells.groupBy(F.col("_k").alias("_mk")).agg(*[F.expr(f"try_divide(sum(n_{c} * m_{c}), sum(n_{c}))").alias(f"c_{c}") for c in metrics])
-    sums = [f"{part}_{c}" for c in metrics for part in _MERGE]
-    cells = durable(
-        cells.join(F.broadcast(means), F.col("_k").eqNullSafe(F.col("_mk"))).withColumn("_us", _us("_t")).selectExpr(
-            "_k", "_t", "_us", *[f"c_{c}" for c in metrics],
-            *[x for c in metrics for x in (
-                f"n_{c}", f"n_{c} * (m_{c} - c_{c}) AS s_{c}", f"n_{c} * (v_{c} + pow(m_{c} - c_{c}, 2)) AS q_{c}", f"lo_{c}", f"hi_{c}")],
-        )
-    )
+    sums = _sums(metrics)
+    cells = stored(cells, "cells")
     block = _block_us(cells, lengths, block_cells)
-    cells = cells.withColumn("_block", F.expr(f"_us div {block} - CAST(_us < 0 AND _us % {block} <> 0 AS INT)"))
-
-    def merged(prefix: str, over: str) -> list[str]:
-        return [f"{_MERGE[x.split('_')[0]]}({x}) {over} AS {prefix}{x}" for x in sums]
-
-    starts = cells.selectExpr("_k", "_t", "_us", "_block", *[f"c_{c}" for c in metrics], *merged("own_", "OVER (PARTITION BY _k, _block ORDER BY _us ROWS UNBOUNDED PRECEDING)"))
-    blocks = cells.groupBy("_k", "_block").agg(*[F.expr(x) for x in merged("", "")])
-    whole = {w: f"OVER (PARTITION BY _k ORDER BY _block RANGE BETWEEN {k // block - 1} PRECEDING AND 1 PRECEDING)" for w, k in lengths.items() if k > block}
-    blocks = blocks.selectExpr("_k AS _bk", "_block AS _bb", *[x for w, over in whole.items() for x in merged(f"mid_{w}_", over)])
-
-    looked_up = [f"{x}_{w}" for w in lengths for x in sums]
-    asked = [
-        cells.selectExpr("_k", f"_block - {k // block} AS _block", f"_us - {k} AS _at", f"'{w}' AS _window", "_t", *[f"CAST(NULL AS {'BIGINT' if x.startswith('n_') else 'DOUBLE'}) AS {x}" for x in sums])
-        for w, k in lengths.items()
-    ]
-    given = cells.selectExpr("_k", "_block", "_us AS _at", "CAST(NULL AS STRING) AS _window", "_t", *sums)
-    ends = reduce(DataFrame.unionByName, asked, given).where("_at IS NOT NULL")
-    after = "OVER (PARTITION BY _k, _block ORDER BY _at DESC RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    ends = ends.selectExpr("_k", "_t", "_window", *merged("end_", after)).where("_window IS NOT NULL")
-    ends = ends.selectExpr("_k", "_t", *[f"CASE WHEN _window = '{w}' THEN end_{x} END AS {x}_{w}" for w in lengths for x in sums], *[f"CAST(NULL AS DOUBLE) AS c_{c}" for c in metrics])
-
-    # Rows without a time have no block: their frame is their own cell.
-    same = F.col("_k").eqNullSafe(F.col("_bk")) & (F.col("_block") == F.col("_bb"))
-    both = {"sum": "coalesce({a} + {b}, {a}, {b})", "min": "least({a}, {b})", "max": "greatest({a}, {b})"}
-    upto = starts.join(blocks, same, "left").selectExpr(
-        "_k", "_t",
-        *[(both[_MERGE[x.split("_")[0]]].format(a=f"own_{x}", b=f"mid_{w}_{x}") if w in whole else f"own_{x}") + f" AS {x}_{w}" for w in lengths for x in sums],
-        *[f"c_{c}" for c in metrics],
+    cells = cells.withColumn("_block", F.expr(_floor_div("_us", block)))
+    whole = _whole_blocks(cells, block, lengths, sums).select("_k", "_block", "_w", "_length", "_n_blocks", *[F.col(x).alias(f"whole_{x}") for x in sums])
+    upto = "OVER (PARTITION BY _k, _block ORDER BY _us ROWS UNBOUNDED PRECEDING)"
+    starts = cells.selectExpr("_k", "_block", "_us", *[f"{_merge(x)}({x}) {upto} AS {x}" for x in sums])
+    asked = starts.join(whole, ["_k", "_block"]).selectExpr(
+        "_k", "_block - _n_blocks AS _block", "_us - _length AS _at", "_us", "_w",
+        *[_PLUS[_merge(x)].format(a=x, b=f"whole_{x}") + f" AS {x}" for x in sums],
     )
-    joined = upto.unionByName(ends).groupBy("_k", "_t").agg(*[F.expr(f"{_MERGE[x.split('_')[0]]}({x})").alias(x) for x in looked_up], *[F.max(f"c_{c}").alias(f"c_{c}") for c in metrics])
-    kept = [f"{part}_{c}_{w}" for w in lengths for c in metrics for part in ("n", "s", "q")]
-    return joined.selectExpr("_k", "_t", *kept, *[f"(lo_{c}_{w} = hi_{c}_{w}) AS same_{c}_{w}" for w in lengths for c in metrics], *[f"c_{c}" for c in metrics])
+    given = cells.selectExpr("_k", "_block", "_us AS _at", "_us", "CAST(NULL AS STRING) AS _w", *sums)
+    framed = _add_later(asked.unionByName(given), "_k, _block", "_w", sums)
+    long = framed.selectExpr("_k", "_us", "_w", *[x for c in metrics for x in _mean_and_std(f"n_{c}", f"s_{c}", f"q_{c}", f"lo_{c} = hi_{c}", f"{c}_rolling_{{}}")])
+    # Exchanged as they are: rows of one cell come from different blocks, so merging before the exchange would only widen them.
+    return long.repartition("_k", "_us").groupBy("_k", "_us").agg(
+        *[F.max(F.when(F.col("_w") == w, F.col(f"{c}_rolling_{f}"))).alias(f"{c}_rolling_{f}_{w}") for w in lengths for c in metrics for f in ("mean", "std")]
+    )
+
+
+def _mean_and_std(n: str, s: str, q: str, same: str, name: str) -> list[str]:
+    """SQL text of a frame's mean about the campaign mean and of its sample deviation."""
+    std = f"CASE WHEN {n} < 2 THEN NULL WHEN {same} THEN 0D ELSE sqrt(greatest(0D, try_divide({q} - {s} * {s} / {n}, {n} - 1))) END"
+    return [f"try_divide({s}, {n}) AS {name.format('mean')}", f"{std} AS {name.format('std')}"]
 
 
 def rolling_time(
@@ -269,28 +307,38 @@ def rolling_time(
         windows = {name: name for name in windows}
     lengths = {name: step_us(length) for name, length in windows.items()}
     metrics = tuple(c for c in metrics if c in df.columns)
-    names = hot_names(df, hot_rows)
-    n_hot = names.count()
-    if n_hot == 0:
-        framed = _cold_frames(_cells(df, metrics, ts), lengths, metrics)
-    else:
-        names = F.broadcast(names) if n_hot <= MAX_BROADCAST_NAMES else names
-        is_hot = F.col(KEY).eqNullSafe(F.col("_hot_key"))
-        cold = _cold_frames(_cells(df.join(names, is_hot, "left_anti"), metrics, ts), lengths, metrics)
-        hot = _hot_frames(_cells(df.join(names, is_hot, "left_semi"), metrics, ts), lengths, metrics, block_cells)
-        framed = cold.unionByName(hot)
+    # One row per campaign, with a number that is never null and the values' centres.
+    campaigns = durable(
+        df.groupBy(F.col(KEY).alias("_hot_key"))
+        .agg(F.count(F.lit(1)).alias("_n"), *[F.avg(F.col(c).cast("double")).alias(f"c_{c}") for c in metrics])
+        .withColumn("_k", F.monotonically_increasing_id())
+    )
+    names = campaigns.filter(F.col("_n") > hot_rows).drop("_n")
+    n_all, n_hot = campaigns.agg(F.count(F.lit(1)), F.count_if(F.col("_n") > hot_rows)).first()
+    names = F.broadcast(names) if n_hot <= MAX_BROADCAST_NAMES else names
+    is_hot = F.col(KEY).eqNullSafe(F.col("_hot_key"))
+    out = []
+    if n_hot < n_all or not n_all:
+        cold = df.join(names, is_hot, "left_anti") if n_hot else df
+        out.append(_cold_rows(cold, lengths, metrics, ts))
+    if n_hot:
+        hot = df.join(names, is_hot).drop("_hot_key").withColumn("_us", F.coalesce(_us(ts), F.lit(NO_TIME_US)))
+        framed = _hot_frames(_hot_cells(hot, metrics), lengths, metrics, block_cells)
+        mean = {f"{c}_rolling_mean_{w}": F.col(f"c_{c}") + F.col(f"{c}_rolling_mean_{w}") for w in lengths for c in metrics}
+        out.append(hot.join(framed, ["_k", "_us"]).withColumns(mean).drop("_k", "_us", *[f"c_{c}" for c in metrics]))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _cold_rows(df: DataFrame, lengths: dict[str, int], metrics: tuple[str, ...], ts: str) -> DataFrame:
+    """The rows with the frames of their cells, ordered by campaign."""
     out = ["_k", "_t"]
-    for name in windows:
+    for name in lengths:
         for c in metrics:
-            n, s, q = f"n_{c}_{name}", f"s_{c}_{name}", f"q_{c}_{name}"
-            out.append(f"c_{c} + try_divide({s}, {n}) AS {c}_rolling_mean_{name}")
-            out.append(
-                f"CASE WHEN {n} < 2 THEN NULL WHEN same_{c}_{name} THEN 0D "
-                f"ELSE sqrt(greatest(0D, try_divide({q} - {s} * {s} / {n}, {n} - 1))) END "
-                f"AS {c}_rolling_std_{name}"
-            )
+            mean, std = _mean_and_std(f"n_{c}_{name}", f"s_{c}_{name}", f"q_{c}_{name}", f"same_{c}_{name}", f"{c}_rolling_{{}}_{name}")
+            out += [f"c_{c} + {mean}", std]
+    framed = _cold_frames(_cells(df, metrics, ts), lengths, metrics).selectExpr(*out)
     same = F.col(KEY).eqNullSafe(F.col("_k")) & F.col(ts).eqNullSafe(F.col("_t"))
-    return df.join(framed.selectExpr(*out), same, "left").drop("_k", "_t")
+    return df.join(framed, same, "left").drop("_k", "_t")
 
 
 def time_windows(df: DataFrame, start: str, end: str, length: int | str = 1) -> DataFrame:
